@@ -30,7 +30,7 @@ from framewright.operators import sampling as sm
 from framewright.operators.medians import grouped_median
 from framewright.operators.querying import Intent
 from framewright.plans.explore import answer_with_chart
-from framewright.plans.load import clean_and_encode
+from framewright.plans.load import clean_and_encode, first_rows
 from framewright.session import shared_path
 from framewright.sources.delimited import read_csv, write_csv
 from framewright.sources.records import read_json
@@ -116,11 +116,10 @@ def _(spark, d):
     "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 5",
 )
 def _(spark, d):
-    from framewright.plans.load import first_rows
-
     path = shared_path(spark, "orders-csv")
     write_csv(table(spark, d, "orders").select("o_orderkey", "o_custkey").orderBy("o_orderkey").coalesce(1), path)
-    typed, _ = inf.infer_types(read_csv(spark, path, multiline=False, row_order=True), raw_text=True)
+    scan = read_csv(spark, path, multiline=False, row_order=True)
+    typed, _ = inf.infer_types(scan, raw_text=True)
     return first_rows(typed, 5)
 
 
@@ -187,7 +186,10 @@ def _to_workbooks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
-@query("xlsx_folder", "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer")
+@query(
+    "xlsx_folder",
+    "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer",
+)
 def _(spark, d):
     books = table(spark, d, "customer").mapInPandas(_to_workbooks, "path string, content binary")
     return inf.infer_types(parse_workbooks(books), raw_text=True)[0]
@@ -985,7 +987,7 @@ def _(spark, d):
 
 
 def _roles(spark: SparkSession, d: str) -> DataFrame:
-    return rc.profile_tables({n: table(spark, d, n) for n in _TABLE_TYPES})
+    return pr.catalogue_roles({n: table(spark, d, n) for n in _TABLE_TYPES})
 
 
 _ALL_ROLES = "WITH roles AS (" + " UNION ALL ".join(_roles_sql(n) for n in _TABLE_TYPES) + "), "

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -145,3 +146,24 @@ def cells(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[col(n) for n in names]).unpivot(
         [], [col(n) for n in names], "column", "cell"
     )
+
+
+_ARROW_TYPES = {
+    "string": pa.string(),
+    "int": pa.int32(),
+    "bigint": pa.int64(),
+    "array<string>": pa.list_(pa.string()),
+}
+
+
+def local_rows(spark: SparkSession, rows: Sequence[tuple], **columns: str) -> DataFrame:
+    """A few rows of metadata as a frame that lives in the plan itself.
+
+    ``columns`` gives name and type, for example ``position="int"``.
+    """
+    by_column = list(zip(*rows)) if rows else [()] * len(columns)
+    arrays = [
+        pa.array(list(values), _ARROW_TYPES[kind])
+        for values, kind in zip(by_column, columns.values())
+    ]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=list(columns)))

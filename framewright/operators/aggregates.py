@@ -56,11 +56,12 @@ def _size(df, name, order):
 
 
 def _ordered(pick: Callable, df: DataFrame, name: str, order: Column | None) -> Column:
+    """The value at the end of an order key that is unique within its group."""
     if order is None:
         raise ValueError("first and last need order_by: rows have no order of their own")
     value = _value(df, name)
-    # A missing cell has no rank, so it is never picked; the value breaks ties.
-    return pick(value, F.when(value.isNotNull(), F.struct(order.alias("o"), value.alias("v"))))
+    # A missing cell has no rank, so it is never picked.
+    return pick(value, F.when(value.isNotNull(), order))
 
 
 def _first(df, name, order):

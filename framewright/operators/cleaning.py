@@ -22,7 +22,6 @@ from framewright.functions.fixed_values import MONEY_WORDS, NULL_TEXT
 from framewright.functions.text import currency_from_text, normalised_name
 from framewright.operators.inference import null_fractions
 
-REPORT_SCHEMA = "step string, column string, metric string, value string"
 
 
 def sparse_columns(df: DataFrame) -> DataFrame:
@@ -89,18 +88,16 @@ def strip_currency_by_name(df: DataFrame) -> DataFrame:
 def impute_means(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """Missing numbers become the column mean; text stays missing.
 
-    The means are one scalar subquery: one row, evaluated once per query.
+    Each mean is a scalar subquery; Catalyst merges them into one pass over
+    the columns that are used.
     """
-    names = [n for n in (names or number_columns(df))]
+    names = list(number_columns(df) if names is None else names)
     if not names:
         return df
-    means = df.agg(
-        F.struct(*[mean(df, n).alias(f"m{i}") for i, n in enumerate(names)]).alias("m")
-    ).scalar()
-    place = {n: i for i, n in enumerate(names)}
+    means = {n: df.agg(mean(df, n)).scalar() for n in names}
     return df.select(
         *[
-            (F.coalesce(as_double(df, n), means[f"m{place[n]}"]) if n in place else col(n)).alias(n)
+            (F.coalesce(as_double(df, n), means[n]) if n in means else col(n)).alias(n)
             for n in df.columns
         ]
     )
@@ -130,16 +127,21 @@ def display_text(df: DataFrame) -> DataFrame:
 
 def cleaning_report(df: DataFrame) -> DataFrame:
     """``(step, column, metric, value)``: dropped columns and removed rows."""
-    sparse = sparse_columns(df).select(
+    return report_rows(sparse_columns(df), duplicate_count(drop_sparse(df)))
+
+
+def report_rows(sparse: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """Report from ``(column, missing_pct)`` and ``(duplicate_rows)``."""
+    dropped = sparse.select(
         F.lit("drop_sparse").alias("step"),
         "column",
         F.lit("missing_pct").alias("metric"),
         F.col("missing_pct").alias("value"),
     )
-    removed = duplicate_count(drop_sparse(df)).select(
+    removed = duplicates.select(
         F.lit("drop_duplicates").alias("step"),
         F.lit(None).cast("string").alias("column"),
         F.lit("rows_removed").alias("metric"),
         F.col("duplicate_rows").cast("string").alias("value"),
     )
-    return sparse.unionByName(removed)
+    return dropped.unionByName(removed)

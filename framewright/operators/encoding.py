@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from framewright.functions.columns import (
     cells,
     col,
+    local_rows,
     per_column,
     require_columns,
     text_columns,
@@ -27,14 +28,15 @@ from framewright.operators.lookups import lookup_join
 from framewright.operators.sampling import sample_rows
 from framewright.session import reliable
 
-# Relative error of the first, approximate distinct count.
+# Relative error of the first, approximate distinct count, and how far above
+# half the rows an estimate must lie to rule a column out without counting.
 SKETCH_ERROR = 0.01
-# Estimates up to this are counted exactly; so are those near half the rows.
-FEW_VALUES = 64
 NEAR_HALF = 0.2
 # Largest dictionary that is broadcast: rows and bytes are both checked.
 DICTIONARY_ROWS = 10_000
 DICTIONARY_BYTES = 16 * 1024 * 1024
+# Bytes of all broadcast dictionaries of one frame together.
+ALL_DICTIONARY_BYTES = 64 * 1024 * 1024
 # Labels written as a chain of comparisons instead of a join.
 INLINE_LABELS = 16
 
@@ -43,7 +45,12 @@ INLINE_LABELS = 16
 class EncodingChoice:
     column: str
     kind: str  # none, label, one_hot
-    values: tuple[str, ...] | None = None  # sorted; None when not few
+    values: tuple[str, ...] | None = None  # sorted classes where they are few
+
+
+class EncodingPlan(NamedTuple):
+    choices: list[EncodingChoice]
+    classes: DataFrame | None  # (column, key, occurrences, present)
 
 
 class Encoded(NamedTuple):
@@ -60,40 +67,66 @@ def encoding_kind(distinct: int, missing: int, rows: int) -> str:
     return "one_hot"
 
 
-def _few_values(df: DataFrame, names: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted distinct values of columns that are known to hold few."""
-    if not names:
-        return {}
-    distinct = cells(df, names).filter(F.col("cell").isNotNull()).distinct()
-    found: dict[str, list[str]] = {n: [] for n in names}
-    # Estimates bound the result; twice the bound guards against a bad estimate.
-    bound = 2 * FEW_VALUES * len(names)
-    rows = distinct.limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise RuntimeError("distinct count estimates were far off; refusing to collect")
-    for r in rows:
-        found[r["column"]].append(r["cell"])
-    return {n: sorted(v) for n, v in found.items()}
-
-
-def _exact_distinct(df: DataFrame, names: Sequence[str]) -> dict[str, int]:
-    if not names:
+def _class_of(c: Column) -> Column:
+    """Text form of a cell; a missing cell is a class of its own."""
+    return F.coalesce(c.cast("string"), F.lit(NULL_TEXT))
+
+
+def class_table(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``(column, key, occurrences, present)`` of several columns, written once.
+
+    Counts combine on each task, so a class sends one row per task.
+    """
+    counted = (
+        cells(df, names)
+        .groupBy("column", _class_of(F.col("cell")).alias("key"))
+        .agg(F.count(F.lit(1)).alias("occurrences"), F.count("cell").alias("present"))
+    )
+    return reliable(counted)
+
+
+def _class_sizes(classes: DataFrame) -> dict[str, dict]:
+    """Per column: distinct non-null values, classes, and bytes of the classes."""
+    sizes = classes.groupBy("column").agg(
+        F.count_if(F.col("present") > 0).alias("distinct"),
+        F.count(F.lit(1)).alias("classes"),
+        F.sum(F.octet_length("key")).alias("bytes"),
+    )
+    return {r["column"]: r.asDict() for r in sizes.collect()}  # one row per column
+
+
+def _small_dictionaries(
+    classes: DataFrame, sizes: Mapping[str, dict], names: Sequence[str], max_rows: int
+) -> dict[str, list[tuple[str, int]]]:
+    """Sorted ``(key, present)`` of the columns whose size allows a broadcast."""
+    small, used = [], 0
+    for n in sorted(names, key=lambda n: sizes[n]["bytes"]):
+        used += sizes[n]["bytes"]
+        if (
+            sizes[n]["classes"] <= max_rows
+            and sizes[n]["bytes"] <= DICTIONARY_BYTES
+            and used <= ALL_DICTIONARY_BYTES
+        ):
+            small.append(n)
+    if not small:
         return {}
-    pairs = cells(df, names).filter(F.col("cell").isNotNull()).distinct()
-    counts = pairs.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()
-    return {**dict.fromkeys(names, 0), **{r["column"]: r["n"] for r in counts}}
+    found: dict[str, list[tuple[str, int]]] = {n: [] for n in small}
+    for r in classes.filter(F.col("column").isin(small)).collect():
+        found[r["column"]].append((r["key"], r["present"]))
+    return {n: sorted(pairs) for n, pairs in found.items()}
 
 
-def encoding_plan(df: DataFrame, names: Sequence[str] | None = None) -> list[EncodingChoice]:
+def encoding_plan(df: DataFrame, names: Sequence[str] | None = None) -> EncodingPlan:
     """Choice per text column.
 
-    One pass of sketches settles the columns that are far from every limit;
-    only the others are counted exactly. A choice therefore never rests on an
-    estimate near a limit.
+    One pass of sketches rules out the columns that are nearly unique or
+    mostly missing. The classes of the others are counted exactly, in one
+    table that later steps read too; no choice rests on an estimate near a
+    limit.
     """
     names = list(text_columns(df) if names is None else names)
     if not names:
-        return []
+        return EncodingPlan([], None)
     stats = per_column(
         df,
         names,
@@ -103,75 +136,76 @@ def encoding_plan(df: DataFrame, names: Sequence[str] | None = None) -> list[Enc
             "about": F.approx_count_distinct(col(n), SKETCH_ERROR),
         },
     ).collect()
-    few, doubtful = [], []
-    for s in stats:
-        if 2 * s["missing"] > s["rows"]:
-            continue
-        if s["about"] <= FEW_VALUES:
-            few.append(s["column"])
-        elif abs(2 * s["about"] / s["rows"] - 1) <= NEAR_HALF:
-            doubtful.append(s["column"])
-    values = _few_values(df, few)
-    exact = {**_exact_distinct(df, doubtful), **{n: len(v) for n, v in values.items()}}
+    open_columns = [
+        s["column"]
+        for s in stats
+        if 2 * s["missing"] <= s["rows"] and 2 * s["about"] <= (1 + NEAR_HALF) * s["rows"]
+    ]
+    if not open_columns:
+        return EncodingPlan([EncodingChoice(n, "none") for n in names], None)
+    classes = class_table(df, open_columns)
+    sizes = _class_sizes(classes)
+    kinds = {
+        s["column"]: encoding_kind(sizes[s["column"]]["distinct"], s["missing"], s["rows"])
+        for s in stats
+        if s["column"] in sizes
+    }
+    chosen = [n for n, kind in kinds.items() if kind != "none"]
+    dictionaries = _small_dictionaries(classes, sizes, chosen, DICTIONARY_ROWS)
     choices = []
-    for s in stats:
-        n = s["column"]
-        kind = encoding_kind(exact.get(n, s["about"]), s["missing"], s["rows"])
-        known = None
-        if n in values:
-            known = tuple(values[n])
-            if kind == "label" and s["missing"]:
-                known = tuple(sorted({*known, NULL_TEXT}))
-        choices.append(EncodingChoice(n, kind, known))
-    return choices
-
-
-def _as_class(name: str) -> Column:
-    """Text form of a cell; a missing cell is a class of its own."""
-    return F.coalesce(col(name).cast("string"), F.lit(NULL_TEXT))
+    for n in names:
+        kind = kinds.get(n, "none")
+        values = None
+        if n in dictionaries:
+            # One-hot flags are for present values; labels include the missing class.
+            keep_all = kind == "label"
+            values = tuple(k for k, present in dictionaries[n] if keep_all or present)
+        elif kind == "one_hot":
+            raise ValueError(f"the values of column {n} are too long to become column names")
+        choices.append(EncodingChoice(n, kind, values))
+    return EncodingPlan(choices, classes)
 
 
 def _inline_label(name: str, values: Sequence[str]) -> Column:
     label = F.lit(None).cast("bigint")
     for code, value in reversed(list(enumerate(values))):
-        label = F.when(_as_class(name) == F.lit(value), F.lit(code).cast("bigint")).otherwise(label)
+        same = _class_of(col(name)) == F.lit(value)
+        label = F.when(same, F.lit(code).cast("bigint")).otherwise(label)
     return label
 
 
-def label_encode(
-    df: DataFrame,
-    name: str,
-    output: str | None = None,
-    values: Sequence[str] | None = None,
-    dictionary_rows: int = DICTIONARY_ROWS,
+def _with_label(
+    df: DataFrame, name: str, output: str, values: Sequence[str] | None, classes: DataFrame
 ) -> DataFrame:
-    """Rank (from 0) of the cell among the sorted distinct text forms.
-
-    ``values`` are the sorted classes where they are known. A dictionary of
-    checked size is broadcast; a larger one is ranked and joined in parallel.
-    """
-    require_columns(df, [name])
-    output = output or f"{name}_encoded"
     if values is not None and len(values) <= INLINE_LABELS:
         return df.withColumn(output, _inline_label(name, values))
-    classes = df.groupBy(_as_class(name).alias("key")).agg(F.count(F.lit(1)).alias("occurrences"))
-    size = classes.agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("key")).alias("bytes")
-    ).first()
-    if size["rows"] <= dictionary_rows and (size["bytes"] or 0) <= DICTIONARY_BYTES:
-        keys = sorted(r["key"] for r in classes.select("key").collect())
-        if len(keys) <= INLINE_LABELS:
-            return df.withColumn(output, _inline_label(name, keys))
-        codes = df.sparkSession.createDataFrame(
-            [(k, i) for i, k in enumerate(keys)], "_class string, _code bigint"
+    if values is not None:
+        codes = local_rows(
+            df.sparkSession, list(zip(values, range(len(values)))), _class="string", _code="bigint"
         )
-        joined = df.join(F.broadcast(codes), _as_class(name) == F.col("_class"), "left")
+        joined = df.join(F.broadcast(codes), _class_of(col(name)) == F.col("_class"), "left")
         return joined.select(*[col(n) for n in df.columns], F.col("_code").alias(output))
-    ranked = rank_classes(classes)
-    probed = df.withColumn("_class", _as_class(name))
+    ranked = rank_classes(classes.filter(F.col("column") == name))
+    probed = df.withColumn("_class", _class_of(col(name)))
     return lookup_join(probed, "_class", ranked, output).drop("_class")
 
 
+def label_encode(
+    df: DataFrame, name: str, output: str | None = None, dictionary_rows: int = DICTIONARY_ROWS
+) -> DataFrame:
+    """Rank (from 0) of the cell among the sorted distinct text forms.
+
+    A dictionary of checked size is broadcast; a larger one is ranked and
+    joined in parallel.
+    """
+    require_columns(df, [name])
+    classes = class_table(df.select(col(name).cast("string").alias(name)), [name])
+    sizes = _class_sizes(classes)
+    small = _small_dictionaries(classes, sizes, list(sizes), dictionary_rows)
+    values = [k for k, _ in small[name]] if name in small else ([] if not sizes else None)
+    return _with_label(df, name, output or f"{name}_encoded", values, classes)
+
+
 def rank_classes(classes: DataFrame) -> DataFrame:
     """``(key, value, occurrences)``: each class with its place in the sorted order.
 
@@ -180,7 +214,8 @@ def rank_classes(classes: DataFrame) -> DataFrame:
     number of classes in earlier partitions plus its place in its own.
     """
     placed = reliable(
-        classes.repartitionByRange("key")
+        classes.select("key", "occurrences")
+        .repartitionByRange("key")
         .sortWithinPartitions("key")
         .withColumn("_id", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_id", 33))
@@ -199,10 +234,18 @@ def rank_classes(classes: DataFrame) -> DataFrame:
 
 
 def one_hot(df: DataFrame, name: str, values: Sequence[str] | None = None) -> DataFrame:
-    """A flag per sorted value but the first; a missing cell has no flag set."""
+    """A flag per sorted value but the first; a missing cell has no flag set.
+
+    ``values`` are the sorted distinct values where they are known.
+    """
     require_columns(df, [name])
     if values is None:
-        values = _few_values(df, [name])[name]
+        found = (
+            df.select(col(name).alias("v")).filter("v IS NOT NULL").distinct().limit(ONE_HOT_MAX + 1)
+        ).collect()
+        if len(found) > ONE_HOT_MAX:
+            raise ValueError(f"column {name} has more than {ONE_HOT_MAX} values")
+        values = sorted(r["v"] for r in found)
     names = one_hot_names(df, name, values)
     return df.withColumns(
         {
@@ -218,29 +261,28 @@ def one_hot_names(df: DataFrame, name: str, values: Sequence[str]) -> list[str]:
     return unique_names([*df.columns, *wanted])[len(df.columns) :]
 
 
-def encode(df: DataFrame, plan: Sequence[EncodingChoice] | None = None) -> Encoded:
+def encode(df: DataFrame, plan: EncodingPlan | None = None) -> Encoded:
     """Every eligible text column encoded, new columns to the right.
 
     The mapping lists, per original column, the columns made from it.
     """
     plan = encoding_plan(df) if plan is None else plan
     mapping: dict[str, list[str]] = {}
-    for choice in plan:
+    for choice in plan.choices:
         if choice.kind == "one_hot":
             before = len(df.columns)
             df = one_hot(df, choice.column, choice.values)
             mapping[choice.column] = df.columns[before:]
         elif choice.kind == "label":
             output = unique_names([*df.columns, f"{choice.column}_encoded"])[-1]
-            df = label_encode(df, choice.column, output, choice.values)
+            df = _with_label(df, choice.column, output, choice.values, plan.classes)
             mapping[choice.column] = [output]
     return Encoded(df, mapping)
 
 
 def mapping_table(spark: SparkSession, mapping: Mapping[str, Sequence[str]]) -> DataFrame:
-    return spark.createDataFrame(
-        [(k, list(v)) for k, v in mapping.items()], "original string, columns array<string>"
-    )
+    rows = [(k, list(v)) for k, v in mapping.items()]
+    return local_rows(spark, rows, original="string", columns="array<string>")
 
 
 def substitute_encoded(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +12,9 @@ from pyspark.sql import types as T
 from framewright.functions.columns import (
     as_double,
     col,
+    is_datetime,
     is_missing,
+    local_rows,
     number_columns,
     per_column,
 )
@@ -18,17 +23,16 @@ from framewright.functions.text import two_decimals
 from framewright.operators.medians import column_medians
 
 SKETCH_ERROR = 0.01
+COUNTS = ["row_count", "missing_count", "distinct_count"]
+
+# Longest cell that travels as it is in a distinct count; longer ones travel
+# as a tagged SHA-256, which is longer than any cell sent as it is.
+PLAIN_CELL_BYTES = 64
 
 _NUMBER_TYPES = ["tinyint", "smallint", "int", "bigint", "float", "double", "boolean"]
 _DATE_TYPES = ["date", "timestamp", "timestamp_ntz"]
 
 
-def _type_table(df: DataFrame) -> Column:
-    """dtype text of the column named in ``column``."""
-    pairs = [F.lit(x) for f in df.schema.fields for x in (f.name, f.dataType.simpleString())]
-    return F.element_at(F.create_map(*pairs), F.col("column"))
-
-
 def row_and_column_count(df: DataFrame) -> DataFrame:
     return df.agg(
         F.count(F.lit(1)).alias("row_count"),
@@ -37,22 +41,16 @@ def row_and_column_count(df: DataFrame) -> DataFrame:
 
 def column_information(df: DataFrame) -> DataFrame:
     """``(position, column, dtype, row_count, column_count, missing_count)``."""
-    counted = per_column(
+    return per_column(
         df,
         df.columns,
         lambda n: {
+            "dtype": F.lit(df.schema[n].dataType.simpleString()),
             "row_count": F.count(F.lit(1)),
+            "column_count": F.lit(len(df.columns)),
             "missing_count": F.count_if(is_missing(df, n)),
         },
     )
-    return counted.select(
-        "position",
-        "column",
-        _type_table(df).alias("dtype"),
-        "row_count",
-        F.lit(len(df.columns)).alias("column_count"),
-        "missing_count",
-    )
 
 
 def numeric_summary(df: DataFrame, approx: bool = False) -> DataFrame:
@@ -63,9 +61,10 @@ def numeric_summary(df: DataFrame, approx: bool = False) -> DataFrame:
     """
     names = number_columns(df)
     if not names:
-        return df.sparkSession.createDataFrame(
-            [],
-            "position int, column string, mean double, median double, min double, max double",
+        return df.sparkSession.range(0).select(
+            F.lit(0).alias("position"),
+            F.lit("").alias("column"),
+            *[F.lit(0.0).alias(m) for m in ("mean", "median", "min", "max")],
         )
 
     def metrics(name: str) -> dict[str, Column]:
@@ -109,7 +108,7 @@ def formatted_statistics(df: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def _comparable(df: DataFrame, name: str) -> Column:
-    """Text form of a cell that is equal exactly when the cells are equal."""
+    """Short text that is equal exactly when the cells are equal."""
     data_type = df.schema[name].dataType
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
         # Adding zero turns -0.0 into 0.0.
@@ -117,42 +116,54 @@ def _comparable(df: DataFrame, name: str) -> Column:
     if isinstance(data_type, T.TimestampType):
         return F.unix_micros(col(name)).cast("string")
     if isinstance(data_type, (T.ArrayType, T.StructType, T.MapType)):
-        return F.to_json(col(name))
-    return col(name).cast("string")
+        text = F.to_json(col(name))
+    else:
+        text = col(name).cast("string")
+    if isinstance(data_type, T.NumericType) or is_datetime(data_type):
+        return text
+    return F.when(F.octet_length(text) <= PLAIN_CELL_BYTES, text).when(
+        text.isNotNull(), F.concat(F.lit("h:"), F.sha2(text, 256))
+    )
+
+
+def _cell_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """``(table_name, position, row_count, missing_count, distinct_count)``.
+
+    One long table of cells, merged on each task and then shuffled by table,
+    column and value: no column and no hot value sits in one task, and a whole
+    catalogue costs one shuffle.
+    """
+    parts = []
+    for table_name, df in tables.items():
+        texts = df.select(*[_comparable(df, n).alias(f"{i}") for i, n in enumerate(df.columns)])
+        long = texts.unpivot([], [col(n) for n in texts.columns], "position", "cell")
+        parts.append(long.select(F.lit(table_name).alias("table_name"), "position", "cell"))
+    merged = (
+        reduce(DataFrame.unionAll, parts)
+        .groupBy("table_name", "position", "cell")
+        .agg(F.count(F.lit(1)).alias("copies"))
+    )
+    return merged.groupBy("table_name", F.col("position").cast("int").alias("position")).agg(
+        F.sum("copies").alias("row_count"),
+        F.coalesce(F.sum(F.when(F.col("cell").isNull(), F.col("copies"))), F.lit(0)).alias(
+            "missing_count"
+        ),
+        F.count("cell").alias("distinct_count"),
+    )
 
 
 def distinct_counts(df: DataFrame, approx: bool = False) -> DataFrame:
     """``(position, column, distinct_count)`` of the non-null values.
 
-    Exact counts go through one long table: cells are merged on each task,
-    then shuffled by column and value, so no column and no hot value sits in
-    one task. ``approx`` is one pass of sketches.
+    ``approx`` is one pass of sketches; otherwise the counts are exact.
     """
-    names = df.columns
     if approx:
         return per_column(
             df,
-            names,
+            df.columns,
             lambda n: {"distinct_count": F.approx_count_distinct(col(n), SKETCH_ERROR)},
         )
-    texts = df.select(*[_comparable(df, n).alias(n) for n in names])
-    pairs = (
-        texts.unpivot([], [col(n) for n in names], "column", "cell")
-        .filter(F.col("cell").isNotNull())
-        .distinct()
-    )
-    counted = pairs.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"))
-    places = df.sparkSession.createDataFrame(
-        list(enumerate(names)), "position int, _column string"
-    )
-    # One row per column on both sides.
-    return places.join(
-        counted, F.col("_column") == F.col("column"), "left"
-    ).select(
-        "position",
-        F.col("_column").alias("column"),
-        F.coalesce("distinct_count", F.lit(0)).alias("distinct_count"),
-    )
+    return catalogue_roles({"": df}).select("position", "column", "distinct_count")
 
 
 def column_roles(df: DataFrame, table_name: str = "", approx: bool = False) -> DataFrame:
@@ -161,7 +172,47 @@ def column_roles(df: DataFrame, table_name: str = "", approx: bool = False) -> D
     ``(table_name, position, column, dtype, row_count, missing_count,
     distinct_count, role, subtype)``.
     """
-    counts = distinct_counts(df, approx).select(F.col("column").alias("_column"), "distinct_count")
+    return catalogue_roles({table_name: df}, approx)
+
+
+def catalogue_roles(tables: Mapping[str, DataFrame], approx: bool = False) -> DataFrame:
+    """Column roles of many tables, as one table."""
+    keys = ["table_name", "position"]
+    if approx:
+        counts = reduce(
+            DataFrame.unionAll,
+            [
+                per_column(
+                    df,
+                    df.columns,
+                    lambda n, df=df: {
+                        "row_count": F.count(F.lit(1)),
+                        "missing_count": F.count_if(is_missing(df, n)),
+                        "distinct_count": F.approx_count_distinct(col(n), SKETCH_ERROR),
+                    },
+                ).select(F.lit(t).alias("table_name"), "position", *COUNTS)
+                for t, df in tables.items()
+            ],
+        )
+    else:
+        counts = _cell_counts(tables)
+    spark = next(iter(tables.values())).sparkSession
+    known = local_rows(
+        spark,
+        [
+            (t, i, f.name, f.dataType.simpleString())
+            for t, df in tables.items()
+            for i, f in enumerate(df.schema.fields)
+        ],
+        table_name="string",
+        position="int",
+        column="string",
+        dtype="string",
+    )
+    # Both sides hold one row per column.
+    rows = known.join(F.broadcast(counts), keys, "left").select(
+        *keys, "column", "dtype", *[F.coalesce(c, F.lit(0)).alias(c) for c in COUNTS]
+    )
     dtype = F.col("dtype")
     number = dtype.isin(_NUMBER_TYPES) | dtype.startswith("decimal")
     few = 2 * F.col("distinct_count") < F.col("row_count")
@@ -171,21 +222,5 @@ def column_roles(df: DataFrame, table_name: str = "", approx: bool = False) -> D
         .when((dtype == "string") & few, "categorical")
         .otherwise("other")
     )
-    return (
-        column_information(df)
-        .join(counts, F.col("column") == F.col("_column"))
-        .select(
-            F.lit(table_name).alias("table_name"),
-            "position",
-            "column",
-            "dtype",
-            "row_count",
-            "missing_count",
-            "distinct_count",
-            role.alias("role"),
-            F.when(
-                number,
-                F.when(F.col("distinct_count") < DISCRETE_BELOW, "discrete").otherwise("continuous"),
-            ).alias("subtype"),
-        )
-    )
+    discrete = F.when(F.col("distinct_count") < DISCRETE_BELOW, "discrete").otherwise("continuous")
+    return rows.select("*", role.alias("role"), F.when(number, discrete).alias("subtype"))

@@ -7,9 +7,9 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.functions.columns import col
-from framewright.operators.cleaning import REPORT_SCHEMA, drop_duplicates, normalise_names
-from framewright.operators.encoding import encode
+from framewright.functions.columns import col, local_rows, text_columns
+from framewright.operators.cleaning import drop_duplicates, normalise_names, report_rows
+from framewright.operators.encoding import encode, encoding_plan
 from framewright.operators.inference import (
     ColumnType,
     apply_types,
@@ -35,45 +35,42 @@ def clean_and_encode(
 ) -> Loaded:
     """Drop sparse columns, infer types, remove duplicates, fix names, encode.
 
+    Two small results reach the driver, one row per column each: the counts
+    behind the types, and the classes of categorical columns.
     ``raw_text`` says that every column is untyped text (CSV, workbooks).
     ``materialise`` writes the deduplicated frame once to the shared folder,
     because the encoder reads it several times and a shuffle of all columns
     is the dearest step; without it everything is recomputed per read.
     """
-    ordered = ROW_ORDER in df.columns
-    names = [n for n in df.columns if n != ROW_ORDER]
-    fractions = null_fractions(df.select(*[col(n) for n in names])).collect()
-    rows = fractions[0]["row_count"] if fractions else 0
-    sparse = [f for f in fractions if 2 * f["missing_count"] > f["row_count"]]
-    dropped = {f["column"] for f in sparse}
-    df = df.select(*[col(n) for n in df.columns if n not in dropped])
+    order_key = ROW_ORDER if ROW_ORDER in df.columns else None
+    names = [n for n in df.columns if n != order_key]
+    texts = [n for n in text_columns(df) if n != order_key]
+    others = [n for n in names if n not in texts]
+    evidence = {e["column"]: e for e in type_evidence(df, texts).collect()} if texts else {}
+    counts = {n: (e["row_count"], e["row_count"] - e["present"]) for n, e in evidence.items()}
+    if others:
+        typed_part = null_fractions(df.select(*[col(n) for n in others]))
+        counts |= {r["column"]: (r["row_count"], r["missing_count"]) for r in typed_part.collect()}
+    rows = max((r for r, _ in counts.values()), default=0)
+    sparse = [n for n in names if n in counts and 2 * counts[n][1] > counts[n][0]]
 
-    texts = [
-        f.name for f in df.schema.fields if f.dataType.typeName() == "string" and f.name in names
-    ]
-    types: list[ColumnType] = []
-    if texts and rows:
-        evidence = type_evidence(df, texts).collect()  # one row per column
-        types = [decide_type(e, raw_text) for e in evidence]
-        df = apply_types(df, types)
+    types = [decide_type(evidence[n], raw_text) for n in texts if n in evidence and n not in sparse]
+    kept = df.select(*[col(n) for n in df.columns if n not in sparse])
+    clean = apply_types(kept, types)
     if dedupe:
-        df = drop_duplicates(df, ROW_ORDER if ordered else None)
+        clean = drop_duplicates(clean, order_key)
         if materialise:
-            df = reliable(df)
-    removed = rows - df.count() if dedupe else 0
-    df = normalise_names(df)
-    encoded = encode(df)
-    report = df.sparkSession.createDataFrame(
-        [
-            *[
-                ("drop_sparse", f["column"], "missing_pct", f"{f['missing_fraction'] * 100:.1f}")
-                for f in sparse
-            ],
-            ("drop_duplicates", None, "rows_removed", str(removed)),
-        ],
-        REPORT_SCHEMA,
+            clean = reliable(clean)
+    removed = clean.agg((F.lit(rows) - F.count(F.lit(1))).cast("bigint").alias("duplicate_rows"))
+    dropped = local_rows(
+        df.sparkSession,
+        [(n, f"{100 * counts[n][1] / counts[n][0]:.1f}") for n in sparse],
+        column="string",
+        missing_pct="string",
     )
-    return Loaded(encoded.data, types, encoded.mapping, report)
+    clean = normalise_names(clean)
+    encoded = encode(clean, encoding_plan(clean, [n for n in text_columns(clean) if n != order_key]))
+    return Loaded(encoded.data, types, encoded.mapping, report_rows(dropped, removed))
 
 
 def load(

@@ -48,8 +48,13 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 
 def reliable(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder, so a lost executor costs no recompute."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_root(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write the frame to the shared folder and go on from there.
+
+    Cuts the lineage, so nothing before it runs again, and a lost executor
+    only rereads. Parquet keeps later reads to the columns they need.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, "stage")
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    plain.write.parquet(path)
+    return spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)

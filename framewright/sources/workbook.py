@@ -11,14 +11,12 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions.fixed_values import NULL_TOKENS
 from framewright.sources.delimited import header_names
 
-CELL_SCHEMA = "path string, row_number long, cells map<string,string>"
-
 # Number formats that show dates or times (numbers fixed by the file format).
 BUILT_IN_DATE_FORMATS = set(range(14, 23)) | set(range(45, 48))
 
@@ -149,60 +147,65 @@ def _sheet_rows(content: bytes) -> Iterator[dict[int, str]]:
 ROWS_PER_BATCH = 5_000
 
 
-def _workbook_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _header_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``(name, place)`` of the first row of each workbook; the rest is not parsed."""
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            names: list[str] | None = None
-            out: list[tuple] = []
-            for number, row in enumerate(_sheet_rows(content)):
-                if names is None:
-                    width = max(row, default=-1) + 1
-                    names = header_names([row.get(i, "") for i in range(width)])
-                    # Row 0 carries the header: name -> position.
-                    out.append((path, 0, {n: str(i) for i, n in enumerate(names)}))
-                    continue
-                out.append((path, number, {n: row.get(i) for i, n in enumerate(names)}))
+        for content in batch["content"]:
+            names = _header(next(_sheet_rows(content), {}))
+            yield pd.DataFrame({"name": names, "place": range(len(names))})
+
+
+def _row_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``cells`` of each data row as a map from header name to text."""
+    for batch in batches:
+        for content in batch["content"]:
+            rows = _sheet_rows(content)
+            names = _header(next(rows, {}))
+            out: list[dict] = []
+            for row in rows:
+                out.append({n: row[i] for i, n in enumerate(names) if i in row})
                 if len(out) >= ROWS_PER_BATCH:
-                    yield pd.DataFrame(out, columns=["path", "row_number", "cells"])
+                    yield pd.DataFrame({"cells": out})
                     out = []
             if out:
-                yield pd.DataFrame(out, columns=["path", "row_number", "cells"])
+                yield pd.DataFrame({"cells": out})
+
+
+def _header(row: dict[int, str]) -> list[str]:
+    width = max(row, default=-1) + 1
+    return header_names([row.get(i, "") for i in range(width)])
 
 
 def parse_workbooks(files: DataFrame) -> DataFrame:
-    """``(path, content)`` -> one text column per header name of any workbook.
+    """``(content)`` -> one text column per header name of any workbook.
 
     Workbooks are united by column name. The header names are the only thing
     collected; rows go straight from the parser to the projection, unshuffled.
     """
-    rows = files.select("path", "content").mapInPandas(_workbook_batches, CELL_SCHEMA)
-    headers = (
-        rows.filter("row_number = 0")
-        .select(F.explode("cells").alias("name", "place"))
+    content = files.select("content")
+    headers = [
+        r["name"]
+        for r in content.mapInPandas(_header_batches, "name string, place int")
         .groupBy("name")
-        .agg(F.min(F.col("place").cast("int")).alias("place"))
+        .agg(F.min("place").alias("place"))
         .orderBy("place", "name")
         .collect()
-    )
+    ]
+    rows = content.mapInPandas(_row_batches, "cells map<string,string>")
 
-    def cell(header):
-        return F.try_element_at("cells", F.lit(header["name"]))
+    def cell(name: str) -> Column:
+        return F.try_element_at("cells", F.lit(name))
 
-    return rows.filter("row_number > 0").select(
-        *[
-            F.when(~cell(h).isin(NULL_TOKENS), cell(h)).alias(h["name"])
-            for h in headers
-        ]
-    )
+    return rows.select(*[F.when(~cell(n).isin(NULL_TOKENS), cell(n)).alias(n) for n in headers])
 
 
 def read_workbooks(spark: SparkSession, path) -> DataFrame:
-    """First sheet of every workbook; spread files before the parsing starts."""
+    """First sheet of every workbook below a path, one workbook per record."""
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.xlsx")
         .option("recursiveFileLookup", True)
         .load(path)
-        .select("path", "content")
+        .select("content")
     )
     return parse_workbooks(files)
