@@ -117,7 +117,7 @@ def _(spark, d):
 )
 def _(spark, d):
     path = shared_path(spark, "orders-csv")
-    write_csv(table(spark, d, "orders").select("o_orderkey", "o_custkey").orderBy("o_orderkey").coalesce(1), path)
+    write_csv(table(spark, d, "orders").select("o_orderkey", "o_custkey").orderBy("o_orderkey"), path)
     scan = read_csv(spark, path, multiline=False, row_order=True)
     typed, _ = inf.infer_types(scan, raw_text=True)
     return first_rows(typed, 5)
@@ -686,6 +686,11 @@ def _(spark, d):
     return pr.column_roles(table(spark, d, "part"), "part")
 
 
+@query("catalogue_roles", " UNION ALL ".join(_roles_sql(n) for n in _TABLE_TYPES))
+def _(spark, d):
+    return pr.catalogue_roles({n: table(spark, d, n) for n in _TABLE_TYPES})
+
+
 # --- structured queries ----------------------------------------------------
 
 
@@ -782,7 +787,7 @@ def _(spark, d):
         table(spark, d, "lineitem"),
         ["l_returnflag", "l_linestatus"],
         ["l_extendedprice", "l_quantity"],
-        buffer_rows=500,
+        ranked_values=500,
     )
     return narrowed.withColumn("l_extendedprice", F.round("l_extendedprice", 4))
 
@@ -987,7 +992,7 @@ def _(spark, d):
 
 
 def _roles(spark: SparkSession, d: str) -> DataFrame:
-    return pr.catalogue_roles({n: table(spark, d, n) for n in _TABLE_TYPES})
+    return pr.catalogue_roles({n: table(spark, d, n) for n in _TABLE_TYPES}, "decisive")
 
 
 _ALL_ROLES = "WITH roles AS (" + " UNION ALL ".join(_roles_sql(n) for n in _TABLE_TYPES) + "), "

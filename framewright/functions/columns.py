@@ -118,6 +118,12 @@ def unique_names(names: Sequence[str]) -> list[str]:
     return out
 
 
+def about_distinct(c: Column) -> Column:
+    """Estimated distinct non-null values, about 1.6 % off; one small sketch."""
+    hashed = F.when(c.isNotNull(), F.xxhash64(c))
+    return F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(hashed, 12)), F.lit(0))
+
+
 def per_column(
     df: DataFrame, names: Sequence[str], metrics: Callable[[str], dict[str, Column]]
 ) -> DataFrame:

@@ -29,7 +29,7 @@ def number_from_text(c: Column) -> Column:
     """Number held by a text, else null; out-of-range numbers are null too."""
     value = c.try_cast("double")
     finite = F.abs(value) < F.lit(float("inf"))
-    return F.when(c.rlike(INFINITY), value).when(c.rlike(NUMBER) & finite, value)
+    return F.when(c.rlike(NUMBER), F.when(finite, value)).when(c.rlike(INFINITY), value)
 
 
 def integer_from_text(c: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framewright.functions.columns import (
+    about_distinct,
     cells,
     col,
     local_rows,
@@ -28,9 +29,8 @@ from framewright.operators.lookups import lookup_join
 from framewright.operators.sampling import sample_rows
 from framewright.session import reliable
 
-# Relative error of the first, approximate distinct count, and how far above
-# half the rows an estimate must lie to rule a column out without counting.
-SKETCH_ERROR = 0.01
+# How far above half the rows an estimated distinct count must lie to rule a
+# column out without counting: over ten times the sketch's error.
 NEAR_HALF = 0.2
 # Largest dictionary that is broadcast: rows and bytes are both checked.
 DICTIONARY_ROWS = 10_000
@@ -133,7 +133,7 @@ def encoding_plan(df: DataFrame, names: Sequence[str] | None = None) -> Encoding
         lambda n: {
             "rows": F.count(F.lit(1)),
             "missing": F.count_if(col(n).isNull()),
-            "about": F.approx_count_distinct(col(n), SKETCH_ERROR),
+            "about": about_distinct(col(n)),
         },
     ).collect()
     open_columns = [

@@ -12,10 +12,12 @@ from pyspark.sql import types as T
 from framewright.functions.columns import cells, col, is_missing, per_column, text_columns
 from framewright.functions.fixed_values import (
     DATE_FORMATS,
+    FALSE_TOKENS,
     JSON_DATE_NAMES,
     JSON_DATE_PREFIXES,
     JSON_DATE_SUFFIXES,
     JSON_MIN_EPOCH,
+    TRUE_TOKENS,
 )
 from framewright.functions.text import (
     date_from_text,
@@ -25,6 +27,10 @@ from framewright.functions.text import (
     number_from_text,
 )
 
+# How texts of a date format begin. A text begins in one way at most, so it is
+# only held against the formats of its own family.
+DATE_FAMILIES = {"y-": r"^\d{4}-", "y/": r"^\d{4}/", "d/": r"^\d{1,2}/", "d-": r"^\d{1,2}-"}
+
 # Formats of a free-format date column: month first where both orders fit.
 FREE_DATE_FORMATS = [
     "yyyy-M-d",
@@ -68,18 +74,32 @@ def type_evidence(df: DataFrame, names: Sequence[str] | None = None) -> DataFram
     number of columns; counts combine on each task before the shuffle.
     """
     names = list(names or text_columns(df))
-    cell = F.col("cell")
+    cell, number = F.col("cell"), F.col("number")
+    family = F.lit(None).cast("string")
+    for label, start in DATE_FAMILIES.items():
+        family = F.when(cell.rlike(start), label).otherwise(family)
+    read = cells(df, names).select(
+        "column",
+        "cell",
+        number_from_text(cell).isNotNull().alias("number"),
+        family.alias("family"),
+    )
     counts = [
         F.count(F.lit(1)).alias("row_count"),
         F.count(cell).alias("present"),
-        F.count(number_from_text(cell)).alias("numbers"),
-        F.count(integer_from_text(cell)).alias("integers"),
-        F.count(flag_from_text(cell)).alias("flags"),
+        F.count_if(number).alias("numbers"),
+        F.count_if(number & integer_from_text(cell).isNotNull()).alias("integers"),
+        F.count_if(~number & cell.isin([*TRUE_TOKENS, *FALSE_TOKENS])).alias("flags"),
     ]
     for i, (prefix, spark_format) in enumerate(DATE_FORMATS):
-        counts.append(F.count_if(cell.rlike(f"^{prefix}")).alias(f"matched_{i}"))
-        counts.append(F.count_if(fits_date(cell, spark_format)).alias(f"parsed_{i}"))
-    return cells(df, names).groupBy("column").agg(*counts)
+        own = F.col("family") == _family(spark_format)
+        counts.append(F.count_if(own & cell.rlike(f"^{prefix}")).alias(f"matched_{i}"))
+        counts.append(F.count_if(own & fits_date(cell, spark_format)).alias(f"parsed_{i}"))
+    return read.groupBy("column").agg(*counts)
+
+
+def _family(spark_format: str) -> str:
+    return ("y" if spark_format.startswith("yyyy") else "d") + ("/" if "/" in spark_format else "-")
 
 
 def _date_format(e: Row) -> str | None:

@@ -1,188 +1,109 @@
 """Exact medians that never hold an unbounded group in one task.
 
-Spark's ``median`` keeps every distinct value of a group in one buffer. That
-is fine for groups of checked size and used for them. A larger group is
-narrowed first: mergeable quantile sketches give a bracket that must hold the
-middle, exact counts confirm it, and the bracket shrinks until few enough
-distinct values are left to rank. The sketches only choose brackets; the
-result is exact.
+Values are counted per group first: equal values merge on each task, and the
+shuffle spreads a group over its values. The counts are written once. Groups
+with few distinct values are ranked by a window per group. Otherwise the
+counts are range-partitioned by group and value, so that a large group covers
+many partitions; partition totals tell which partition holds the middle, and
+only that one is ranked.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.functions.columns import as_double, col
 from framewright.session import reliable
 
-# Largest group whose distinct values may share one buffer.
-BUFFER_ROWS = 1_000_000
-# Most groups that can be larger than the buffer; they are broadcast.
-MAX_HOT_GROUPS = 1_000_000
-# Quantile points per narrowing round, and the sketch accuracy behind them.
-POINTS = 500
-ACCURACY = 10_000
+# Most distinct values of one group that a single task may rank.
+RANKED_VALUES = 2_000_000
+
+_COLUMN, _VALUE = "_column", "_value"
 
 
 def grouped_median(
     df: DataFrame,
     keys: Sequence[str],
     values: Sequence[str],
-    buffer_rows: int = BUFFER_ROWS,
+    ranked_values: int = RANKED_VALUES,
 ) -> DataFrame:
-    """``keys`` and the exact median of each value column, nulls skipped."""
+    """``keys`` and the exact median of each value column, nulls skipped.
+
+    Keys must not be null; groups without any value have null medians.
+    """
+    names = {f"v{i}": v for i, v in enumerate(values)}
     rows = df.select(
-        *[col(k) for k in keys], *[as_double(df, v).alias(v) for v in values]
+        *[col(k) for k in keys], *[as_double(df, v).alias(n) for n, v in names.items()]
     )
-    sizes = rows.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("_rows"))
-    largest = sizes.agg(F.max("_rows").alias("top"), F.sum("_rows").alias("total")).first()
-    # At most total / limit groups exceed the limit, so the broadcast is bounded.
-    limit = max(buffer_rows, (largest["total"] or 0) // MAX_HOT_GROUPS)
-    buffered = [F.median(col(v)).alias(v) for v in values]
-    if (largest["top"] or 0) <= limit:
-        return rows.groupBy(*[col(k) for k in keys]).agg(*buffered)
-    hot = sizes.filter(F.col("_rows") > limit).drop("_rows")
-    same = _same_keys(keys)
-    cold_rows = rows.alias("r").join(F.broadcast(hot.alias("h")), same, "left_anti")
-    hot_rows = rows.alias("r").join(F.broadcast(hot.alias("h")), same, "left_semi")
-    cold = cold_rows.groupBy(*[col(k) for k in keys]).agg(*buffered)
-    narrowed = [
-        _narrowed_median(hot_rows, keys, v, limit).alias(f"m{i}") for i, v in enumerate(values)
-    ]
-    result = hot.alias("h")
-    for i, v in enumerate(values):
-        on = reduce(
-            lambda a, b: a & b,
-            [F.col(f"h.`{k}`").eqNullSafe(F.col(f"m{i}.`{k}`")) for k in keys],
-        )
-        result = result.join(narrowed[i], on, "left")
-    result = result.select(
-        *[F.col(f"h.`{k}`").alias(k) for k in keys],
-        *[F.col(f"m{i}._median").alias(v) for i, v in enumerate(values)],
+    long = rows.unpivot([col(k) for k in keys], list(names), _COLUMN, _VALUE)
+    medians = _medians(long, [*keys, _COLUMN], ranked_values)
+    return medians.groupBy(*[col(k) for k in keys]).agg(
+        *[F.max(F.when(F.col(_COLUMN) == n, F.col("_median"))).alias(v) for n, v in names.items()]
     )
-    return cold.unionByName(result)
 
 
-def _same_keys(keys: Sequence[str]):
-    return reduce(
-        lambda a, b: a & b,
-        [F.col(f"r.`{k}`").eqNullSafe(F.col(f"h.`{k}`")) for k in keys],
+def column_medians(
+    df: DataFrame, values: Sequence[str], ranked_values: int = RANKED_VALUES
+) -> DataFrame:
+    """``(column, median)`` of whole columns: the columns are the groups."""
+    long = df.select(*[as_double(df, v).alias(v) for v in values]).unpivot(
+        [], [col(v) for v in values], "column", _VALUE
     )
+    return _medians(long, ["column"], ranked_values).withColumnRenamed("_median", "median")
 
 
-def _with_bracket(values: DataFrame, bracket: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Each value beside the bracket of its group (bounded, see MAX_HOT_GROUPS)."""
-    joined = values.alias("r").join(F.broadcast(bracket.alias("h")), _same_keys(keys))
-    return joined.select(
-        *[F.col(f"r.`{k}`").alias(k) for k in keys],
-        F.col("r._v"),
-        *[F.col(f"h.{c}") for c in ("_n", "_lo", "_hi", "_below", "_inside")],
+def _medians(long: DataFrame, keys: Sequence[str], ranked_values: int) -> DataFrame:
+    groups = [col(k) for k in keys]
+    # A missing value counts no copies, but keeps its group in the result.
+    counts = reliable(
+        long.groupBy(*groups, _VALUE).agg(F.count(_VALUE).alias("_copies"))
     )
+    largest = counts.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if (largest or 0) <= ranked_values:
+        n = F.sum("_copies").over(Window.partitionBy(*groups))
+        ranked = _ranked(counts.withColumn("_n", n), groups, F.lit(0))
+    else:
+        ranked = _ranked_by_ranges(counts, keys)
+    low, high = F.expr("(_n + 1) div 2"), F.expr("_n div 2 + 1")
 
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_from") < rank) & (rank <= F.col("_upto")), F.col(_VALUE)))
 
-def _narrowed_median(rows: DataFrame, keys: Sequence[str], value: str, limit: int) -> DataFrame:
-    key_columns = [col(k) for k in keys]
-    values = rows.select(*key_columns, col(value).alias("_v")).filter(F.col("_v").isNotNull())
-    bracket = reliable(
-        values.groupBy(*key_columns).agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min("_v").alias("_lo"),
-            F.max("_v").alias("_hi"),
-            F.lit(0).cast("bigint").alias("_below"),
-            F.count(F.lit(1)).alias("_inside"),
-            F.approx_count_distinct("_v", 0.02).alias("_distinct"),
-        )
-    )
-    margin = 2
-    while bracket.filter((F.col("_distinct") > limit) & (F.col("_lo") < F.col("_hi"))).head(1):
-        bracket = reliable(_narrow(values, bracket, keys, margin))
-        margin *= 2  # only matters where a sketch missed; costs little otherwise
-    inside = _with_bracket(values, bracket, keys).filter(
-        F.col("_v").between(F.col("_lo"), F.col("_hi"))
-    )
-    # Distinct values with their counts: at most about `limit` per group now.
-    ranked = inside.groupBy(*key_columns, "_n", "_below", "_v").agg(
-        F.count(F.lit(1)).alias("_copies")
-    )
-    upto = F.sum("_copies").over(Window.partitionBy(*key_columns).orderBy("_v")) + F.col("_below")
-    ranked = ranked.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_copies"))
+    return ranked.groupBy(*groups).agg(((value_at(low) + value_at(high)) / 2).alias("_median"))
 
-    def value_at(rank):
-        return F.max(
-            F.when((F.col("_from") < rank) & (rank <= F.col("_upto")), F.col("_v"))
-        )
 
-    low, high = F.expr("(_n + 1) div 2"), F.expr("_n div 2 + 1")
-    return ranked.groupBy(*key_columns).agg(
-        ((value_at(low) + value_at(high)) / 2).alias("_median")
+def _ranked(counts: DataFrame, within: Sequence[Column], start: Column) -> DataFrame:
+    """Counts with the ranks each value covers: after ``_from``, up to ``_upto``."""
+    running = F.sum("_copies").over(Window.partitionBy(*within).orderBy(F.col(_VALUE).asc_nulls_first()))
+    return counts.withColumn("_upto", start + running).withColumn(
+        "_from", F.col("_upto") - F.col("_copies")
     )
 
 
-def _narrow(values: DataFrame, bracket: DataFrame, keys: Sequence[str], margin: int) -> DataFrame:
-    """One round: quantile points inside the bracket, then exact counts."""
-    key_columns = [col(k) for k in keys]
-    inside = _with_bracket(values, bracket, keys).filter(
-        F.col("_v").between(F.col("_lo"), F.col("_hi"))
+def _ranked_by_ranges(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Ranks around the middle of every group; other values are left out."""
+    groups = [col(k) for k in keys]
+    placed = reliable(
+        counts.repartitionByRange(*groups, _VALUE).withColumn("_part", F.spark_partition_id())
     )
-    points = [i / POINTS for i in range(POINTS + 1)]
-    sketched = inside.groupBy(*key_columns, "_n", "_lo", "_hi", "_below", "_inside").agg(
-        F.percentile_approx("_v", points, ACCURACY).alias("_q")
+    # At most one row per group and partition.
+    parts = placed.groupBy(*groups, "_part").agg(F.sum("_copies").alias("_size"))
+    whole = Window.partitionBy(*groups)
+    parts = parts.select(
+        "*",
+        F.sum("_size").over(whole).alias("_n"),
+        (F.sum("_size").over(whole.orderBy("_part")) - F.col("_size")).alias("_start"),
     )
-    place = (F.col("_n") / 2 - F.col("_below")) / F.col("_inside") * POINTS
-    first = F.floor(place).cast("int") - margin + 1
-    last = F.ceil(place).cast("int") + margin + 1
-    proposal = sketched.select(
-        *key_columns,
-        "_n",
-        F.when(first >= 1, F.try_element_at("_q", F.greatest(first, F.lit(1))))
-        .otherwise(F.col("_lo"))
-        .alias("_lo"),
-        F.when(last <= POINTS + 1, F.try_element_at("_q", F.least(last, F.lit(POINTS + 1))))
-        .otherwise(F.col("_hi"))
-        .alias("_hi"),
-        F.col("_lo").alias("_old_lo"),
-        F.col("_hi").alias("_old_hi"),
-        F.col("_below").alias("_old_below"),
-        F.col("_inside").alias("_old_inside"),
-    )
-    proposal = reliable(proposal)
-    slim = proposal.select(
-        *key_columns, "_n", "_lo", "_hi", F.col("_old_below").alias("_below"),
-        F.col("_old_inside").alias("_inside"),
-    )
-    within = F.col("_v").between(F.col("_lo"), F.col("_hi"))
-    counted = _with_bracket(values, slim, keys).groupBy(*key_columns).agg(
-        F.count_if(F.col("_v") < F.col("_lo")).alias("_new_below"),
-        F.count_if(within).alias("_new_inside"),
-        F.approx_count_distinct(F.when(within, F.col("_v")), 0.02).alias("_new_distinct"),
-    )
-    both = proposal.alias("r").join(counted.alias("h"), _same_keys(keys))
     low, high = F.expr("(_n + 1) div 2"), F.expr("_n div 2 + 1")
-    holds = (F.col("_new_below") < low) & (high <= F.col("_new_below") + F.col("_new_inside"))
-
-    def choose(new: str, old: str):
-        return F.when(holds, F.col(new)).otherwise(F.col(old))
-
-    return both.select(
-        *[F.col(f"r.`{k}`").alias(k) for k in keys],
-        "_n",
-        choose("_lo", "_old_lo").alias("_lo"),
-        choose("_hi", "_old_hi").alias("_hi"),
-        choose("_new_below", "_old_below").alias("_below"),
-        choose("_new_inside", "_old_inside").alias("_inside"),
-        F.when(holds, F.col("_new_distinct")).otherwise(F.lit(2**62)).alias("_distinct"),
-    )
-
-
-def column_medians(
-    df: DataFrame, values: Sequence[str], buffer_rows: int = BUFFER_ROWS
-) -> DataFrame:
-    """``(column, median)`` of whole columns: the columns are the groups."""
-    long = df.select(*[as_double(df, v).alias(v) for v in values]).unpivot(
-        [], [col(v) for v in values], "column", "median"
+    middle = parts.filter(
+        (F.col("_start") < high) & (F.col("_start") + F.col("_size") >= low) | (F.col("_n") == 0)
+    ).drop("_size")
+    inside = placed.alias("r").join(
+        middle.alias("m"),
+        [F.col(f"r.`{k}`") == F.col(f"m.`{k}`") for k in [*keys, "_part"]],
     )
-    return grouped_median(long, ["column"], ["median"], buffer_rows)
+    inside = inside.select("r.*", "m._n", "m._start")
+    return _ranked(inside, [*groups, F.col("_part")], F.col("_start"))

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framewright.functions.columns import (
+    about_distinct,
     as_double,
     col,
-    is_datetime,
     is_missing,
     local_rows,
     number_columns,
@@ -22,7 +22,9 @@ from framewright.functions.fixed_values import DISCRETE_BELOW
 from framewright.functions.text import two_decimals
 from framewright.operators.medians import column_medians
 
-SKETCH_ERROR = 0.01
+# Estimates up to this, or this near to half the rows, are counted exactly.
+FEW_VALUES = 64
+NEAR_HALF = 0.2
 COUNTS = ["row_count", "missing_count", "distinct_count"]
 
 # Longest cell that travels as it is in a distinct count; longer ones travel
@@ -107,95 +109,152 @@ def formatted_statistics(df: DataFrame, approx: bool = False) -> DataFrame:
     )
 
 
+def _cell_class(data_type: T.DataType) -> str:
+    """Type in which cells are compared: whole numbers, doubles or text."""
+    if isinstance(data_type, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
+        return "bigint"
+    if isinstance(data_type, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return "bigint"
+    if isinstance(data_type, (T.FloatType, T.DoubleType)):
+        return "double"
+    return "string"
+
+
 def _comparable(df: DataFrame, name: str) -> Column:
-    """Short text that is equal exactly when the cells are equal."""
-    data_type = df.schema[name].dataType
+    """A cell in its comparison type; equal exactly when the cells are equal."""
+    data_type, value = df.schema[name].dataType, col(name)
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
-        # Adding zero turns -0.0 into 0.0.
-        return F.when(~F.isnan(col(name)), (col(name) + F.lit(0.0))).cast("string")
+        return F.when(~F.isnan(value), value.cast("double"))
+    if isinstance(data_type, T.DateType):
+        return F.unix_date(value).cast("bigint")
+    if isinstance(data_type, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), value)
     if isinstance(data_type, T.TimestampType):
-        return F.unix_micros(col(name)).cast("string")
-    if isinstance(data_type, (T.ArrayType, T.StructType, T.MapType)):
-        text = F.to_json(col(name))
-    else:
-        text = col(name).cast("string")
-    if isinstance(data_type, T.NumericType) or is_datetime(data_type):
-        return text
+        return F.unix_micros(value)
+    if isinstance(data_type, T.BooleanType):
+        return value.cast("int").cast("bigint")
+    if _cell_class(data_type) == "bigint":
+        return value.cast("bigint")
+    nested = isinstance(data_type, (T.ArrayType, T.StructType, T.MapType))
+    text = F.to_json(value) if nested else value.cast("string")
     return F.when(F.octet_length(text) <= PLAIN_CELL_BYTES, text).when(
         text.isNotNull(), F.concat(F.lit("h:"), F.sha2(text, 256))
     )
 
 
-def _cell_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
+def _cell_counts(tables: Mapping[str, DataFrame], wanted: set[tuple[str, str]] | None = None) -> DataFrame:
     """``(table_name, position, row_count, missing_count, distinct_count)``.
 
-    One long table of cells, merged on each task and then shuffled by table,
-    column and value: no column and no hot value sits in one task, and a whole
-    catalogue costs one shuffle.
+    Cells go through one long table per comparison type, are merged on each
+    task and then shuffled by table, column and value: no column and no hot
+    value sits in one task, and a whole catalogue costs three shuffles.
+    ``wanted`` limits the work to some ``(table, column)`` pairs.
     """
-    parts = []
+    by_class: dict[str, list[DataFrame]] = {}
     for table_name, df in tables.items():
-        texts = df.select(*[_comparable(df, n).alias(f"{i}") for i, n in enumerate(df.columns)])
-        long = texts.unpivot([], [col(n) for n in texts.columns], "position", "cell")
-        parts.append(long.select(F.lit(table_name).alias("table_name"), "position", "cell"))
-    merged = (
-        reduce(DataFrame.unionAll, parts)
-        .groupBy("table_name", "position", "cell")
-        .agg(F.count(F.lit(1)).alias("copies"))
-    )
-    return merged.groupBy("table_name", F.col("position").cast("int").alias("position")).agg(
-        F.sum("copies").alias("row_count"),
-        F.coalesce(F.sum(F.when(F.col("cell").isNull(), F.col("copies"))), F.lit(0)).alias(
-            "missing_count"
-        ),
-        F.count("cell").alias("distinct_count"),
-    )
-
+        for kind in ("bigint", "double", "string"):
+            picked = {
+                str(i): f.name
+                for i, f in enumerate(df.schema.fields)
+                if _cell_class(f.dataType) == kind
+                and (wanted is None or (table_name, f.name) in wanted)
+            }
+            if not picked:
+                continue
+            long = df.select(*[_comparable(df, n).alias(i) for i, n in picked.items()]).unpivot(
+                [], list(picked), "position", "cell"
+            )
+            by_class.setdefault(kind, []).append(
+                long.select(F.lit(table_name).alias("table_name"), "position", "cell")
+            )
+    counted = []
+    for parts in by_class.values():
+        merged = (
+            reduce(DataFrame.unionAll, parts)
+            .groupBy("table_name", "position", "cell")
+            .agg(F.count(F.lit(1)).alias("copies"))
+        )
+        missing = F.when(F.col("cell").isNull(), F.col("copies"))
+        counted.append(
+            merged.groupBy("table_name", F.col("position").cast("int").alias("position")).agg(
+                F.sum("copies").alias("row_count"),
+                F.coalesce(F.sum(missing), F.lit(0)).alias("missing_count"),
+                F.count("cell").alias("distinct_count"),
+            )
+        )
+    return reduce(DataFrame.unionAll, counted)
 
-def distinct_counts(df: DataFrame, approx: bool = False) -> DataFrame:
-    """``(position, column, distinct_count)`` of the non-null values.
 
-    ``approx`` is one pass of sketches; otherwise the counts are exact.
-    """
-    if approx:
-        return per_column(
+def _sketch_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """The same from one pass of sketches; ``distinct_count`` is an estimate."""
+    parts = [
+        per_column(
             df,
             df.columns,
-            lambda n: {"distinct_count": F.approx_count_distinct(col(n), SKETCH_ERROR)},
-        )
-    return catalogue_roles({"": df}).select("position", "column", "distinct_count")
+            lambda n, df=df: {
+                "row_count": F.count(F.lit(1)),
+                "missing_count": F.count_if(is_missing(df, n)),
+                "distinct_count": about_distinct(col(n)),
+            },
+        ).select(F.lit(table_name).alias("table_name"), "position", *COUNTS)
+        for table_name, df in tables.items()
+    ]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _near_a_limit(distinct: int, rows: int) -> bool:
+    """Whether an estimate leaves a role or a chart rule open."""
+    return distinct <= FEW_VALUES or abs(2 * distinct - rows) <= NEAR_HALF * rows
+
+
+def _decisive_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Sketches, replaced by exact counts where a rule could go either way."""
+    names = {t: df.columns for t, df in tables.items()}
+    rows = [tuple(r) for r in _sketch_counts(tables).collect()]  # one row per column
+    wanted = {
+        (t, names[t][position])
+        for t, position, row_count, _, distinct in rows
+        if _near_a_limit(distinct, row_count)
+    }
+    spark = next(iter(tables.values())).sparkSession
+    settled = local_rows(
+        spark,
+        [r for r in rows if (r[0], names[r[0]][r[1]]) not in wanted],
+        table_name="string",
+        position="int",
+        row_count="bigint",
+        missing_count="bigint",
+        distinct_count="bigint",
+    )
+    return settled.unionAll(_cell_counts(tables, wanted)) if wanted else settled
 
 
-def column_roles(df: DataFrame, table_name: str = "", approx: bool = False) -> DataFrame:
+def distinct_counts(df: DataFrame, counting: str = "exact") -> DataFrame:
+    """``(position, column, distinct_count)`` of the non-null values."""
+    return column_roles(df, counting=counting).select("position", "column", "distinct_count")
+
+
+def column_roles(df: DataFrame, table_name: str = "", counting: str = "exact") -> DataFrame:
     """The profile the chart rules work on, one row per column.
 
     ``(table_name, position, column, dtype, row_count, missing_count,
     distinct_count, role, subtype)``.
     """
-    return catalogue_roles({table_name: df}, approx)
+    return catalogue_roles({table_name: df}, counting)
+
 
+def catalogue_roles(tables: Mapping[str, DataFrame], counting: str = "exact") -> DataFrame:
+    """Column roles of many tables, as one table.
 
-def catalogue_roles(tables: Mapping[str, DataFrame], approx: bool = False) -> DataFrame:
-    """Column roles of many tables, as one table."""
+    ``counting`` is ``exact``, ``approx`` (sketches only) or ``decisive``
+    (exact roles; distinct counts far from every limit are estimates).
+    """
     keys = ["table_name", "position"]
-    if approx:
-        counts = reduce(
-            DataFrame.unionAll,
-            [
-                per_column(
-                    df,
-                    df.columns,
-                    lambda n, df=df: {
-                        "row_count": F.count(F.lit(1)),
-                        "missing_count": F.count_if(is_missing(df, n)),
-                        "distinct_count": F.approx_count_distinct(col(n), SKETCH_ERROR),
-                    },
-                ).select(F.lit(t).alias("table_name"), "position", *COUNTS)
-                for t, df in tables.items()
-            ],
-        )
-    else:
-        counts = _cell_counts(tables)
+    counts = {
+        "exact": _cell_counts,
+        "approx": _sketch_counts,
+        "decisive": _decisive_counts,
+    }[counting](tables)
     spark = next(iter(tables.values())).sparkSession
     known = local_rows(
         spark,

@@ -32,7 +32,7 @@ class Overview(NamedTuple):
 
 def explore(df: DataFrame, order_by: Sequence[str], approx: bool = False) -> Overview:
     """Everything shown for a frame; ``approx`` keeps it to sketches."""
-    roles = column_roles(df, approx=approx)
+    roles = column_roles(df, counting="approx" if approx else "decisive")
     return Overview(
         row_and_column_count(df),
         sample_records(df, order_by),
