@@ -81,11 +81,11 @@ class Answer(NamedTuple):
 def equals_number(df: DataFrame, name: str, number: float) -> Column:
     """Numeric equality; a column that holds no numbers matches nothing."""
     data_type = df.schema[name].dataType
+    if isinstance(number, int):  # a flag is 1 or 0
+        number = int(number) if abs(number) < 2**63 else float(number)
     if isinstance(data_type, T.BooleanType):
         return col(name).cast("int") == F.lit(number)
-    if is_number(data_type):
-        return col(name) == F.lit(int(number) if isinstance(number, bool) else number)
-    return F.lit(False)
+    return col(name) == F.lit(number) if is_number(data_type) else F.lit(False)
 
 
 def contains_text(

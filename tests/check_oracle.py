@@ -46,9 +46,8 @@ def family(kind: str) -> str:
     }.get(kind, kind)
 
 
-def compare(spark, con, build, sql, sf_dir) -> str | None:
+def compare(con, df, sql) -> str | None:
     """None when both agree, else what differs."""
-    df = build(spark, sf_dir)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     cur = con.execute(sql)
     names = [c[0] for c in cur.description]
@@ -87,7 +86,7 @@ if __name__ == "__main__":
         start = time.time()
         try:
             result = (
-                compare(spark, con, build, oracles[name], sf_dir)
+                compare(con, build(spark, sf_dir), oracles[name])
                 if name in oracles
                 else f"no oracle, {build(spark, sf_dir).count()} rows"
             )
