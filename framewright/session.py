@@ -19,6 +19,8 @@ def build_session(master: str | None = None, app_name: str = "framewright", **co
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # Recording the Python line of every expression slows planning.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for key, value in settings.items():
