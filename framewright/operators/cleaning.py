@@ -120,7 +120,9 @@ def display_text(df: DataFrame) -> DataFrame:
             return F.coalesce(value.cast("string"), F.lit(NULL_TEXT))
         if isinstance(field.dataType, (T.NumericType, T.BooleanType)):
             return value
-        return F.coalesce(F.to_json(value), F.lit(NULL_TEXT))
+        nested = isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType))
+        text = F.to_json(value) if nested else value.cast("string")
+        return F.coalesce(text, F.lit(NULL_TEXT))
 
     return df.select(*[shown(f).alias(f.name) for f in df.schema.fields])
 

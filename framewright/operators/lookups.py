@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions.columns import col
@@ -14,6 +14,10 @@ HEAVY_KEY_BYTES = 4_096
 SPREAD = 4_096
 
 
+def _spread_of(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SPREAD).cast("bigint"))
+
+
 def lookup_join(df: DataFrame, key: str, lookup: DataFrame, name: str) -> DataFrame:
     """``df`` with the lookup's value of ``key`` as column ``name``.
 
@@ -21,7 +25,8 @@ def lookup_join(df: DataFrame, key: str, lookup: DataFrame, name: str) -> DataFr
     ``occurrences``, how many rows of ``df`` hold the key. Heavy keys (at most
     HEAVY_PARTS of them, because their rows add up to no more than all rows)
     are broadcast; the others are shuffled. Rows that need no shuffled match
-    carry a null key and a spread-out second key, so they share no task.
+    carry a null key, and a second key made from their row number spreads them
+    over all tasks; for the others the second key follows from the first.
     """
     total = lookup.agg(F.coalesce(F.sum("occurrences"), F.lit(0)).alias("n")).scalar()
     is_heavy = (F.col("occurrences") * HEAVY_PARTS > total) & (
@@ -32,14 +37,14 @@ def lookup_join(df: DataFrame, key: str, lookup: DataFrame, name: str) -> DataFr
     )
     light = lookup.filter(~is_heavy).select(
         F.col("key").alias("_light_key"),
-        F.lit(0).cast("bigint").alias("_light_spread"),
+        _spread_of(F.col("key")).alias("_light_spread"),
         F.col("value").alias("_light_value"),
     )
     probed = df.join(F.broadcast(heavy), col(key) == F.col("_heavy_key"), "left")
     open_key = F.when(F.col("_heavy_key").isNull(), col(key))
     probed = probed.withColumn("_open_key", open_key).withColumn(
         "_spread",
-        F.when(F.col("_open_key").isNotNull(), F.lit(0).cast("bigint")).otherwise(
+        F.when(F.col("_open_key").isNotNull(), _spread_of(F.col("_open_key"))).otherwise(
             F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))
         ),
     )

@@ -80,26 +80,34 @@ def numeric_summary(df: DataFrame, approx: bool = False) -> DataFrame:
     if not approx:
         medians = column_medians(df, names)
         summary = summary.join(
-            medians.select(F.col("column").alias("_column"), "median"),
+            F.broadcast(medians.select(F.col("column").alias("_column"), "median")),
             F.col("column") == F.col("_column"),
             "left",
         )
     return summary.select("position", "column", "mean", "median", "min", "max")
 
 
-def profile(df: DataFrame, approx: bool = False) -> DataFrame:
-    """Information of every column beside the summary of the numeric ones."""
-    summary = numeric_summary(df, approx).drop("position").withColumnRenamed("column", "_column")
+def profile(df: DataFrame, approx: bool = False, summary: DataFrame | None = None) -> DataFrame:
+    """Information of every column beside the summary of the numeric ones.
+
+    ``summary`` is the result of ``numeric_summary`` where it is at hand.
+    """
+    summary = numeric_summary(df, approx) if summary is None else summary
+    # Both sides hold one row per column.
+    numbers = summary.drop("position").withColumnRenamed("column", "_column")
     return (
         column_information(df)
-        .join(summary, F.col("column") == F.col("_column"), "left")
+        .join(F.broadcast(numbers), F.col("column") == F.col("_column"), "left")
         .drop("_column")
     )
 
 
-def formatted_statistics(df: DataFrame, approx: bool = False) -> DataFrame:
+def formatted_statistics(
+    df: DataFrame, approx: bool = False, summary: DataFrame | None = None
+) -> DataFrame:
     """``(column, mean, median, range)`` as display text."""
-    return numeric_summary(df, approx).select(
+    summary = numeric_summary(df, approx) if summary is None else summary
+    return summary.select(
         "column",
         two_decimals(F.col("mean")).alias("mean"),
         two_decimals(F.col("median")).alias("median"),

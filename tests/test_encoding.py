@@ -1,5 +1,7 @@
 """Encoding choices, labels on both dictionary paths, one-hot."""
 
+import re
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -80,3 +82,21 @@ def test_substitution_uses_first_encoding(spark):
     shown = en.substitute_encoded(encoded.data, encoded.mapping, ["c"], ["i"], max_rows=10)
     assert shown.count() == 10
     assert dict(shown.dtypes)["c"] == "boolean"
+
+
+def test_shuffled_labels_spread_settled_rows(spark):
+    """Rows settled by the broadcast part must not meet in one partition."""
+    values = ["hot" if i % 3 else f"k{i}" for i in range(9000)]
+    frame = column(spark, values)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        encoded = en.label_encode(frame, "c", dictionary_rows=1)
+        text = encoded._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
+        )
+        assert re.search(r"hashpartitioning\(_open_key#\d+, _spread#\d+L", text)
+        classes = sorted(set(values))
+        want = [classes.index(v) for v in values[:50]]
+        assert [r["c_encoded"] for r in encoded.orderBy("i").limit(50).collect()] == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
