@@ -144,7 +144,7 @@ def _(spark, d):
         "event_id",
         F.col("user_id").cast("string").alias("user_id"),
         "event_type",
-        F.unix_seconds(F.col("ts").cast("timestamp")).alias("created_at"),
+        F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), "ts").alias("created_at"),
     ).write.mode("overwrite").json(path)
     return inf.json_types(read_json(spark, path))
 

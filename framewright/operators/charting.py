@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from framewright.functions.columns import (
     as_double,
     col,
+    is_datetime,
     mean,
     number_columns,
     require_columns,
@@ -112,8 +113,11 @@ def time_series(df: DataFrame, time: str, value: str, bucket: str | None = None)
     require_columns(df, [time, value])
     rows = drop_missing(df.select(col(time), col(value)), [time, value])
     if bucket is not None:
+        start = F.date_trunc(bucket, col(time))
+        if is_datetime(df.schema[time].dataType):
+            start = start.cast(df.schema[time].dataType)
         return (
-            rows.groupBy(F.date_trunc(bucket, col(time)).alias(time))
+            rows.groupBy(start.alias(time))
             .agg(mean(df, value).alias(value))
             .orderBy(col(time))
         )

@@ -240,6 +240,10 @@ def json_types(df: DataFrame) -> DataFrame:
             continue
         # The first unit whose dates fit a 64-bit count of nanoseconds.
         unit = next((u for u in (1, 1_000, 1_000_000) if high / u < 2**63 / 1e9), 1_000_000_000)
-        seconds = col(n).cast("double") / unit
-        changes[n] = F.timestamp_seconds(seconds).cast("timestamp_ntz")
+        seconds = (col(n).cast("double") / unit).cast("decimal(18,6)")
+        zero = F.lit(0)
+        # Added to the epoch, so the session's time zone plays no part.
+        changes[n] = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(
+            zero, zero, zero, seconds
+        )
     return df.withColumns(changes) if changes else df
