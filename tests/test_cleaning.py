@@ -173,9 +173,8 @@ def test_whole_cleaning_reports(spark):
     frame = spark.createDataFrame(data, "`A N` string, tag string, gone string, day string")
     for materialise in (True, False):
         loaded = clean_and_encode(frame, raw_text=True, materialise=materialise)
-        assert loaded.data.columns == ["a_n", "tag", "day"] or loaded.data.columns == [
-            "a_n", "tag", "day", "tag_encoded"
-        ]
+        # Two values in three rows are too many to encode.
+        assert loaded.data.columns == ["a_n", "tag", "day"]
         assert loaded.data.dtypes[0] == ("a_n", "bigint")
         assert loaded.data.count() == 3
         assert rows(loaded.report) == [

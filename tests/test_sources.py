@@ -23,7 +23,7 @@ def put(folder, name, text):
 
 def test_header_names():
     assert header_names(["a", "a", "", "a", "b"]) == ["a", "a.1", "Unnamed: 2", "a.2", "b"]
-    assert header_names(["a", "a", "a.1"]) == ["a", "a.2", "a.1"] or header_names(["a", "a", "a.1"])[1] != "a.1"
+    assert header_names(["a", "a", "a.1"]) == ["a", "a.2", "a.1"]
 
 
 def test_csv_cells(spark, tmp_path):
