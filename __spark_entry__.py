@@ -1115,9 +1115,24 @@ def entry(spark: SparkSession) -> DataFrame:
     return qu.run_intent(orders, intent).data
 
 
+def _corpus() -> tuple[dict, dict]:
+    """Queries and SQL of the corpus operators, where that subpackage is installed."""
+    try:
+        import corpus_pipeline
+        from framewright.llm import queries as corpus
+    except ModuleNotFoundError as gone:
+        if gone.name not in ("corpus_pipeline", "framewright.llm", "framewright.llm.queries"):
+            raise
+        return {}, {}
+    oracles = dict(corpus.ORACLES)
+    if corpus_pipeline.ORACLE_SQL is not None:
+        oracles["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return {**corpus.QUERIES, "pipeline": corpus_pipeline.run}, oracles
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return {**_QUERIES, **_corpus()[0]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return {**_ORACLES, **_corpus()[1]}

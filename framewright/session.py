@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_roots: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def build_session(master: str | None = None, app_name: str = "framewright", **conf: str) -> SparkSession:
@@ -29,34 +30,57 @@ def build_session(master: str | None = None, app_name: str = "framewright", **co
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The folder for written stages, reachable from driver and executors.
 
-    Only a local session may fall back to a temporary folder of its machine.
+    ``spark.checkpoint.dir`` where it is set, else a folder below the warehouse.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    app = spark.sparkContext.applicationId
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="framewright-")
-    return _local_roots[app]
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stages"
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; the open scope, if any, owns it."""
+    path = f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
 
 
-def reliable(df: DataFrame) -> DataFrame:
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a path on whatever file system holds it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def stage_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete, on leaving, every shared path that was asked for inside.
+
+    Results that still read those stages have to be written before.
+    """
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for path in made:
+            remove_path(spark, path)
+
+
+def reliable(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write the frame to the shared folder and go on from there.
 
     Cuts the lineage, so nothing before it runs again, and a lost executor
-    only rereads. Parquet keeps later reads to the columns they need.
+    only rereads. Parquet keeps later reads to the columns they need. With
+    ``keep`` the stage outlives the innermost open scope.
     """
     spark = df.sparkSession
     path = shared_path(spark, "stage")
+    if keep and _scopes:
+        _scopes[-1].remove(path)
+        if len(_scopes) > 1:
+            _scopes[-2].append(path)
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     plain.write.parquet(path)
     return spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
