@@ -6,7 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import op1_warc, op8_token_files, op10_mixing
+from framewright.llm import (
+    op1_warc,
+    op3_decontaminate,
+    op4_language,
+    op7_url_trust,
+    op8_token_files,
+    op9_vector_search,
+    op10_mixing,
+)
 from framewright.llm.common import table
 from framewright.session import shared_path
 
@@ -18,6 +26,20 @@ def op1_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_warc.read_all(directory, folder)
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_decontaminate.find(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_language.identify(table(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_url_trust.judge(table(spark, sf_dir, "pages"))
+
+
 def op8_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "tokens")
     op8_token_files.write_tokens(
@@ -26,6 +48,10 @@ def op8_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_token_files.token_digests(op8_token_files.read_tokens(spark, path))
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_vector_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = op10_mixing.plan_mix(table(spark, sf_dir, "documents"))
     each = plan.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
@@ -42,7 +68,15 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (op1_warc_capture_index, op8_token_id_files, op10_source_mixing)
+    for q in (
+        op1_warc_capture_index,
+        op3_benchmark_decontamination,
+        op4_language_id,
+        op7_url_filter,
+        op8_token_id_files,
+        op9_exact_top_k,
+        op10_source_mixing,
+    )
 }
 
 _OP1_SQL = """
@@ -57,4 +91,19 @@ SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.digest AS payload_dige
 FROM p LEFT JOIN f ON p.digest = f.digest AND p.n >= 100
 """
 
-ORACLES = {"op1_warc_capture_index": _OP1_SQL}
+_OP9_SQL = """
+WITH v AS (
+  SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.id AS query_id, c.id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.vec, c.vec), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM (SELECT DISTINCT id, vec FROM v WHERE id % 50 = 0) q
+  JOIN (SELECT DISTINCT id, vec FROM v) c ON q.id <> c.id AND len(q.vec) = len(c.vec)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+ORACLES = {"op9_exact_top_k": _OP9_SQL, "op1_warc_capture_index": _OP1_SQL}
