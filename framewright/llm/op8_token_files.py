@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import functools
 import os
-import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -34,58 +34,83 @@ LAYOUT = {
 }
 FILE_SCHEMA = "doc_id bigint, part int, part_offset bigint, n_tokens bigint, ids array<int>"
 # Cached words of a Python worker; beyond it the cache starts anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 # Tokens in one Arrow batch of output.
 BATCH_TOKENS = 2_000_000
 
 
+# The printable letter of each byte in byte-level vocabularies: printable bytes
+# stand for themselves, the others follow from 256 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_LETTER = dict(zip((b for b in range(256) if b not in _PRINTABLE), range(256, 512), strict=False))
+
+
+def _printed(text: str) -> str:
+    return text.encode("utf-8", "surrogatepass").decode("latin-1").translate(_LETTER)
+
+
 class Encoder:
     """Exact ids of whole texts, remembering the words it has met.
 
     The byte-level pre-tokenizer never joins characters on both sides of a
     single space between two non-blanks: the space starts the next piece. So a
     text whose spaces all stand alone is the concatenation of its first word
-    and of its other words with a space before each, each encoded by itself.
-    Other texts, and those that hold a special token, are encoded whole.
+    and of its other words with a space before each. A new word is cut by the
+    library's pre-tokenizer, and its pieces encoded by the library's model.
+    Texts with other runs of blanks, or with a special token, are encoded whole.
     """
 
-    BLANKS = re.compile(r"\s | \s|^\s|\s$|[\x1c-\x1f\x85]")
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        found = self.model.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def learn(self, cache: dict[str, bytes], new: list[str], lead: str) -> None:
-        cache.update(zip(new, self.ids([lead + w for w in new]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.rest) > CACHED_WORDS:
+        self.whole = Tokenizer.from_file(path)
+        self.model, self.cut = self.whole.model, self.whole.pre_tokenizer
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.first: dict[str, bytes | None] = {}
+        self.rest: dict[str, bytes | None] = {}
+
+    def piece(self, text: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(text)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def word(self, text: str, lead: str) -> bytes | None:
+        """None where the word is empty or has a blank at an end: its text is encoded whole.
+
+        Letters alone, and letters before one mark, need no pre-tokenizer: the
+        letters with their space are a piece, and so is the mark.
+        """
+        if not text or text[0].isspace() or text[-1].isspace():
+            return None
+        if text.isalpha():
+            return self.piece(_printed(lead + text))
+        if text[-1] in ".,;:!?" and text[:-1].isalpha():
+            return self.piece(_printed(lead + text[:-1])) + self.piece(text[-1])
+        return b"".join([self.piece(p) for p, _ in self.cut.pre_tokenize_str(lead + text)])
+
+    def all_at_once(self, text: str) -> bytes:
+        found = self.whole.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def encode(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return self.all_at_once(text)
+        words = text.split(" ")
+        head = words[0]
+        del words[0]
+        rest = self.rest
+        for new in [w for w in set(words) if w not in rest]:
+            rest[new] = self.word(new, " ")
+        if head not in self.first:
+            self.first[head] = self.word(head, "")
+        try:
+            coded = b"".join([self.first[head], *map(rest.__getitem__, words)])
+        except TypeError:  # a word is None
+            coded = self.all_at_once(text)
+        if len(rest) + len(self.first) > CACHED_WORDS:
+            rest.clear()
             self.first.clear()
-            self.rest.clear()
-        whole = [
-            bool(self.BLANKS.search(t)) or any(s in t for s in self.special) for t in texts
-        ]
-        split = [None if odd else t.split(" ") for t, odd in zip(texts, whole, strict=True)]
-        plain = [s for s in split if s]
-        heads = {s[0] for s in plain}
-        tails = set().union(*(s[1:] for s in plain)) if plain else set()
-        self.learn(self.first, list(heads - self.first.keys()), "")
-        self.learn(self.rest, list(tails - self.rest.keys()), " ")
-        direct = iter(self.ids([t for t, odd in zip(texts, whole, strict=True) if odd]))
-        get = self.rest.__getitem__
-        return [
-            next(direct) if s is None else self.first[s[0]] + b"".join(map(get, s[1:]))
-            for s in split
-        ]
+        return coded
 
 
 @functools.cache
@@ -114,21 +139,18 @@ def _encode(tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, at = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                few = batch.slice(low, 500)
-                keys, texts = few.column(0).to_pylist(), few.column(1).to_pylist()
-                coded, starts, held = [], [], 0
-                for code in encoder.encode(texts):
-                    coded.append(code + end)
-                    starts.append(at)
-                    at += len(coded[-1]) // 4
-                    held += len(coded[-1]) // 4
-                    if held >= BATCH_TOKENS:
-                        n = len(coded)
-                        yield rows(keys[:n], part, starts, coded)
-                        keys, coded, starts, held = keys[n:], [], [], 0
-                if coded:
-                    yield rows(keys, part, starts, coded)
+            keys, coded, starts, held = batch.column(0).to_pylist(), [], [], 0
+            for text in batch.column(1):
+                coded.append(encoder.encode(text.as_py()) + end)
+                starts.append(at)
+                at += len(coded[-1]) // 4
+                held += len(coded[-1]) // 4
+                if held >= BATCH_TOKENS:
+                    n = len(coded)
+                    yield rows(keys[:n], part, starts, coded)
+                    keys, coded, starts, held = keys[n:], [], [], 0
+            if coded:
+                yield rows(keys, part, starts, coded)
 
     return run
 
