@@ -10,6 +10,7 @@ from framewright.llm import (
     op1_warc,
     op3_decontaminate,
     op4_language,
+    op6_near_duplicates,
     op7_url_trust,
     op8_token_files,
     op9_vector_search,
@@ -36,6 +37,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_language.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_near_duplicate_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_url_trust.judge(table(spark, sf_dir, "pages"))
 
@@ -72,6 +77,7 @@ QUERIES = {
         op1_warc_capture_index,
         op3_benchmark_decontamination,
         op4_language_id,
+        op6_near_duplicate_components,
         op7_url_filter,
         op8_token_id_files,
         op9_exact_top_k,
