@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from framewright.llm import (
     op1_warc,
+    op2_class_ngrams,
     op3_decontaminate,
     op4_language,
+    op5_repeats,
     op6_near_duplicates,
     op7_url_trust,
     op8_token_files,
@@ -27,6 +29,10 @@ def op1_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_warc.read_all(directory, folder)
 
 
+def op2_class_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_class_ngrams.score(table(spark, sf_dir, "documents"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_decontaminate.find(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -37,6 +43,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_language.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_repeats.remove_repeats(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op6_near_duplicate_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -75,8 +85,10 @@ QUERIES = {
     q.__name__: q
     for q in (
         op1_warc_capture_index,
+        op2_class_ngram_scores,
         op3_benchmark_decontamination,
         op4_language_id,
+        op5_repeated_strings,
         op6_near_duplicate_components,
         op7_url_filter,
         op8_token_id_files,
