@@ -109,7 +109,8 @@ def best_class(
     t[home] -= after
     t[:, home] -= before
     t[home, home] -= own
-    rows, columns, corner = t.sum(axis=1), t.sum(axis=0), np.diag(t)
+    # What stands before and after the word counts for other classes wherever it goes.
+    rows, columns, corner = t.sum(axis=1) + before, t.sum(axis=0) + after, np.diag(t)
     gain = (_xlogx(t + after[None, :]) - _xlogx(t)).sum(axis=1)
     gain += (_xlogx(t + before[:, None]) - _xlogx(t)).sum(axis=0)
     gain += (

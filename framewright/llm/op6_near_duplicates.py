@@ -9,11 +9,15 @@ registers that are larger, smaller and equal gives the maximum-likelihood
 estimate of the similarity, given both set sizes; pairs far below the threshold
 go. The others are confirmed on the full sets.
 
-No group is expanded into its pairs. A bucket first links its members to its
-smallest one, later to other members in turn, and only members that still lie
-in different components are compared further, until none such is left
-untested. With BANDS bands of ROWS registers a pair exactly at similarity 0.8
-never meets with a chance of 1e-8.
+No group is expanded into its pairs. Every bucket links its members to one, the
+most central, and what is left to the most central of the rest. Members that
+still lie in different components are compared only where they can be similar:
+let p be the central member and y one that isn't linked to it. A set x can reach
+the threshold with y only if it shares a shingle with y outside p, since what
+y shares with p is too little, or if x is smaller than p by enough. So pairs are
+found by their differences from p, cut to a prefix by the number of differences
+that must agree, and no others need a look. With BANDS bands of ROWS registers a
+pair exactly at similarity 0.8 never meets with a chance of 1e-8.
 """
 
 from __future__ import annotations
@@ -35,8 +39,8 @@ BANDS, ROWS = 60, 6
 BASE = 1.001
 # Registers used by the estimate, and how far below the threshold it may lie.
 JUDGED, SLACK = 128, 0.25
-# Rounds in which a bucket links its members to one member.
-STAR_ROUNDS = 3
+# Rounds in which what a centre has left unlinked is linked to the most central of it.
+STAR_ROUNDS = 2
 
 _RNG = np.random.default_rng(11)
 _A = _RNG.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -188,25 +192,103 @@ def _linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame, threshold: in
     return reliable(full.mapInArrow(_confirm(threshold), "a bigint, b bigint"))
 
 
-def _labelled(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    return buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _rooted(pairs: DataFrame, roots: DataFrame, name: str, root: str) -> DataFrame:
+    """The pairs with the component of one side; nodes without links are their own."""
+    named = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    joined = pairs.join(named, F.col(name) == F.col("_node"), "left")
+    return joined.withColumn(root, F.coalesce("_root", name)).drop("_node", "_root")
 
 
-def _open(labelled: DataFrame) -> DataFrame:
-    """Rows of the buckets of three or more whose members lie in several components."""
-    mixed = (
-        labelled.groupBy("key")
+def _mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(centre, node, root, centre_root) of buckets of three or more in several components."""
+    rows = _rooted(_rooted(buckets, roots, "node", "root"), roots, "centre", "centre_root")
+    open_ = (
+        rows.groupBy("key")
         .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
         .filter("low <> high and size > 2")
         .select("key")
     )
-    return labelled.join(mixed, "key")
+    return rows.join(open_, "key").select("centre", "node", "root", "centre_root").distinct()
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        shared, tokens = [], []
+        for own, centre in zip(batch.column(4), batch.column(5), strict=True):
+            x, c = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (own, centre))
+            outside = x[~np.isin(x, c, assume_unique=True)]
+            shared.append(len(x) - len(outside))
+            tokens.append(outside.view(np.int64))
+        sizes = [len(v.as_buffer()) // 8 for v in batch.column(4)]
+        centres = [len(v.as_buffer()) // 8 for v in batch.column(5)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                *batch.columns[:4], pa.array(sizes, pa.int64()), pa.array(centres, pa.int64()),
+                pa.array(shared, pa.int64()), pa.array(tokens, pa.list_(pa.int64())),
+            ],
+            names=["centre", "node", "root", "centre_root", "n", "n_centre", "shared", "tokens"],
+        )
+
+
+def _by_differences(mixed: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of different components that may reach the threshold, by centre.
+
+    a is not linked to the centre. For similarity s the overlap of x and y is
+    at least s / (1 + s) * (|x| + |y|).
+    """
+    own = sets.select("node", F.col("members").alias("own"))
+    middle = sets.select(F.col("node").alias("centre"), F.col("members").alias("middle"))
+    rows = reliable(
+        mixed.join(own, "node")
+        .join(middle, "centre")
+        .select("centre", "node", "root", "centre_root", "own", "middle")
+        .mapInArrow(
+            _differences,
+            "centre bigint, node bigint, root bigint, centre_root bigint, n bigint, n_centre bigint, "
+            "shared bigint, tokens array<bigint>",
+        )
+    )
+
+    def overlap(n, m):
+        return F.ceil(F.lit(threshold) * (n + m) / (100 + threshold) - 1e-9)
+
+    left = rows.filter("root <> centre_root").withColumn(
+        # Of the differences, in hash order, so many must be looked up for sets not smaller than the centre.
+        "prefix", F.size("tokens") - (overlap(F.col("n"), F.col("n_centre")) - F.col("shared")) + 1
+    )
+    y = left.select(
+        "centre", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"),
+        "shared", "prefix", F.posexplode("tokens").alias("place", "token"),
+    )
+    x = rows.select(
+        "centre", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"),
+        "n_centre", F.explode("tokens").alias("token"),
+    )
+    enough = overlap(F.col("n_a"), F.col("n_b"))
+    by_token = y.join(x, ["centre", "token"]).filter(
+        (F.col("root_a") != F.col("root_b"))
+        & (100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
+        & ((F.col("place") < F.col("prefix")) | (F.col("n_b") < F.col("n_centre")))
+        & (enough > F.col("shared"))
+    )
+    small = rows.filter("n < n_centre").select(
+        "centre", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b")
+    )
+    some = left.select(
+        "centre", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), "shared"
+    ).filter(100 * F.col("shared") >= threshold * F.col("n_a"))
+    by_size = some.join(small, "centre").filter(
+        (F.col("root_a") != F.col("root_b"))
+        & (100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
+        & (enough <= F.col("shared"))
+    )
+    return by_token.select("a", "b").unionAll(by_size.select("a", "b"))
+
+
 def near_duplicates(
     docs: DataFrame, k: int = 2, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -239,32 +321,32 @@ def near_duplicates(
     texts = picked.join(wanted, F.col("doc_id") == F.col("node")).select("node", "text")
     sets = reliable(texts.mapInArrow(_sets(k), "node bigint, members binary"))
 
-    pivots = buckets.groupBy("key").agg(F.min("node").alias("pivot"))
-    pairs = reliable(
-        _ordered(
-            buckets.join(pivots, "key")
-            .filter("node <> pivot")
-            .select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-        )
-    )
-    tested = pairs
-    links = _linked(pairs, classes, sets, threshold)
+    # The most central member of a bucket is the one that meets most others in all its buckets.
+    sized = buckets.join(buckets.groupBy("key").agg(F.count("*").alias("size")), "key")
+    weight = sized.groupBy("node").agg(F.sum("size").alias("weight"))
+    rank = F.struct("weight", -F.col("node"))
+    weighed = buckets.join(weight, "node")
+    centres = weighed.groupBy("key").agg(F.max_by("node", rank).alias("centre"))
+    centred = reliable(weighed.join(centres, "key").select("key", "node", "centre", "weight"))
+    pairs = centred.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    tested = reliable(_ordered(pairs))
+    links = _linked(tested, classes, sets, threshold)
     roots = reliable(components(links))
-    for turn in range(1, STAR_ROUNDS + 1):
-        left = reliable(_open(_labelled(buckets, roots)))
-        if not left.head(1):
+    heavy = reliable(weight)
+    for turn in range(STAR_ROUNDS + 1):
+        mixed = reliable(_mixed(centred.select("key", "node", "centre"), roots))
+        if not mixed.head(1):
             break
         if turn < STAR_ROUNDS:
-            turned = left.groupBy("key").agg(
-                F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("p")
+            rest = mixed.filter("root <> centre_root").join(heavy, "node")
+            next_ = rest.groupBy("centre").agg(
+                F.max_by(F.struct("node", "root"), F.struct("weight", -F.col("node"))).alias("next")
             )
-            found = left.join(turned, "key").filter("root <> p.root").select(
-                F.col("node").alias("a"), F.col("p.node").alias("b")
+            found = rest.join(next_, "centre").filter("root <> next.root").select(
+                F.col("node").alias("a"), F.col("next.node").alias("b")
             )
         else:
-            # What is left: members of one bucket in different components, each pair once.
-            other = left.select("key", F.col("node").alias("b"), F.col("root").alias("other"))
-            found = left.join(other, "key").filter("root < other").select(F.col("node").alias("a"), "b")
+            found = _by_differences(mixed, sets, threshold)
         fresh = reliable(_ordered(found).join(tested, ["a", "b"], "left_anti"))
         tested = tested.unionAll(fresh)
         links = links.unionAll(_linked(fresh, classes, sets, threshold))
