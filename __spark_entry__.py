@@ -113,16 +113,62 @@ def _(spark, d):
 
 @query(
     "csv_row_order",
-    "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 5",
+    "SELECT * FROM orders ORDER BY o_orderkey LIMIT 5",
 )
 def _(spark, d):
     path = shared_path(spark, "orders-csv")
-    write_csv(table(spark, d, "orders").select("o_orderkey", "o_custkey").orderBy("o_orderkey"), path)
+    write_csv(table(spark, d, "orders").orderBy("o_orderkey"), path)
     scan = read_csv(spark, path, multiline=False, row_order=True)
     typed, _ = inf.infer_types(scan, raw_text=True)
     return first_rows(typed, 5)
 
 
+@query(
+    "csv_padded_text_and_times",
+    """SELECT event_id, '  ' || event_type || ' ' AS event_type, ts, props FROM events""",
+)
+def _(spark, d):
+    path = shared_path(spark, "events-csv")
+    padded = F.concat(F.lit("  "), F.col("event_type"), F.lit(" ")).alias("event_type")
+    write_csv(table(spark, d, "events").select("event_id", padded, "ts", "props"), path)
+    return read_csv(spark, path).select(
+        F.col("event_id").cast("bigint").alias("event_id"),
+        "event_type",
+        F.col("ts").cast("timestamp_ntz").alias("ts"),
+        "props",
+    )
+
+
+_PART_TEXT = """SELECT p_partkey, p_name, CAST(p_size AS BIGINT) AS p_size FROM part"""
+
+
+@query("json_array", _PART_TEXT)
+def _(spark, d):
+    # One array per file, as exports write them; the files share the table among them.
+    path = shared_path(spark, "part-array")
+    record = F.to_json(F.struct("p_partkey", "p_name", "p_size"))
+    arrays = table(spark, d, "part").groupBy((F.col("p_partkey") % 64).alias("file")).agg(
+        F.concat(F.lit("["), F.array_join(F.collect_list(record), ","), F.lit("]")).alias("value")
+    )
+    arrays.write.partitionBy("file").text(path)
+    return inf.json_types(read_json(spark, path, "records").drop("file"))
+
+
+@query("json_columns", _PART_TEXT)
+def _(spark, d):
+    path = shared_path(spark, "part-columns")
+    part = table(spark, d, "part").groupBy((F.col("p_partkey") % 64).alias("file"))
+    cells = F.sort_array(F.collect_list(F.struct("p_partkey", "p_name", "p_size")))
+    columns = part.agg(cells.alias("r")).select(
+        "file",
+        F.to_json(
+            F.struct(*[F.col(f"r.{n}").alias(n) for n in ("p_partkey", "p_name", "p_size")])
+        ).alias("value"),
+    )
+    columns.write.partitionBy("file").text(path)
+    return inf.json_types(read_json(spark, path, "columns"))
+
+
 @query(
     "json_roundtrip",
     "SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part",
@@ -293,6 +339,26 @@ def _(spark, d):
     return inf.parse_dates(dirty(spark, d).select("o_orderkey", "dmy_date"), "dmy_date")
 
 
+@query(
+    "parse_free_date_forms",
+    """SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS iso_t, CAST(o_orderdate AS TIMESTAMP) AS zoned,
+              CAST(o_orderdate AS TIMESTAMP) AS minutes, CAST(o_orderdate AS TIMESTAMP) AS named FROM orders""",
+)
+def _(spark, d):
+    forms = {
+        "iso_t": "yyyy-MM-dd'T'HH:mm:ss",
+        "zoned": "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'",
+        "minutes": "yyyy-MM-dd HH:mm",
+        "named": "MMM d, yyyy",
+    }
+    df = table(spark, d, "orders").select(
+        "o_orderkey", *[F.date_format("o_orderdate", f).alias(n) for n, f in forms.items()]
+    )
+    for name in forms:
+        df = inf.parse_dates(df, name)
+    return df
+
+
 @query("drop_duplicates", f"{WITH_COPIES} SELECT DISTINCT * FROM u")
 def _(spark, d):
     return cl.drop_duplicates(dirty_with_copies(spark, d))
@@ -344,7 +410,7 @@ def _(spark, d):
 @query(
     "mean_impute",
     f"""{WITH_DIRTY}, m AS (SELECT CAST(sum(CAST(price_gaps AS decimal(18,2))) AS double) / count(price_gaps) AS mean FROM b)
-    SELECT CAST(o_orderkey AS double) AS o_orderkey, null_half, coalesce(price_gaps, m.mean) AS price_gaps FROM b, m""",
+    SELECT o_orderkey, null_half, coalesce(price_gaps, m.mean) AS price_gaps FROM b, m""",
 )
 def _(spark, d):
     return cl.impute_means(money(dirty(spark, d).select("o_orderkey", "null_half", "price_gaps"), "price_gaps"))
@@ -798,6 +864,17 @@ def _(spark, d):
     return qu.order_lookup(table(spark, d, "lineitem"), question).data
 
 
+@query(
+    "order_lookup_double",
+    """SELECT CAST(l_orderkey AS DOUBLE) AS order_key, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey = 42""",
+)
+def _(spark, d):
+    lines = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").cast("double").alias("order_key"), "l_linenumber", "l_quantity"
+    )
+    return qu.order_lookup(lines, "Which items belong to sales order 42?").data
+
+
 @query(
     "order_lookup_batch",
     """WITH q AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'How many parts are there?'

@@ -37,7 +37,7 @@ ORDER_RELATIONS = ["belong", "related", "associated"]
 # Column names a JSON reader treats as dates, and the smallest epoch it accepts.
 JSON_DATE_SUFFIXES = ["_at", "_time"]
 JSON_DATE_PREFIXES = ["timestamp"]
-JSON_DATE_NAMES = ["modified", "date"]
+JSON_DATE_NAMES = ["modified", "date", "datetime"]
 JSON_MIN_EPOCH = 31536000
 
 # Limits and defaults.

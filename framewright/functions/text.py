@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -17,11 +18,18 @@ CODE_BLOCK = r"(?s)```python(.*?)```"
 
 _DATE_PARTS = {
     "yyyy": r"\d{4}",
+    "MMMM": r"[A-Z][a-z]{2,8}",
+    "MMM": r"[A-Z][a-z]{2}",
     "M": r"(0?[1-9]|1[0-2])",
     "d": r"(0?[1-9]|[12]\d|3[01])",
     "H": r"([01]?\d|2[0-3])",
     "m": r"[0-5]?\d",
     "s": r"[0-5]?\d",
+    "SSSSSS": r"\d{6}",
+    "SSS": r"\d{3}",
+    "'T'": "T",
+    "'Z'": "Z",
+    ".": r"\.",
 }
 
 
@@ -51,11 +59,7 @@ def date_shape(spark_format: str) -> str:
     Guarding the parser with it keeps ordinary text off the parser's slow
     failure path; only days such as 30 February still reach it.
     """
-    shape = spark_format
-    for letters in ("yyyy", "M", "d", "H", "m", "s"):
-        shape = shape.replace(letters, f"<{letters}>", 1)
-    for letters, pattern in _DATE_PARTS.items():
-        shape = shape.replace(f"<{letters}>", pattern)
+    shape = "".join(_DATE_PARTS.get(m[0], m[0]) for m in re.finditer(r"'[^']*'|([A-Za-z])\1*|.", spark_format))
     return f"^{shape}$"
 
 

@@ -26,13 +26,16 @@ def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFra
     """``(bin, low, high, count)``, equal widths, the last bin closed on the right.
 
     Two passes over one column: the range (a scalar subquery), then counts that
-    combine per task into ``bins`` rows. Empty bins are kept.
+    combine per task into ``bins`` rows. Empty bins are kept; missing values
+    are left out; an infinite value raises.
     """
     require_columns(df, [column])
     require_numbers(df, [column], "histogram")
-    values = df.select(as_double(df, column).alias("x")).filter(
-        F.col("x").isNotNull() & (F.abs("x") < F.lit(float("inf")))
-    )
+    number = as_double(df, column)
+    refused = F.raise_error(F.lit(f"column {column} holds infinite values")).cast("double")
+    values = df.select(
+        F.when(F.abs(number) == F.lit(float("inf")), refused).otherwise(number).alias("x")
+    ).filter(F.col("x").isNotNull())
     flat = F.min("x") == F.max("x")
     ends = values.agg(
         F.struct(

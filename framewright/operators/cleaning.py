@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from framewright.functions.columns import (
     as_double,
     col,
+    is_missing,
     is_text,
     mean,
     number_columns,
@@ -88,13 +89,15 @@ def strip_currency_by_name(df: DataFrame) -> DataFrame:
 def impute_means(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """Missing numbers become the column mean; text stays missing.
 
-    Each mean is a scalar subquery; Catalyst merges them into one pass over
-    the columns that are used.
+    One pass counts the gaps, one row. Columns without gaps stay as they are,
+    so keys and decimals keep every digit; columns with gaps become doubles.
+    Each mean is a scalar subquery; Catalyst merges them into one pass.
     """
     names = list(number_columns(df) if names is None else names)
     if not names:
         return df
-    means = {n: df.agg(mean(df, n)).scalar() for n in names}
+    gaps = df.agg(*[F.count_if(is_missing(df, n)).alias(f"g{i}") for i, n in enumerate(names)]).first()
+    means = {n: df.agg(mean(df, n)).scalar() for n, g in zip(names, gaps, strict=True) if g}
     return df.select(
         *[
             (F.coalesce(as_double(df, n), means[n]) if n in means else col(n)).alias(n)

@@ -40,6 +40,25 @@ FREE_DATE_FORMATS = [
     "d/M/yyyy",
     "M-d-yyyy",
     "d-M-yyyy",
+    "yyyy-M-d H:m",
+    "yyyy-M-d H:m:s.SSS",
+    "yyyy-M-d H:m:s.SSSSSS",
+    "yyyy-M-d'T'H:m",
+    "yyyy-M-d'T'H:m:s",
+    "yyyy-M-d'T'H:m:s.SSS",
+    "yyyy-M-d'T'H:m:s.SSSSSS",
+    "yyyy-M-d'T'H:m:s'Z'",
+    "yyyy-M-d'T'H:m:s.SSS'Z'",
+    "yyyy-M-d'T'H:m:s.SSSSSS'Z'",
+    "M/d/yyyy H:m",
+    "M/d/yyyy H:m:s",
+    "d/M/yyyy H:m",
+    "d/M/yyyy H:m:s",
+    "MMM d, yyyy",
+    "MMMM d, yyyy",
+    "d MMM yyyy",
+    "d MMMM yyyy",
+    "d-MMM-yyyy",
 ]
 
 
@@ -176,14 +195,19 @@ def parse_dates(df: DataFrame, name: str) -> DataFrame:
     """Turn a date column of unknown format into timestamps; bad values raise."""
     if not isinstance(df.schema[name].dataType, T.StringType):
         return df.withColumn(name, col(name).cast("timestamp_ntz"))
+    found = _free_format(df, name)
+    if found is None:
+        raise ValueError(f"no date format fits every value of column {name}")
+    return df.withColumn(name, date_from_text(col(name), found))
+
+
+def _free_format(df: DataFrame, name: str) -> str | None:
+    """The first free format that every text of the column fits, by one aggregate."""
     counts = df.agg(
-        F.count(col(name)).alias("present"),
-        *[F.count_if(fits_date(col(name), f)).alias(f) for f in FREE_DATE_FORMATS],
+        F.count(col(name)),
+        *[F.count_if(fits_date(col(name), f)) for f in FREE_DATE_FORMATS],
     ).first()
-    for spark_format in FREE_DATE_FORMATS:
-        if counts[spark_format] == counts["present"]:
-            return df.withColumn(name, date_from_text(col(name), spark_format))
-    raise ValueError(f"no date format fits every value of column {name}")
+    return next((f for f, n in zip(FREE_DATE_FORMATS, counts[1:], strict=True) if n == counts[0]), None)
 
 
 def _is_json_date(name: str) -> bool:
@@ -204,7 +228,7 @@ def json_types(df: DataFrame) -> DataFrame:
     """
     names = text_columns(df)
     evidence = {r["column"]: r for r in type_evidence(df, names).collect()} if names else {}
-    decisions = []
+    decisions, loose = [], []
     for n, e in evidence.items():
         if e["present"] and e["numbers"] == e["present"]:
             decisions.append(decide_type(e, raw_text=True))
@@ -214,7 +238,13 @@ def json_types(df: DataFrame) -> DataFrame:
             ]
             if fitting:
                 decisions.append(ColumnType(n, "timestamp", fitting[0]))
+            else:
+                loose.append(n)
     df = apply_types(df, decisions)
+    for n in loose:
+        found = _free_format(df, n)
+        if found:
+            df = df.withColumn(n, date_from_text(col(n), found))
     epochs = [
         f.name
         for f in df.schema.fields

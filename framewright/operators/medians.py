@@ -34,7 +34,10 @@ def grouped_median(
 
     Keys must not be null; groups without any value have null medians.
     """
-    names = {f"v{i}": v for i, v in enumerate(values)}
+    mark = "_median_of"
+    while any(c.startswith(mark) for c in df.columns):
+        mark = f"_{mark}"
+    names = {f"{mark}_{i}": v for i, v in enumerate(values)}
     rows = df.select(
         *[col(k) for k in keys], *[as_double(df, v).alias(n) for n, v in names.items()]
     )

@@ -29,6 +29,7 @@ from framewright.functions.text import first_digits
 from framewright.operators.aggregates import MEDIAN, aggregate_column, check_aggregate
 from framewright.operators.cleaning import drop_missing
 from framewright.operators.lookups import lookup_join
+from framewright.session import reliable
 from framewright.operators.medians import grouped_median
 
 INTENTS = ("filter", "aggregate", "trend", "comparison", "correlation")
@@ -85,6 +86,8 @@ def equals_number(df: DataFrame, name: str, number: float) -> Column:
         number = int(number) if abs(number) < 2**63 else float(number)
     if isinstance(data_type, T.BooleanType):
         return col(name).cast("int") == F.lit(number)
+    if isinstance(data_type, T.FloatType):  # 0.1 as a float, not as a double
+        return col(name) == F.lit(number).cast("float")
     return col(name) == F.lit(number) if is_number(data_type) else F.lit(False)
 
 
@@ -217,13 +220,25 @@ def order_lookup(df: DataFrame, question: str) -> Answer | None:
 
 
 def _same_id(df: DataFrame, key: str, order_id: str) -> Column:
-    """Equality on the id's text form; on integers a comparison the scan can use."""
-    if isinstance(df.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+    """Equality on the id's text form; on numbers a comparison the scan can use."""
+    data_type = df.schema[key].dataType
+    if is_number(data_type):
         plain = str(int(order_id)) == order_id and int(order_id) < 2**63
-        return col(key) == F.lit(int(order_id)) if plain else F.lit(False)
+        return col(key) == F.lit(int(order_id)).cast(data_type) if plain else F.lit(False)
     return col(key).cast("string") == F.lit(order_id)
 
 
+def _id_text(df: DataFrame, key: str) -> Column:
+    """Text form of an id; whole doubles and decimals (integers with gaps) as integers."""
+    data_type = df.schema[key].dataType
+    if isinstance(data_type, (T.FloatType, T.DoubleType, T.DecimalType)):
+        whole = col(key).try_cast("decimal(38,0)")
+        return F.when(whole.cast(data_type) == col(key), whole.cast("string")).otherwise(
+            col(key).cast("string")
+        )
+    return col(key).cast("string")
+
+
 def order_line_counts(df: DataFrame, questions: DataFrame, question: str) -> DataFrame:
     """``questions`` with ``order_id`` and ``line_count`` for a whole table of questions.
 
@@ -238,9 +253,7 @@ def order_line_counts(df: DataFrame, questions: DataFrame, question: str) -> Dat
     for word in ORDER_RELATIONS:
         related = related | asked.contains(word)
     order_id = F.when(asked.contains(ORDER_QUESTION) & related, first_digits(asked))
-    counts = df.groupBy(col(key).cast("string").alias("_id")).agg(
-        F.count(F.lit(1)).alias("_lines")
-    )
+    counts = df.groupBy(_id_text(df, key).alias("_id")).agg(F.count(F.lit(1)).alias("_lines"))
     asking = questions.withColumn("order_id", order_id)
     # Ask for each order once, then hand the count back to every question.
     found = asking.filter(F.col("order_id").isNotNull()).groupBy("order_id").agg(
@@ -251,7 +264,8 @@ def order_line_counts(df: DataFrame, questions: DataFrame, question: str) -> Dat
         F.coalesce("_lines", F.lit(0)).alias("value"),
         F.col("_asked").alias("occurrences"),
     )
-    return lookup_join(asking, "order_id", lookup, "line_count")
+    # Written once: the look-up is read for its total, its heavy and its light keys.
+    return lookup_join(asking, "order_id", reliable(lookup), "line_count")
 
 
 def relationship(df: DataFrame, x: str, y: str) -> tuple[DataFrame, DataFrame]:

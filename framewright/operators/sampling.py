@@ -32,8 +32,10 @@ def sample_rows(
 
     Rows are ranked by a seeded hash of their key; each task keeps its best
     ``n``. Without a key the whole row is hashed, so equal rows rank together.
+    Rows of equal keys are ranked by their content.
     """
     keys = list(keys or df.columns)
     require_columns(df, keys)
     text = F.concat_ws("#", *[col(c).cast("string") for c in keys], F.lit(str(seed)))
-    return df.orderBy(F.md5(text)).limit(n)
+    content = F.to_json(F.struct(*[col(c) for c in df.columns]))
+    return df.orderBy(F.md5(text), content).limit(n)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,6 +12,7 @@ from framewright.functions.fixed_values import NULL_TOKENS
 ROW_ORDER = "_row_order"
 
 _QUOTING = {"quote": '"', "escape": '"'}
+_RECORD = "_surplus_record"
 
 
 def _header(spark: SparkSession, path, delimiter: str) -> list[str]:
@@ -44,6 +45,34 @@ def has_split_records(spark: SparkSession, path) -> bool:
     return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
 
 
+def _fits(cells: int, delimiter: str, first: str) -> Column:
+    """True for rows of at most so many cells; a longer one raises.
+
+    The reader hands over the text of rows whose length differs from the
+    header's. A mark put behind the last cell falls within one cell more than
+    the header has, unless the row is longer than that.
+    """
+    mark = "\u0001end"
+    wide = ", ".join(f"c{i} string" for i in range(cells + 1))
+    found = F.from_csv(F.concat(F.col(_RECORD), F.lit(delimiter + mark)), wide, {"sep": delimiter, **_QUOTING})
+    here = F.array(*[found[f"c{i}"].eqNullSafe(F.lit(mark)) for i in range(cells + 1)])
+    surplus = F.col(_RECORD).isNotNull() & ~F.array_contains(here, True)
+    message = F.concat(
+        F.lit(f"more than {cells} cells in a row that begins with "), F.coalesce(col(first), F.lit(""))
+    )
+    return F.when(surplus, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+
+
+def _file_key() -> Column:
+    """Sorts files by folder, by the first number in the name, then by name: part 100000 after 99999."""
+    name = F.col("_metadata.file_name")
+    return F.struct(
+        F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/", 1).alias("folder"),
+        F.regexp_extract(name, r"(\d+)", 1).try_cast("decimal(38,0)").alias("number"),
+        name.alias("name"),
+    )
+
+
 def read_csv(
     spark: SparkSession,
     path,
@@ -55,14 +84,18 @@ def read_csv(
 
     ``multiline=None`` looks for cells that span lines first. Files without
     such cells stay splittable; say ``False`` where this is known beforehand.
-    ``row_order`` adds a key that sorts rows in file order.
+    ``row_order`` adds a key that sorts rows in file order. Short rows are
+    filled with nulls; a row with more cells than the header raises.
     """
     raw = _header(spark, path, delimiter)
     names = header_names(raw)
     if multiline is None:
         multiline = has_split_records(spark, path)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _RECORD]])
     scan = spark.read.schema(schema).options(
+        columnNameOfCorruptRecord=_RECORD,
+        # Long rows are noticed only if all cells are parsed.
+        columnPruning=False,
         header=True,
         sep=delimiter,
         multiLine=multiline,
@@ -70,11 +103,12 @@ def read_csv(
         enforceSchema=names != raw,
         **_QUOTING,
     ).csv(path)
+    scan = scan.filter(_fits(len(names), delimiter, names[0]))
     texts = [F.when(~col(n).isin(NULL_TOKENS), col(n)).alias(n) for n in names]
     if row_order:
         texts.append(
             F.struct(
-                F.col("_metadata.file_path").alias("file"),
+                _file_key().alias("file"),
                 F.col("_metadata.file_block_start").alias("block"),
                 F.monotonically_increasing_id().alias("row"),
             ).alias(ROW_ORDER)
@@ -83,11 +117,19 @@ def read_csv(
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Header, no row numbers, missing cells empty; one file per partition."""
-    df.write.mode("overwrite").options(
+    """Header, no row numbers, missing cells empty; one file per partition.
+
+    Blanks around a cell stay, and times keep their fractions of a second.
+    """
+    times = (T.TimestampType, T.TimestampNTZType)
+    shown = [
+        (col(f.name).cast("string") if isinstance(f.dataType, times) else col(f.name)).alias(f.name)
+        for f in df.schema.fields
+    ]
+    df.select(*shown).write.mode("overwrite").options(
         header=True,
         nullValue="",
-        timestampFormat="yyyy-MM-dd HH:mm:ss",
-        timestampNTZFormat="yyyy-MM-dd HH:mm:ss",
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
         **_QUOTING,
     ).csv(path)

@@ -9,11 +9,13 @@ from pyspark.sql import types as T
 from framewright.functions.columns import col
 
 
-def _first_text(spark: SparkSession, path) -> str:
-    rows = spark.read.text(path).filter(F.trim("value") != "").head(1)
+def _first_text(spark: SparkSession, path) -> tuple[str, bool]:
+    """The first line that is not blank, and whether its file has another."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    rows = lines.filter(F.trim("value") != "").head(2)
     if not rows:
         raise ValueError(f"no JSON in {path}")
-    return rows[0][0].strip()
+    return rows[0][0].strip(), len(rows) > 1 and rows[0][1] == rows[1][1]
 
 
 def _key_order(spark: SparkSession, path, lines: bool) -> list[str]:
@@ -45,7 +47,7 @@ def read_json(spark: SparkSession, path, orient: str | None = None) -> DataFrame
     """``orient`` is ``lines``, ``records`` or ``columns``; None looks at the text.
 
     Lines are splittable and the format for big data; an array or an object is
-    one document per file, read by one task per file.
+    one document per file, read by one task per file. Malformed text raises.
     """
     orient = orient or _orientation(spark, path)
     if orient == "columns":
@@ -53,14 +55,14 @@ def read_json(spark: SparkSession, path, orient: str | None = None) -> DataFrame
     if orient not in ("lines", "records"):
         raise ValueError(f"unknown JSON orientation: {orient}")
     lines = orient == "lines"
-    df = spark.read.option("multiLine", not lines).json(path)
+    df = spark.read.options(multiLine=not lines, mode="FAILFAST").json(path)
     first = [k for k in _key_order(spark, path, lines) if k in df.columns]
     rest = [c for c in df.columns if c not in first]
     return _flat_text(df.select(*[col(n) for n in first + rest]))
 
 
 def _orientation(spark: SparkSession, path) -> str:
-    start = _first_text(spark, path)
+    start, more = _first_text(spark, path)
     if start.startswith("["):
         return "records"
     line = F.lit(start)
@@ -74,7 +76,8 @@ def _orientation(spark: SparkSession, path) -> str:
         .select(F.try_parse_json(line).isNotNull(), row_keyed, listed)
         .first()
     )
-    return "lines" if whole and not keyed and not lists else "columns"
+    # A whole document before another line of its file is a record of JSON Lines.
+    return "lines" if whole and (more or not keyed and not lists) else "columns"
 
 
 def _read_columns(spark: SparkSession, path) -> DataFrame:

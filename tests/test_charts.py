@@ -177,3 +177,9 @@ def test_fallback_leaves_flags_out(spark):
     frame = spark.range(3).select((F.col("id") > 1).alias("flag"), F.col("id").alias("n"))
     got = rc.recommend_fallback(catalogue_roles({"t": frame})).collect()
     assert [r["title"] for r in got] == ["Distribution of n"]
+
+
+def test_histogram_refuses_infinite_values(spark):
+    df = spark.createDataFrame([(1.0,), (float("inf"),), (2.0,)], "x double")
+    with pytest.raises(Exception, match="infinite"):
+        ch.histogram(df, "x").collect()

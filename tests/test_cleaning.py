@@ -188,3 +188,37 @@ def test_empty_frame(spark):
     loaded = clean_and_encode(frame)
     assert loaded.data.columns[:2] == ["a", "n"]
     assert loaded.data.count() == 0
+
+
+def test_means_leave_full_columns_alone(spark):
+    from decimal import Decimal
+
+    from framewright.operators.cleaning import impute_means
+
+    big = 2**53 + 1
+    df = spark.createDataFrame(
+        [(big, Decimal("0.10"), 1), (big + 2, Decimal("0.20"), None), (5, Decimal("0.30"), 4)],
+        "id bigint, price decimal(10,2), n int",
+    )
+    out = impute_means(df)
+    assert out.dtypes == [("id", "bigint"), ("price", "decimal(10,2)"), ("n", "double")]
+    assert [r["id"] for r in out.collect()] == [big, big + 2, 5]
+    assert [r["n"] for r in out.collect()] == [1.0, 2.5, 4.0]
+
+
+def test_free_date_forms(spark):
+    import datetime as dt
+
+    from framewright.operators.inference import json_types, parse_dates
+
+    forms = {
+        "2024-01-15T10:00:00": dt.datetime(2024, 1, 15, 10),
+        "2024-01-15T10:00:00.250Z": dt.datetime(2024, 1, 15, 10, 0, 0, 250_000),
+        "2024-1-5 7:30": dt.datetime(2024, 1, 5, 7, 30),
+        "Jan 5, 2024": dt.datetime(2024, 1, 5),
+        "5 January 2024": dt.datetime(2024, 1, 5),
+    }
+    for text, value in forms.items():
+        assert parse_dates(spark.createDataFrame([(text,)], "d string"), "d").first()[0] == value
+    typed = json_types(spark.createDataFrame([("2024-01-15T10:00:00",)], "datetime string"))
+    assert typed.first()[0] == dt.datetime(2024, 1, 15, 10)

@@ -56,3 +56,10 @@ def test_random_groups(spark, data):
     for limit in (1, 100):
         got = grouped_median(frame, ["k"], ["v"], limit)
         assert {r["k"]: r["v"] for r in got.collect()} == expected(data)
+
+
+def test_keys_may_bear_any_name(spark):
+    from framewright.operators.medians import grouped_median
+
+    df = spark.createDataFrame([(1, "a", 2.0), (1, "a", 4.0)], "v0 int, _median_of_0 string, x double")
+    assert grouped_median(df, ["v0", "_median_of_0"], ["x"]).first()["x"] == 3.0

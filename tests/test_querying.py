@@ -159,3 +159,20 @@ def test_code_blocks(spark):
         ("x = 1\nprint(x)", "Text before.\n\nafter  end"),
         (None, "plain"),
     ]
+
+
+def test_whole_doubles_are_order_ids(spark):
+    from framewright.operators.querying import order_line_counts, order_lookup
+
+    lines = spark.createDataFrame([(42.0,), (None,), (42.0,), (7.5,)], "order_id double")
+    question = "lines that belong to sales order 42"
+    assert order_lookup(lines, question).data.count() == 2
+    asked = spark.createDataFrame([(question,)], "q string")
+    assert order_line_counts(lines, asked, "q").first()["line_count"] == 2
+
+
+def test_float_columns_meet_decimal_literals(spark):
+    from framewright.operators.querying import apply_filters
+
+    df = spark.createDataFrame([(0.1,), (0.2,)], "f float")
+    assert apply_filters(df, {"f": 0.1}).count() == 1

@@ -173,3 +173,42 @@ def test_formats(spark, tmp_path):
     path = str(tmp_path / "p.parquet")
     spark.sql("SELECT double('NaN') AS d").write.parquet(path)
     assert rows(read_table(spark, path)) == [(None,)]
+
+
+def test_write_keeps_blanks_and_fractions(spark, tmp_path):
+    from framewright.sources.delimited import write_csv
+
+    df = spark.sql("SELECT '  a b  ' AS t, timestamp_ntz'2024-01-01 10:00:00.123456' AS n, timestamp'2024-01-01 10:00:00' AS z")
+    write_csv(df, str(tmp_path / "out"))
+    found = read_csv(spark, str(tmp_path / "out")).first()
+    assert tuple(found) == ("  a b  ", "2024-01-01 10:00:00.123456", "2024-01-01 10:00:00")
+
+
+def test_surplus_cells_raise_and_short_rows_do_not(spark, tmp_path):
+    short = put(tmp_path, "short.csv", "a,b,c\n1,2\n3,4,5\n")
+    assert rows(read_csv(spark, short), "a") == [("1", "2", None), ("3", "4", "5")]
+    assert read_csv(spark, short).count() == 2
+    for i, line in enumerate(("3,4,5,6", "3,4,5,")):
+        long = put(tmp_path, f"long{i}.csv", f"a,b,c\n1,2,3\n{line}\n")
+        with pytest.raises(Exception, match="more than 3 cells"):
+            read_csv(spark, long).collect()
+        with pytest.raises(Exception, match="more than 3 cells"):
+            read_csv(spark, long).select("b").collect()
+
+
+def test_malformed_json_raises(spark, tmp_path):
+    path = put(tmp_path, "bad.json", '{"a": 1}\n{"a": \n')
+    with pytest.raises(Exception):
+        read_json(spark, path).collect()
+
+
+def test_json_lines_whose_first_record_holds_lists(spark, tmp_path):
+    path = put(tmp_path, "lists.json", '{"tags":["a","b"]}\n{"tags":["c"]}\n')
+    assert rows(read_json(spark, path), "tags") == [('["a","b"]',), ('["c"]',)]
+
+
+def test_parts_are_ordered_by_number(spark, tmp_path):
+    put(tmp_path, "part-99999.csv", "v\nfirst\n")
+    put(tmp_path, "part-100000.csv", "v\nsecond\n")
+    scan = read_csv(spark, str(tmp_path), row_order=True)
+    assert [r["v"] for r in first_rows(scan, 2).collect()] == ["first", "second"]
