@@ -63,3 +63,32 @@ def test_keys_may_bear_any_name(spark):
 
     df = spark.createDataFrame([(1, "a", 2.0), (1, "a", 4.0)], "v0 int, _median_of_0 string, x double")
     assert grouped_median(df, ["v0", "_median_of_0"], ["x"]).first()["x"] == 3.0
+
+
+def test_only_the_brackets_are_written(spark, monkeypatch):
+    """Of 40,000 distinct values a few hundred are counted; both rank paths agree."""
+    import framewright.operators.medians as m
+
+    sizes = []
+    whole = m.reliable
+
+    def watched(df, *args):
+        out = whole(df, *args)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(m, "reliable", watched)
+    frame = spark.range(40_000).selectExpr("(id * 7919) % 40009 * 1.5 AS x", "id % 2 AS k")
+    want = sorted(r["x"] for r in frame.collect())
+    for limit in (10, 10**6):
+        got = column_medians(frame, ["x"], limit).first()["median"]
+        assert got == (want[19_999] + want[20_000]) / 2
+    assert max(sizes) < 1_000
+
+
+def test_a_bracket_that_misses_is_not_used(spark, monkeypatch):
+    import framewright.operators.medians as m
+
+    monkeypatch.setattr(m, "MARGIN", -0.3)
+    frame = spark.range(101).selectExpr("id * 1.0D AS x")
+    assert column_medians(frame, ["x"]).first()["median"] == 50.0
