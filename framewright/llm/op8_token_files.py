@@ -113,7 +113,7 @@ class Encoder:
         return coded
 
 
-@functools.cache
+@functools.lru_cache(maxsize=1)
 def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
