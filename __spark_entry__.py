@@ -569,6 +569,23 @@ def _(spark, d):
     ).select("o_orderkey", "o_totalprice", "o_orderpriority")
 
 
+@query(
+    "encoded_substitution_large",
+    """WITH c AS (SELECT o_orderkey, 'C' || CAST(o_custkey AS varchar) AS customer FROM orders),
+            k AS (SELECT customer, row_number() OVER (ORDER BY customer) - 1 AS code FROM (SELECT DISTINCT customer FROM c))
+       SELECT o_orderkey, CAST(code AS bigint) AS customer FROM c JOIN k USING (customer)
+       ORDER BY md5(concat_ws('#', o_orderkey::varchar, '42')) LIMIT 1000""",
+)
+def _(spark, d):
+    df = table(spark, d, "orders").select(
+        "o_orderkey", F.concat(F.lit("C"), F.col("o_custkey")).alias("customer")
+    )
+    # A label dictionary that is ranked in parallel, not broadcast.
+    classes = en.class_table(df, ["customer"])
+    plan = en.EncodingPlan([en.EncodingChoice("customer", "label", None)], classes)
+    return en.encoded_sample(df, ["customer"], ["o_orderkey"], plan=plan)
+
+
 @query(
     "clean_and_encode",
     f"""{WITH_COPIES} SELECT DISTINCT o_orderkey, CAST(strptime(dmy_date, '%d/%m/%Y') AS timestamp) AS dmy_date,
@@ -724,6 +741,12 @@ _TABLE_TYPES = {
         "doc_id": "bigint", "text": "string", "lang": "string", "source": "string",
         "n_chars": "bigint",
     },
+    "region": {"r_regionkey": "int", "r_name": "string"},
+    "embeddings": {"vec_id": "bigint", "embedding": "array<float>", "label": "int"},
+    "pages": {"page_id": "bigint", "url": "string", "html": "string"},
+    "benchmark": {"item_id": "bigint", "text": "string"},
+    "labels": {"doc_id": "bigint", "quality": "int", "toxic": "int"},
+    "conversations": {"conv_id": "bigint", "turn": "bigint", "role": "string", "text": "string"},
 }
 
 
@@ -736,6 +759,8 @@ def _roles_sql(name: str) -> str:
             subtype = f"CASE WHEN {distinct} < 20 THEN 'discrete' ELSE 'continuous' END"
         elif t == "timestamp_ntz":
             role, subtype = "'datetime'", "NULL"
+        elif t.startswith("array"):
+            role, subtype = "'other'", "NULL"
         else:
             role = f"CASE WHEN 2 * {distinct} < count(*) THEN 'categorical' ELSE 'other' END"
             subtype = "NULL"
@@ -1069,7 +1094,7 @@ def _(spark, d):
 
 
 def _roles(spark: SparkSession, d: str) -> DataFrame:
-    return pr.catalogue_roles({n: table(spark, d, n) for n in _TABLE_TYPES}, "decisive")
+    return pr.catalogue_roles({n: table(spark, d, n) for n in _TABLE_TYPES}, "rules")
 
 
 _ALL_ROLES = "WITH roles AS (" + " UNION ALL ".join(_roles_sql(n) for n in _TABLE_TYPES) + "), "

@@ -285,6 +285,29 @@ def mapping_table(spark: SparkSession, mapping: Mapping[str, Sequence[str]]) ->
     return local_rows(spark, rows, original="string", columns="array<string>")
 
 
+def encoded_sample(
+    df: DataFrame,
+    columns: Sequence[str],
+    keys: Sequence[str] | None = None,
+    max_rows: int = SAMPLE_ROWS,
+    plan: EncodingPlan | None = None,
+) -> DataFrame:
+    """The same from a frame that isn't encoded yet: rows are sampled first.
+
+    The plan is that of the whole frame, so the values are those of the whole
+    frame's encoding; only the sampled rows are joined to dictionaries.
+    """
+    plan = encoding_plan(df) if plan is None else plan
+    shown = EncodingPlan([c for c in plan.choices if c.column in columns], plan.classes)
+    encoded = encode(reliable(sample_rows(df, keys, max_rows)), shown)
+    return encoded.data.select(
+        *[
+            (col(encoded.mapping[n][0]) if encoded.mapping.get(n) else col(n)).alias(n)
+            for n in df.columns
+        ]
+    )
+
+
 def substitute_encoded(
     df: DataFrame,
     mapping: Mapping[str, Sequence[str]],

@@ -193,8 +193,17 @@ def _cell_counts(tables: Mapping[str, DataFrame], wanted: set[tuple[str, str]] |
     return reduce(DataFrame.unionAll, counted)
 
 
-def _sketch_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """The same from one pass of sketches; ``distinct_count`` is an estimate."""
+def _sketch_counts(tables: Mapping[str, DataFrame], text_only: bool = False) -> DataFrame:
+    """The same from one pass of sketches; ``distinct_count`` is an estimate.
+
+    With ``text_only`` other columns are not hashed, and their count is null.
+    """
+
+    def about(df: DataFrame, n: str) -> Column:
+        if text_only and not isinstance(df.schema[n].dataType, T.StringType):
+            return F.lit(None).cast("bigint")
+        return about_distinct(col(n))
+
     parts = [
         per_column(
             df,
@@ -202,7 +211,7 @@ def _sketch_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
             lambda n, df=df: {
                 "row_count": F.count(F.lit(1)),
                 "missing_count": F.count_if(is_missing(df, n)),
-                "distinct_count": about_distinct(col(n)),
+                "distinct_count": about(df, n),
             },
         ).select(F.lit(table_name).alias("table_name"), "position", *COUNTS)
         for table_name, df in tables.items()
@@ -215,14 +224,14 @@ def _near_a_limit(distinct: int, rows: int) -> bool:
     return distinct <= FEW_VALUES or abs(2 * distinct - rows) <= NEAR_HALF * rows
 
 
-def _decisive_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
+def _decisive_counts(tables: Mapping[str, DataFrame], text_only: bool = False) -> DataFrame:
     """Sketches, replaced by exact counts where a rule could go either way."""
     names = {t: df.columns for t, df in tables.items()}
-    rows = [tuple(r) for r in _sketch_counts(tables).collect()]  # one row per column
+    rows = [tuple(r) for r in _sketch_counts(tables, text_only).collect()]  # one row per column
     wanted = {
         (t, names[t][position])
         for t, position, row_count, _, distinct in rows
-        if _near_a_limit(distinct, row_count)
+        if distinct is not None and _near_a_limit(distinct, row_count)
     }
     spark = next(iter(tables.values())).sparkSession
     settled = local_rows(
@@ -254,14 +263,17 @@ def column_roles(df: DataFrame, table_name: str = "", counting: str = "exact") -
 def catalogue_roles(tables: Mapping[str, DataFrame], counting: str = "exact") -> DataFrame:
     """Column roles of many tables, as one table.
 
-    ``counting`` is ``exact``, ``approx`` (sketches only) or ``decisive``
-    (exact roles; distinct counts far from every limit are estimates).
+    ``counting`` is ``exact``, ``approx`` (sketches only), ``decisive`` (exact
+    roles; distinct counts far from every limit are estimates) or ``rules``
+    (the same for text columns, all that chart rules look at; other columns
+    have neither a distinct count nor a subtype).
     """
     keys = ["table_name", "position"]
     counts = {
         "exact": _cell_counts,
         "approx": _sketch_counts,
         "decisive": _decisive_counts,
+        "rules": lambda t: _decisive_counts(t, text_only=True),
     }[counting](tables)
     spark = next(iter(tables.values())).sparkSession
     known = local_rows(
@@ -278,7 +290,13 @@ def catalogue_roles(tables: Mapping[str, DataFrame], counting: str = "exact") ->
     )
     # Both sides hold one row per column.
     rows = known.join(F.broadcast(counts), keys, "left").select(
-        *keys, "column", "dtype", *[F.coalesce(c, F.lit(0)).alias(c) for c in COUNTS]
+        *keys,
+        "column",
+        "dtype",
+        *[
+            (F.col(c) if counting == "rules" and c == "distinct_count" else F.coalesce(c, F.lit(0))).alias(c)
+            for c in COUNTS
+        ],
     )
     dtype = F.col("dtype")
     number = dtype.isin(_NUMBER_TYPES) | dtype.startswith("decimal")
@@ -290,4 +308,5 @@ def catalogue_roles(tables: Mapping[str, DataFrame], counting: str = "exact") ->
         .otherwise("other")
     )
     discrete = F.when(F.col("distinct_count") < DISCRETE_BELOW, "discrete").otherwise("continuous")
-    return rows.select("*", role.alias("role"), F.when(number, discrete).alias("subtype"))
+    counted = number & F.col("distinct_count").isNotNull()
+    return rows.select("*", role.alias("role"), F.when(counted, discrete).alias("subtype"))

@@ -16,8 +16,9 @@ _RECORD = "_surplus_record"
 
 
 def _header(spark: SparkSession, path, delimiter: str) -> list[str]:
+    # A header cell may span lines; only the beginning of one file is parsed.
     first = (
-        spark.read.options(header=False, sep=delimiter, **_QUOTING).csv(path).head(1)
+        spark.read.options(header=False, sep=delimiter, multiLine=True, **_QUOTING).csv(path).head(1)
     )
     if not first:
         raise ValueError(f"no header row in {path}")
@@ -25,24 +26,34 @@ def _header(spark: SparkSession, path, delimiter: str) -> list[str]:
 
 
 def header_names(raw: list[str]) -> list[str]:
-    """Blank names become ``Unnamed: i``; repeated names get ``.1``, ``.2`` ..."""
+    """Blank names become ``Unnamed: i``; repeated names get ``.1``, ``.2`` ...
+
+    Names that differ only in case count as repeated, since Spark resolves
+    columns without regard to case.
+    """
     filled = [name or f"Unnamed: {i}" for i, name in enumerate(raw)]
-    reserved = set(filled)
+    reserved = {name.lower() for name in filled}
     out: list[str] = []
+    taken: set[str] = set()
     repeats: dict[str, int] = {}
     for name in filled:
         fresh = name
-        while fresh in out or (fresh != name and fresh in reserved):
-            repeats[name] = repeats.get(name, 0) + 1
-            fresh = f"{name}.{repeats[name]}"
+        while fresh.lower() in taken or (fresh != name and fresh.lower() in reserved):
+            repeats[name.lower()] = repeats.get(name.lower(), 0) + 1
+            fresh = f"{name}.{repeats[name.lower()]}"
         out.append(fresh)
+        taken.add(fresh.lower())
     return out
 
 
-def has_split_records(spark: SparkSession, path) -> bool:
-    """True if a quoted cell may span lines: some line holds an odd number of quotes."""
+def split_record_files(spark: SparkSession, path) -> list[str]:
+    """Files in which a quoted cell may span lines: some line holds an odd number of quotes.
+
+    One name per file at most, of the files that Spark's driver lists anyway.
+    """
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+    odd = spark.read.text(path).filter(quotes % 2 == 1)
+    return [r[0] for r in odd.select(F.col("_metadata.file_path")).distinct().collect()]
 
 
 def _fits(cells: int, delimiter: str, first: str) -> Column:
@@ -82,28 +93,26 @@ def read_csv(
 ) -> DataFrame:
     """Every column as text, null tokens as NULL; types are inferred afterwards.
 
-    ``multiline=None`` looks for cells that span lines first. Files without
-    such cells stay splittable; say ``False`` where this is known beforehand.
+    ``multiline=None`` looks for cells that span lines first. Only files that
+    may hold such cells are read by one task each; the others stay splittable.
+    Say ``False`` where it is known that there are none.
     ``row_order`` adds a key that sorts rows in file order. Short rows are
     filled with nulls; a row with more cells than the header raises.
     """
     raw = _header(spark, path, delimiter)
     names = header_names(raw)
-    if multiline is None:
-        multiline = has_split_records(spark, path)
+    split = split_record_files(spark, path) if multiline is None else []
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _RECORD]])
-    scan = spark.read.schema(schema).options(
+    options = dict(
         columnNameOfCorruptRecord=_RECORD,
         # Long rows are noticed only if all cells are parsed.
         columnPruning=False,
         header=True,
         sep=delimiter,
-        multiLine=multiline,
         # Files of one folder must agree on their header, unless it was repaired.
         enforceSchema=names != raw,
         **_QUOTING,
-    ).csv(path)
-    scan = scan.filter(_fits(len(names), delimiter, names[0]))
+    )
     texts = [F.when(~col(n).isin(NULL_TOKENS), col(n)).alias(n) for n in names]
     if row_order:
         texts.append(
@@ -113,7 +122,17 @@ def read_csv(
                 F.monotonically_increasing_id().alias("row"),
             ).alias(ROW_ORDER)
         )
-    return scan.select(*texts)
+
+    def scan(by_file: bool, chosen: Column | None = None) -> DataFrame:
+        rows = spark.read.schema(schema).options(multiLine=by_file, **options).csv(path)
+        rows = rows if chosen is None else rows.filter(chosen)
+        return rows.filter(_fits(len(names), delimiter, names[0])).select(*texts)
+
+    if not split:
+        return scan(bool(multiline))
+    # The file filter is applied to the list of files, before anything is read.
+    odd = F.col("_metadata.file_path").isin(split)
+    return scan(True, odd).unionAll(scan(False, ~odd))
 
 
 def write_csv(df: DataFrame, path: str) -> None:

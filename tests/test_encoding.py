@@ -100,3 +100,12 @@ def test_shuffled_labels_spread_settled_rows(spark):
         assert [r["c_encoded"] for r in encoded.orderBy("i").limit(50).collect()] == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_sample_comes_before_the_dictionary(spark):
+    df = spark.range(500).selectExpr("id AS i", "concat('k', id % 200) AS c")
+    plan = en.EncodingPlan([en.EncodingChoice("c", "label", None)], en.class_table(df, ["c"]))
+    shown = en.encoded_sample(df, ["c"], ["i"], max_rows=10, plan=plan).collect()
+    codes = {v: n for n, v in enumerate(sorted(f"k{j}" for j in range(200)))}
+    assert len(shown) == 10
+    assert all(r["c"] == codes[f"k{r['i'] % 200}"] for r in shown)

@@ -24,6 +24,7 @@ def put(folder, name, text):
 def test_header_names():
     assert header_names(["a", "a", "", "a", "b"]) == ["a", "a.1", "Unnamed: 2", "a.2", "b"]
     assert header_names(["a", "a", "a.1"]) == ["a", "a.2", "a.1"]
+    assert header_names(["Sales", "sales", "SALES"]) == ["Sales", "sales.1", "SALES.2"]
 
 
 def test_csv_cells(spark, tmp_path):
@@ -212,3 +213,19 @@ def test_parts_are_ordered_by_number(spark, tmp_path):
     put(tmp_path, "part-100000.csv", "v\nsecond\n")
     scan = read_csv(spark, str(tmp_path), row_order=True)
     assert [r["v"] for r in first_rows(scan, 2).collect()] == ["first", "second"]
+
+
+def test_only_files_with_split_cells_are_read_whole(spark, tmp_path):
+    put(tmp_path, "a.csv", "id,Text,text\n1,plain,x\n2,also,y\n")
+    put(tmp_path, "b.csv", 'id,Text,text\n3,"two\nlines",z\n')
+    frame = read_csv(spark, str(tmp_path))
+    assert rows(frame, "id") == [
+        ("1", "plain", "x"), ("2", "also", "y"), ("3", "two\nlines", "z"),
+    ]
+    text = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Relation") == 2 and text.count("file_path") >= 2
+
+
+def test_header_over_lines(spark, tmp_path):
+    path = put(tmp_path, "a.csv", '"first\nname",b\n1,2\n')
+    assert rows(read_csv(spark, path)) == [("1", "2")]
