@@ -13,9 +13,9 @@ No group is expanded into its pairs. Every bucket links its members to one, the
 most central, and what is left to the most central of the rest. Members that
 still lie in different components are compared only where they can be similar:
 let p be the central member and y one that isn't linked to it. A set x can reach
-the threshold with y only if it shares a shingle with y outside p, since what
+the threshold with y only if it shares shingles with y outside p, since what
 y shares with p is too little, or if x is smaller than p by enough. So pairs are
-found by their differences from p, cut to a prefix by the number of differences
+found by their differences from p, cut to prefixes by the number of differences
 that must agree, and no others need a look. With BANDS bands of ROWS registers a
 pair exactly at similarity 0.8 never meets with a chance of 1e-8.
 """
@@ -279,36 +279,30 @@ def _by_differences(mixed: DataFrame, sets: DataFrame, threshold: int) -> DataFr
     def overlap(n, m):
         return F.ceil(F.lit(threshold) * (n + m) / (100 + threshold) - 1e-9)
 
-    left = rows.filter("root <> centre_root").withColumn(
-        # Of the differences, in hash order, so many must be looked up for sets not smaller than the centre.
-        "prefix", F.size("tokens") - (overlap(F.col("n"), F.col("n_centre")) - F.col("shared")) + 1
-    )
-    y = left.select(
-        "centre", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"),
-        "shared", "prefix", F.posexplode("tokens").alias("place", "token"),
-    )
-    x = rows.select(
-        "centre", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"),
-        "n_centre", F.explode("tokens").alias("token"),
+    def side(frame: DataFrame, name: str, *more) -> DataFrame:
+        columns = ("node", "root", "n", "shared")
+        renamed = [F.col(c).alias(name if c == "node" else f"{c}_{name}") for c in columns]
+        return frame.select("centre", *renamed, F.size("tokens").alias(f"size_{name}"), *more)
+
+    # What two sets share inside the centre is no more than either shares with it;
+    # so many of their differences from it must agree to reach the threshold.
+    need = overlap(F.col("n_a"), F.col("n_b")) - F.least("shared_a", "shared_b")
+    apart = (F.col("root_a") != F.col("root_b")) & (
+        100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")
     )
-    enough = overlap(F.col("n_a"), F.col("n_b"))
+    left = rows.filter("root <> centre_root")
+    y = side(left, "a", F.posexplode("tokens").alias("place_a", "token"))
+    x = side(rows, "b", F.posexplode("tokens").alias("place_b", "token"))
+    # Differences are in hash order: the first that agree lie this far from the end of both.
     by_token = y.join(x, ["centre", "token"]).filter(
-        (F.col("root_a") != F.col("root_b"))
-        & (100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
-        & ((F.col("place") < F.col("prefix")) | (F.col("n_b") < F.col("n_centre")))
-        & (enough > F.col("shared"))
-    )
-    small = rows.filter("n < n_centre").select(
-        "centre", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b")
-    )
-    some = left.select(
-        "centre", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), "shared"
-    ).filter(100 * F.col("shared") >= threshold * F.col("n_a"))
-    by_size = some.join(small, "centre").filter(
-        (F.col("root_a") != F.col("root_b"))
-        & (100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
-        & (enough <= F.col("shared"))
+        apart
+        & (need > 0)
+        & (F.col("place_a") + need <= F.col("size_a"))
+        & (F.col("place_b") + need <= F.col("size_b"))
     )
+    some = side(left.filter(100 * F.col("shared") >= threshold * F.col("n")), "a")
+    small = side(rows.filter("n < n_centre"), "b")
+    by_size = some.join(small, "centre").filter(apart & (need <= 0))
     return by_token.select("a", "b").unionAll(by_size.select("a", "b"))
 
 
