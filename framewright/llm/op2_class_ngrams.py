@@ -293,10 +293,18 @@ def train(docs: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, k
     )
     sums = counted.agg(F.sum("n"), F.count("*")).first()
     ends = texts.count()
-    top = (
-        counted.filter(F.octet_length("word") <= KNOWN_BYTES)
-        .orderBy(F.desc("n"), "word").limit(known).collect()
-    )
+    # The words of the highest bands of frequency that together are no more than ``known``.
+    band = F.floor(F.log2("n") * 32).cast("int")
+    short = F.octet_length("word") <= KNOWN_BYTES
+    bands = counted.filter(short).groupBy(band.alias("band")).count().collect()
+    left, least = known, 1 << 30
+    for r in sorted(bands, reverse=True):
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["band"]
+    is_known = short & (band >= least)
+    top = sorted(counted.filter(is_known).collect(), key=lambda r: (-r["n"], bytes(r["word"])))
     number = {bytes(r["word"]): i for i, r in enumerate(top)}
     n = np.array([r["n"] for r in top], dtype=np.float64)
     size = min(clustered, len(top))
@@ -322,11 +330,7 @@ def train(docs: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, k
     base = np.log10(np.append(n, ends) + 0.5) - np.log10(tokens + 0.5 * (distinct + 1))
     # The last but one entry tells whether the end of a text was seen in training.
     base = np.insert(base, len(top), 1.0 if ends else 0.0)
-    rest = counted.join(
-        F.broadcast(spark.createDataFrame([(bytearray(w),) for w in number], "k binary")),
-        F.col("word") == F.col("k"),
-        "left_anti",
-    )
+    rest = counted.filter(~is_known)
     return Model(number, base, class_of, emit, np.log10(step), classes, classes + 1), totals, rest
 
 
