@@ -9,8 +9,8 @@ from framewright.functions.columns import col
 
 # A key held by more than this share of the rows is heavy: 1 / HEAVY_PARTS.
 HEAVY_PARTS = 1_000
-# Longest key that may be broadcast; with HEAVY_PARTS it bounds the bytes.
-HEAVY_KEY_BYTES = 4_096
+# Longer keys are broadcast as a digest; with HEAVY_PARTS this bounds the bytes.
+HEAVY_KEY_BYTES = 64
 SPREAD = 4_096
 
 
@@ -18,6 +18,12 @@ def _spread_of(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(SPREAD).cast("bigint"))
 
 
+def _bounded(key: Column) -> Column:
+    """The key's bytes, or the SHA-256 of a long key."""
+    data = key.cast("binary")
+    return F.when(F.octet_length(data) <= HEAVY_KEY_BYTES, data).otherwise(F.unhex(F.sha2(data, 256)))
+
+
 def lookup_join(df: DataFrame, key: str, lookup: DataFrame, name: str) -> DataFrame:
     """``df`` with the lookup's value of ``key`` as column ``name``.
 
@@ -29,18 +35,16 @@ def lookup_join(df: DataFrame, key: str, lookup: DataFrame, name: str) -> DataFr
     over all tasks; for the others the second key follows from the first.
     """
     total = lookup.agg(F.coalesce(F.sum("occurrences"), F.lit(0)).alias("n")).scalar()
-    is_heavy = (F.col("occurrences") * HEAVY_PARTS > total) & (
-        F.octet_length(F.col("key")) <= HEAVY_KEY_BYTES
-    )
+    is_heavy = F.col("occurrences") * HEAVY_PARTS > total
     heavy = lookup.filter(is_heavy).select(
-        F.col("key").alias("_heavy_key"), F.col("value").alias("_heavy_value")
+        _bounded(F.col("key")).alias("_heavy_key"), F.col("value").alias("_heavy_value")
     )
     light = lookup.filter(~is_heavy).select(
         F.col("key").alias("_light_key"),
         _spread_of(F.col("key")).alias("_light_spread"),
         F.col("value").alias("_light_value"),
     )
-    probed = df.join(F.broadcast(heavy), col(key) == F.col("_heavy_key"), "left")
+    probed = df.join(F.broadcast(heavy), _bounded(col(key)) == F.col("_heavy_key"), "left")
     open_key = F.when(F.col("_heavy_key").isNull(), col(key))
     probed = probed.withColumn("_open_key", open_key).withColumn(
         "_spread",

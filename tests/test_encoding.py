@@ -109,3 +109,13 @@ def test_sample_comes_before_the_dictionary(spark):
     codes = {v: n for n, v in enumerate(sorted(f"k{j}" for j in range(200)))}
     assert len(shown) == 10
     assert all(r["c"] == codes[f"k{r['i'] % 200}"] for r in shown)
+
+
+def test_hot_keys_of_any_length_are_looked_up_by_broadcast(spark):
+    from framewright.operators.lookups import lookup_join
+
+    long = "x" * 9_000
+    df = spark.createDataFrame([(long,)] * 50 + [("a",), (None,), ("b" * 64,)], "k string")
+    found = df.groupBy("k").count().selectExpr("k AS key", "length(k) AS value", "count AS occurrences")
+    out = lookup_join(df, "k", found.filter("key IS NOT NULL"), "n").collect()
+    assert sorted((r["n"] or 0) for r in out) == [0, 1, 64] + [9_000] * 50
