@@ -1,15 +1,20 @@
 """Scoring by a Brown class-based bigram model.
 
-The frequent words are put into classes by exchange clustering: a word moves
-to the class that raises the likelihood of the class bigrams most. All other
-words are one class. A token then costs the probability of its class after
-the class before it, smoothed with the frequency of the class, times the
-probability of the word in its class.
-
-What is counted grows with the corpus and stays distributed: word counts are a
-table; bigrams are counted between frequent words only, a table of at most
-CLUSTERED squared rows. Frequent words and their counts, of bounded number and
-length, are broadcast; the counts of all other words are joined by shuffle.
+The most frequent words, the core, are put into classes by exchange
+clustering: a word moves to the class that raises the likelihood of the class
+bigrams most. Every other word of the training texts then takes its best class
+by the same gain, from how often it stands before and after words of each
+class; where its neighbour is outside the core, the class of that is not known
+yet. The class bigrams of the model are counted over all words. A token then
+costs the probability of its class after the class before it, smoothed with the
+frequency of the class, times the probability of the word in its class. Only
+words that training never saw have no class; they cost what they cost by count.
+
+What is counted grows with the corpus and stays distributed: word counts and
+the classes of words are tables; bigrams of single words are counted inside the
+core, a table of at most CLUSTERED squared rows, and of other words with
+classes. Frequent words with counts and classes, of bounded number and length,
+are broadcast; those of all other words are joined by shuffle.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 from framewright.llm.common import fold_of, words
 from framewright.session import reliable
 
-# Words in classes, classes, and words whose counts are broadcast; longest such word in bytes.
+# Words of the core, classes, and words whose counts are broadcast; longest such word in bytes.
 CLUSTERED = 8_192
 CLASSES = 64
 KNOWN = 200_000
@@ -39,6 +44,8 @@ SMOOTHING = 20.0
 # Words of a task counted before they are sent on, and tokens of which bigrams are merged.
 HELD_WORDS, HELD_TOKENS = 400_000, 2_000_000
 BLOCK = 1_024
+# Words that are placed together.
+PLACED = 512
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,31 +230,137 @@ def exchange(pairs: DataFrame, size: int, classes: int = CLASSES, rounds: int =
     return of, table
 
 
+def _contexts(held, classes: int):
+    """Per word outside the core: n * cells + cell, for cells as in ``_profiles``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, of = held.value
+        get, width = number.get, classes + 2
+        cells, other = 2 * width + 1, len(number)
+
+        def merged() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(parts), return_counts=True)
+            word = found // cells
+            starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            offsets = np.append(starts, len(found)).astype(np.int32)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(own), pa.binary()), pa.ListArray.from_arrays(offsets, n * cells + found % cells)],
+                names=["word", "cells"],
+            )
+
+        own: dict[bytes, int] = {}
+        parts, tokens = [], 0
+        for batch in batches:
+            for text in batch.column(0):
+                some = words(text.as_py())
+                core = np.fromiter(map(get, some, repeat(other)), dtype=np.int64, count=len(some))
+                at = np.flatnonzero(core == other)
+                if not len(at):
+                    continue
+                word = np.full(len(some) + 2, -1)
+                word[at + 1] = [own.setdefault(some[i], len(own)) for i in at.tolist()]
+                cls = of[np.concatenate([[other + 1], core, [other + 1]])]
+                here = word[at + 1]
+                parts.append(here * cells + np.where(word[at + 2] == here, 2 * width, cls[at + 2]))
+                before = word[at] != here
+                parts.append((here * cells + width + cls[at])[before])
+                tokens += len(at)
+                if tokens >= HELD_TOKENS or len(own) >= HELD_WORDS:
+                    yield merged()
+                    parts, tokens = [], 0
+                    own.clear()
+        if parts:
+            yield merged()
+
+    return run
+
+
+def place(table: np.ndarray, word: np.ndarray, cell: np.ndarray, n: np.ndarray, size: int, open_: int) -> np.ndarray:
+    """Class among the first ``open_`` into which each of ``size`` words of class ``open_`` fits best.
+
+    The gain is that of ``best_class``, for sparse profiles: ``n`` times ``word``
+    has ``cell``, as in ``_profiles``.
+    """
+    width, home = len(table), open_
+    after, before, own = np.zeros((size, width)), np.zeros((size, width)), np.zeros((size, 1))
+    is_after, is_before = cell < width, (cell >= width) & (cell < 2 * width)
+    after[word[is_after], cell[is_after]] = n[is_after]
+    before[word[is_before], cell[is_before] - width] = n[is_before]
+    own[word[cell == 2 * width], 0] = n[cell == 2 * width]
+    gain = np.zeros((size, open_))
+    for counts, other, by_class in ((after, before, table.T), (before, after, table)):
+        at, context = np.nonzero(counts)
+        t = by_class[context, :open_]
+        t[context == home] -= other[at[context == home], :open_]
+        np.add.at(gain, at, _xlogx(t + counts[at, context][:, None]) - _xlogx(t))
+        total, all_ = by_class.sum(axis=0)[:open_], counts.sum(axis=1, keepdims=True) + own
+        gain -= _xlogx(total + all_) - _xlogx(total)
+    at, to = np.nonzero(((after > 0) & (before > 0) | (own > 0))[:, :open_])
+    corner, a, b, o = np.diag(table)[to], after[at, to], before[at, to], own[at, 0]
+    gain[at, to] += _xlogx(corner + a + b + o) - _xlogx(corner + a) - _xlogx(corner + b) + _xlogx(corner)
+    return gain.argmax(axis=1)
+
+
+def _placed(held, classes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, width = held.value, classes + 2
+        for batch in batches:
+            for low in range(0, batch.num_rows, PLACED):
+                some = batch.slice(low, PLACED)
+                profile = some.column(1)
+                size = some.num_rows
+                word = np.repeat(np.arange(size), profile.value_lengths().to_numpy())
+                cell, n = (c.to_numpy(zero_copy_only=False) for c in profile.flatten().flatten())
+                # Each occurrence has one token before it, itself or another.
+                seen = np.bincount(word, np.where(cell >= width, n, 0), size).astype(np.int64)
+                found = place(table, word, cell, n.astype(np.float64), size, classes)
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), pa.array(seen), pa.array(found, pa.int32())], names=["word", "n", "class"]
+                )
+
+    return run
+
+
+def others(texts: DataFrame, number: dict[bytes, int], of: np.ndarray, table: np.ndarray, classes: int) -> DataFrame:
+    """(word, n, class) of every word of the texts outside the core."""
+    share = texts.sparkSession.sparkContext.broadcast
+    cells = 2 * (classes + 2) + 1
+    profiles = (
+        texts.mapInArrow(_contexts(share((number, of)), classes), "word binary, cells array<bigint>")
+        .repartition("word")
+        .select("word", F.explode("cells").alias("c"))
+        .groupBy("word", (F.col("c") % cells).cast("int").alias("cell"))
+        .agg(F.sum(F.floor(F.col("c") / cells)).alias("n"))
+        .groupBy("word")
+        .agg(F.array_sort(F.collect_list(F.struct("cell", "n"))).alias("profile"))
+    )
+    return profiles.mapInArrow(_placed(share(table), classes), "word binary, n bigint, class int")
+
+
 @dataclass
-class Model:
+class Words:
     number: dict[bytes, int]
-    base: np.ndarray  # log10 of the base probability of each known word, then of the end
-    of: np.ndarray  # class of each known word
-    emit: np.ndarray  # log10 of the probability in its class
-    step: np.ndarray  # log10 of class after class
+    base: np.ndarray  # log10 of the base probability of each word that is broadcast
+    of: np.ndarray  # its class
+    log: np.ndarray  # log10 of its count
+    end: float  # log10 of the base probability of the end
+    ends: int
+    whole: float  # what base probabilities are divided by
     tail: int
     edge: int
 
 
-@dataclass
-class Totals:
-    tokens: int
-    distinct: int
-    ends: int
-    tail_tokens: int
-    tail_distinct: int
+def _code(tail: int) -> type:
+    return np.uint8 if tail < 255 else np.uint16
+
 
+def _coded(held):
+    """Rows with the class of each token, and the words for which it is still to be found."""
 
-def _scored(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = held.value
+        m: Words = held.value
         get, part, at = m.number.get, TaskContext.get().partitionId(), 0
-        rest_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+        rest_type = pa.list_(pa.struct([("k", pa.int32()), ("word", pa.binary())]))
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 some = batch.slice(low, 1000)
@@ -256,36 +369,121 @@ def _scored(held):
                     tokens = words(text.as_py())
                     found = np.fromiter(map(get, tokens, repeat(-1)), dtype=np.int64, count=len(tokens))
                     known = found[found >= 0]
-                    cls = np.full(len(found) + 2, m.tail)
-                    cls[0] = cls[-1] = m.edge
-                    cls[1:-1][found >= 0] = m.of[known]
-                    rest = Counter(tokens[i] for i in np.flatnonzero(found < 0).tolist())
+                    codes = np.full(len(found) + 2, m.tail, dtype=_code(m.tail))
+                    codes[0] = codes[-1] = m.edge
+                    codes[1:-1][found >= 0] = m.of[known]
+                    rest: dict[bytes, int] = {}
+                    which = [rest.setdefault(tokens[i], len(rest)) for i in np.flatnonzero(found < 0).tolist()]
                     rows.append(
                         (
                             (part << 33) + at,
                             len(tokens) + 1,
-                            len(known) + (1 if m.base[-2] > 0 else 0),
-                            m.base[known].sum() + m.base[-1],
-                            m.step[cls[:-1], cls[1:]].sum() + m.emit[known].sum(),
-                            [{"word": w, "n": n} for w, n in rest.items()],
+                            len(known) + (1 if m.ends else 0),
+                            m.base[known].sum() + m.end,
+                            m.log[known].sum(),
+                            codes.tobytes(),
+                            np.array(which, dtype="<i4").tobytes(),
+                            [{"k": k, "word": w} for w, k in rest.items()],
                         )
                     )
                     at += 1
-                row, n, n_known, base, score, rest = zip(*rows, strict=True)
+                row, n, n_known, base, log, codes, which, rest = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row, pa.int64()), *some.columns[:2], pa.array(n, pa.int64()),
                         pa.array(n_known, pa.int64()), pa.array(base, pa.float64()),
-                        pa.array(score, pa.float64()), pa.array(rest, rest_type),
+                        pa.array(log, pa.float64()), pa.array(codes, pa.binary()),
+                        pa.array(which, pa.binary()), pa.array(rest, rest_type),
                     ],
-                    names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rest"],
+                    names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "log", "codes", "which", "rest"],
                 )
 
     return run
 
 
-def train(docs: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, known: int = KNOWN) -> tuple[Model, Totals, DataFrame]:
-    """Model, totals and the count table of the words that are not broadcast."""
+def _completed(tail: int, whole: float):
+    """Fill in the counts and classes that were joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_known, base, log = (batch.column(i).to_numpy().copy() for i in (3, 4, 5))
+            out = batch.column(6).to_pylist()
+            which, found = batch.column(7), batch.column(8)
+            for i in np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                k, c, cls = (x.to_numpy(zero_copy_only=False) for x in found[i].values.flatten())
+                count, of = np.zeros(len(k)), np.full(len(k), tail)
+                count[k], of[k] = c, cls
+                token = np.frombuffer(which[i].as_py(), dtype="<i4")
+                n = count[token]
+                codes = np.frombuffer(out[i], dtype=_code(tail)).copy()
+                codes[codes == tail] = of[token]
+                out[i] = codes.tobytes()
+                n_known[i] += (n > 0).sum()
+                base[i] += np.log10((n + 0.5) / whole).sum()
+                log[i] += np.log10(np.maximum(n, 1)).sum()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns[:3], pa.array(n_known), pa.array(base), pa.array(log),
+                    pa.array(out, pa.binary()),
+                ],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "base", "log", "codes"],
+            )
+
+    return run
+
+
+def _class_pairs(tail: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = tail + 2
+        sums = np.zeros(width * width, dtype=np.int64)
+        for batch in batches:
+            for codes in batch.column(0):
+                c = np.frombuffer(codes.as_buffer(), dtype=_code(tail)).astype(np.int64)
+                np.add.at(sums, c[:-1] * width + c[1:], 1)
+        cells = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(sums[cells])], names=["cell", "n"])
+
+    return run
+
+
+def _scored(held, tail: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = held.value
+        for batch in batches:
+            score = batch.column(5).to_numpy().copy()
+            for i, codes in enumerate(batch.column(6)):
+                c = np.frombuffer(codes.as_buffer(), dtype=_code(tail))
+                score[i] += step[c[:-1], c[1:]].sum()
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:5], pa.array(score)],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+            )
+
+    return run
+
+
+def steps(table: np.ndarray, unseen: float) -> np.ndarray:
+    """log10 of the probability of a class after a class, less log10 of the count of the second class.
+
+    With the log10 of the count of a word this is what the word costs. The last
+    but one class holds words never seen in training; it comes after any class
+    with the chance ``unseen``.
+    """
+    tail = len(table) - 2
+    seen = table.sum(axis=0)
+    frequency = np.delete(seen, tail) + 0.5
+    smooth = np.insert(SMOOTHING * frequency / frequency.sum(), tail, 0.0)
+    step = (1 - unseen) * (table + smooth) / (table.sum(axis=1, keepdims=True) + SMOOTHING)
+    step[:, tail] = unseen
+    count = np.maximum(seen, 1)
+    count[-1] = 1
+    return np.log10(step) - np.log10(count)
+
+
+def train(
+    docs: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, known: int = KNOWN
+) -> tuple[Words, DataFrame, int]:
+    """Words that are broadcast, the table (word, n, class) of all others, and the number of tokens."""
     spark = docs.sparkSession
     texts = docs.select("text")
     counted = reliable(
@@ -293,50 +491,46 @@ def train(docs: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES, k
     )
     sums = counted.agg(F.sum("n"), F.count("*")).first()
     ends = texts.count()
-    # The words of the highest bands of frequency that together are no more than ``known``.
     band = F.floor(F.log2("n") * 32).cast("int")
     short = F.octet_length("word") <= KNOWN_BYTES
-    bands = counted.filter(short).groupBy(band.alias("band")).count().collect()
+    bands = sorted(counted.filter(short).groupBy(band.alias("band")).count().collect(), reverse=True)
+    # The words of the highest bands of frequency that together are no more than ``known``,
+    # and the bands that hold the core.
     left, least = known, 1 << 30
-    for r in sorted(bands, reverse=True):
+    for r in bands:
         left -= r["count"]
         if left < 0:
             break
         least = r["band"]
-    is_known = short & (band >= least)
-    top = sorted(counted.filter(is_known).collect(), key=lambda r: (-r["n"], bytes(r["word"])))
-    number = {bytes(r["word"]): i for i, r in enumerate(top)}
-    n = np.array([r["n"] for r in top], dtype=np.float64)
-    size = min(clustered, len(top))
+    need, core_least = clustered, 1 << 30
+    for r in bands:
+        if need <= 0:
+            break
+        need, core_least = need - r["count"], r["band"]
+    core = (
+        counted.filter(short & (band >= core_least)).orderBy(F.desc("n"), "word").limit(clustered).collect()
+    )
+    size = len(core)
+    number = {bytes(r["word"]): i for i, r in enumerate(core)}
     classes = max(1, min(classes, size))
-    frequent = {w: i for w, i in number.items() if i < size}
-    held = spark.sparkContext.broadcast(frequent)
+    held = spark.sparkContext.broadcast(number)
     pairs = reliable(
         texts.mapInArrow(_count_pairs(held), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
     )
     of, table = exchange(pairs, size, classes)
+    more = reliable(others(texts, number, of, table, classes))
+    is_known = short & (band >= least)
+    top = more.filter(is_known).collect()
+    number = {**number, **{bytes(r["word"]): size + i for i, r in enumerate(top)}}
+    n = np.array([r["n"] for r in [*core, *top]], dtype=np.float64)
+    class_of = np.append(of[:size], [r["class"] for r in top]).astype(np.int64)
     tokens, distinct = (sums[0] or 0) + ends, sums[1] + (1 if ends else 0)
-    totals = Totals(tokens, distinct, ends, int((sums[0] or 0) - n[:size].sum()), sums[1] - size)
-    # The column sums of the table are the frequencies of the classes.
-    frequency = table.sum(axis=0) + 0.5
-    step = (table + SMOOTHING * frequency / frequency.sum()) / (table.sum(axis=1, keepdims=True) + SMOOTHING)
-    class_of = np.full(len(top), classes)
-    class_of[:size] = of[:size]
-    inside = np.zeros(classes + 2)
-    np.add.at(inside, class_of[:size], n[:size])
-    emit = np.empty(len(top))
-    emit[:size] = np.log10(n[:size] / inside[class_of[:size]])
-    emit[size:] = np.log10(tail_share(n[size:], totals))
-    base = np.log10(np.append(n, ends) + 0.5) - np.log10(tokens + 0.5 * (distinct + 1))
-    # The last but one entry tells whether the end of a text was seen in training.
-    base = np.insert(base, len(top), 1.0 if ends else 0.0)
-    rest = counted.filter(~is_known)
-    return Model(number, base, class_of, emit, np.log10(step), classes, classes + 1), totals, rest
-
-
-def tail_share(n, totals: Totals):
-    """Probability of a word of count n in the class of the other words."""
-    return (n + 0.5) / (totals.tail_tokens + 0.5 * (totals.tail_distinct + 1))
+    whole = tokens + 0.5 * (distinct + 1)
+    held_words = Words(
+        number, np.log10((n + 0.5) / whole), class_of, np.log10(n), float(np.log10((ends + 0.5) / whole)),
+        ends, whole, classes, classes + 1,
+    )
+    return held_words, more.filter(~is_known), tokens
 
 
 def held_out(id_col: str = "doc_id"):
@@ -353,37 +547,57 @@ def score(docs: DataFrame, **sizes) -> DataFrame:
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id"), held_out().alias("held_out"), F.col("text"))
-    model, totals, counts = train(own.filter("not held_out"), **sizes)
-    held = spark.sparkContext.broadcast(model)
+    model, more, tokens = train(own.filter("not held_out"), **sizes)
+    id_type = own.schema["doc_id"].dataType.simpleString()
     rows = reliable(
         own.mapInArrow(
-            _scored(held),
-            f"row bigint, doc_id {own.schema['doc_id'].dataType.simpleString()}, held_out boolean, "
-            "n_tokens bigint, n_known bigint, base double, score double, rest array<struct<word:binary,n:bigint>>",
+            _coded(spark.sparkContext.broadcast(model)),
+            f"row bigint, doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base double, "
+            "log double, codes binary, which binary, rest array<struct<k:int,word:binary>>",
         )
     )
-    c = F.coalesce(F.col("c"), F.lit(0))
-    whole = F.lit(float(totals.tokens + 0.5 * (totals.distinct + 1)))
-    others = F.lit(float(totals.tail_tokens + 0.5 * (totals.tail_distinct + 1)))
-    rest = (
+    found = (
         rows.select("row", F.explode("rest").alias("r"))
-        .select("row", F.col("r.word").alias("word"), F.col("r.n").alias("m"))
-        .join(counts.withColumnRenamed("n", "c"), "word", "left")
+        .select("row", F.col("r.k").alias("k"), F.col("r.word").alias("word"))
+        .join(more, "word", "left")
         .groupBy("row")
         .agg(
-            F.sum(F.when(c > 0, F.col("m")).otherwise(0)).alias("more_known"),
-            F.sum(F.col("m") * F.log10((c + 0.5) / whole)).alias("more_base"),
-            F.sum(F.col("m") * F.log10((c + 0.5) / others)).alias("more_score"),
+            F.collect_list(
+                F.struct(
+                    "k", F.coalesce("n", F.lit(0)).alias("n"),
+                    F.coalesce("class", F.lit(model.tail)).alias("class"),
+                )
+            ).alias("found")
         )
     )
-    total = F.col("score") + F.coalesce("more_score", F.lit(0.0))
-    return rows.drop("rest").join(rest, "row", "left").select(
+    fields = ["doc_id", "held_out", "n_tokens", "n_known", "base", "log", "codes"]
+    whole_rows = reliable(
+        rows.drop("rest").join(found, "row", "left").select(*fields, "which", "found").mapInArrow(
+            _completed(model.tail, model.whole),
+            f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base double, log double, "
+            "codes binary",
+        )
+    )
+    cells = (
+        whole_rows.filter("not held_out").select("codes")
+        .mapInArrow(_class_pairs(model.tail), "cell bigint, n bigint")
+        .groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    )
+    table = np.zeros((model.tail + 2) ** 2)
+    for r in cells:
+        table[r["cell"]] = r["n"]
+    step = steps(table.reshape(model.tail + 2, -1), min(0.5 / model.whole, 0.5))
+    scored = whole_rows.select(*fields).mapInArrow(
+        _scored(spark.sparkContext.broadcast(step), model.tail),
+        f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double",
+    )
+    return scored.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(totals.tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        total.alias("score"),
-        F.pow(F.lit(10.0), -total / F.col("n_tokens")).alias("perplexity"),
+        "n_known",
+        F.lit(tokens).cast("bigint").alias("train_tokens"),
+        "base_score",
+        "score",
+        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )
