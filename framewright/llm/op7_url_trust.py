@@ -10,6 +10,9 @@ and ordinary rank together.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +27,13 @@ RULES = (
     ("allow", "org", "/fr/"),
 )
 DAMPING = 0.85
-ITERATIONS = 12
+# Mass of all three ranks on its way below which spreading ends, and steps after which that is certain.
+TOLERANCE = 1e-12
+ITERATIONS = math.ceil(math.log(TOLERANCE / 3) / math.log(DAMPING))
+# Links between hosts up to which the driver spreads the ranks of linked hosts.
+LOCAL_LINKS = 100_000
 # Share of distrust in all rank of a host from which it is blocked.
 THRESHOLD = 0.5
-# Iterations between written stages.
-WRITE_EVERY = 4
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -74,63 +79,94 @@ def host_links(pages: DataFrame, host: str, html: str) -> DataFrame:
     )
 
 
-def _weighted(links: DataFrame, hosts: DataFrame, start: str, end: str) -> DataFrame:
-    """(start, end, weight): shares of the links of each start; hosts without links keep their rank."""
+def _weighted(links: DataFrame, start: str, end: str) -> DataFrame:
+    """(start, end, weight): shares of the links of each start."""
     totals = links.groupBy(F.col(start).alias("h")).agg(F.sum("n").alias("total"))
-    linked = links.join(totals, F.col(start) == F.col("h")).select(
+    return links.join(totals, F.col(start) == F.col("h")).select(
         F.col(start).alias("start"), F.col(end).alias("end"), (F.col("n") / F.col("total")).alias("weight")
     )
-    alone = hosts.join(totals, F.col("host") == F.col("h"), "left_anti")
-    return linked.unionAll(
-        alone.select(F.col("host").alias("start"), F.col("host").alias("end"), F.lit(1.0).alias("weight"))
+
+
+def _spread_few(seeds: DataFrame, links: DataFrame, tolerance: float) -> DataFrame:
+    """``spread`` of few links: plain iteration over arrays of the linked hosts."""
+    spark, names = seeds.sparkSession, ("trust", "rank", "distrust")
+    found = links.select("src", "dst", "n").collect()
+    linked = sorted({h for r in found for h in r[:2]})
+    known = spark.createDataFrame([(h,) for h in linked], "h string")
+    at = {h: i for i, h in enumerate(linked)}
+    start = np.zeros((3, len(linked)))
+    for r in seeds.join(F.broadcast(known), F.col("host") == F.col("h")).drop("h").collect():
+        start[:, at[r["host"]]] = r["s_trust"], r["s_rank"], r["s_distrust"]
+    a, b = (np.array([at[r[i]] for r in found], dtype=np.int64) for i in (0, 1))
+    n = np.array([r[2] for r in found], dtype=np.float64)
+    ranks = []
+    for s, (x, y) in zip(start, ((a, b), (a, b), (b, a)), strict=True):
+        total = np.bincount(x, n, len(linked))
+        moving = s * (1 - DAMPING)
+        rank = moving.copy()
+        while moving.sum() >= tolerance / 3:
+            moving = DAMPING * np.bincount(y, moving[x] * n / total[x], len(linked))
+            rank += moving
+        ranks.append(np.where(total > 0, rank, rank / (1 - DAMPING)).tolist())
+    solved = spark.createDataFrame(
+        list(zip(linked, *ranks, strict=True)), "host string, trust double, rank double, distrust double"
     )
+    alone = seeds.join(F.broadcast(known), F.col("host") == F.col("h"), "left_anti")
+    return alone.select("host", *[F.col(f"s_{c}").alias(c) for c in names]).unionAll(solved)
 
 
-def spread(seeds: DataFrame, links: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
+def spread(
+    seeds: DataFrame, links: DataFrame, tolerance: float = TOLERANCE, local_links: int = LOCAL_LINKS
+) -> DataFrame:
     """Trust, rank and distrust of every host.
 
     ``seeds``: host, and restart masses s_trust, s_rank, s_distrust (each sums to
     1, or to 0 where there are no seeds). Hosts known from links alone have none.
+    Each step passes on what the last one brought, until that is less than
+    ``tolerance`` in all; it falls by DAMPING at least. A host without links on
+    keeps its rank, which is a link to itself: summed at once, not step by step.
     """
-    outside = links.select(F.col("dst").alias("host")).distinct()
-    seeds = reliable(
-        seeds.unionAll(
-            outside.join(seeds.select("host"), "host", "left_anti").select(
-                "host", *[F.lit(0.0).alias(c) for c in ("s_trust", "s_rank", "s_distrust")]
-            )
-        )
+    if len(links.limit(local_links + 1).select("n").collect()) <= local_links:
+        return _spread_few(seeds, links, tolerance)
+    names = ("trust", "rank", "distrust")
+    edges = reliable(_weighted(links, "src", "dst"))
+    back = reliable(_weighted(links, "dst", "src"))
+    moving = reliable(
+        seeds.select("host", *[(F.col(f"s_{c}") * (1 - DAMPING)).alias(c) for c in names])
     )
-    hosts = seeds.select("host")
-    edges = reliable(_weighted(links, hosts, "src", "dst"))
-    back = reliable(_weighted(links, hosts, "dst", "src"))
-    ranks = seeds.select(
-        "host", F.col("s_trust").alias("trust"), F.col("s_rank").alias("rank"),
-        F.col("s_distrust").alias("distrust"),
-    )
-    for i in range(iterations):
-        ahead = ranks.join(edges, F.col("host") == F.col("start")).select(
+    ranks = moving
+    while True:
+        ahead = moving.join(edges, F.col("host") == F.col("start")).select(
             F.col("end").alias("host"), (F.col("trust") * F.col("weight")).alias("trust"),
             (F.col("rank") * F.col("weight")).alias("rank"), F.lit(0.0).alias("distrust"),
         )
-        behind = ranks.join(back, F.col("host") == F.col("start")).select(
+        behind = moving.join(back, F.col("host") == F.col("start")).select(
             F.col("end").alias("host"), F.lit(0.0).alias("trust"), F.lit(0.0).alias("rank"),
             (F.col("distrust") * F.col("weight")).alias("distrust"),
         )
-        restart = seeds.select(
-            "host",
-            *[
-                (F.col(f"s_{c}") * (1 - DAMPING) / DAMPING).alias(c)
-                for c in ("trust", "rank", "distrust")
-            ],
-        )
-        ranks = (
-            ahead.unionAll(behind).unionAll(restart)
-            .groupBy("host")
-            .agg(*[(F.sum(c) * DAMPING).alias(c) for c in ("trust", "rank", "distrust")])
+        moving = reliable(
+            ahead.unionAll(behind).groupBy("host")
+            .agg(*[(F.sum(c) * DAMPING).alias(c) for c in names])
+            .filter("trust + rank + distrust > 0")
         )
-        if i % WRITE_EVERY == WRITE_EVERY - 1 or i == iterations - 1:
-            ranks = reliable(ranks)
-    return ranks
+        left = moving.agg(F.sum(F.col("trust") + F.col("rank") + F.col("distrust"))).first()[0]
+        if not left:
+            break
+        ranks = ranks.unionAll(moving)
+        if left < tolerance:
+            break
+    ranks = ranks.groupBy("host").agg(*[F.sum(c).alias(c) for c in names])
+    ahead, behind = edges.select("start").distinct(), back.select("start").distinct()
+    ranks = ranks.join(ahead.select(F.col("start").alias("a")), F.col("host") == F.col("a"), "left").join(
+        behind.select(F.col("start").alias("b")), F.col("host") == F.col("b"), "left"
+    )
+    return ranks.select(
+        "host",
+        *[
+            F.when(F.col(goes).isNull(), F.col(c) / (1 - DAMPING)).otherwise(F.col(c)).alias(c)
+            for c, goes in zip(names, ("a", "a", "b"), strict=True)
+        ],
+    )
 
 
 def judge(

@@ -1,5 +1,8 @@
 import re
 
+import numpy as np
+import pytest
+
 from framewright.llm import op7_url_trust as m
 
 SCHEMA = "page_id bigint, url string, html string, host string, value string"
@@ -93,3 +96,27 @@ def test_empty_table(spark):
 def test_nothing_blocked_without_rules(spark):
     got = m.judge(pages(spark, ROWS), rules=()).collect()
     assert {r.verdict for r in got} == {"allow"} and {r.rule for r in got} == {None}
+
+
+@pytest.mark.parametrize("local_links", [0, 100])
+def test_long_chain_against_solved_system(spark, local_links):
+    """Twenty single links into a blocked seed, and with arrays a ring: ranks of the solved equations."""
+    n = 26
+    names = [f"h{i:02}.info" for i in range(n)]
+    edges = [(i, i + 1, 1) for i in range(20)] + ([(22, 23, 1), (23, 24, 2), (24, 22, 1), (24, 20, 1)] if local_links else [])
+    s = np.zeros((3, n))
+    s[0, 21], s[1], s[2, 20] = 0.1, 0.001, 0.1
+    seeds = spark.createDataFrame(
+        [(names[i], *map(float, s[:, i])) for i in range(n)], "host string, s_trust double, s_rank double, s_distrust double"
+    )
+    links = spark.createDataFrame([(names[a], names[b], c) for a, b, c in edges], "src string, dst string, n bigint")
+    got = {r.host: (r.trust, r.rank, r.distrust) for r in m.spread(seeds, links, local_links=local_links).collect()}
+    for k in range(3):
+        w = np.zeros((n, n))
+        for a, b, c in edges:
+            w[(b, a) if k == 2 else (a, b)] += c
+        for i in range(n):
+            w[i] = w[i] / w[i].sum() if w[i].any() else np.eye(n)[i]
+        solved = np.linalg.solve(np.eye(n) - m.DAMPING * w.T, (1 - m.DAMPING) * s[k])
+        assert np.allclose([got[h][k] for h in names], solved, rtol=1e-6, atol=1e-12)
+    assert local_links or all(got[names[i]][2] > got[names[i]][0] + got[names[i]][1] for i in range(8))
