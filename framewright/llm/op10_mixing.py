@@ -4,7 +4,10 @@ The words of a source lie in blocks: documents dealt by a hash of their id, so
 that a source of any size has blocks of like size. A source takes each of its
 blocks as often as its target holds the whole source, and of a permutation of
 its blocks as many more as still fit; the block at the border is dealt into
-smaller blocks, and so on, until the documents at the border are few. Exact
+smaller blocks, and so on, until the documents at the border are few. A document
+larger than what is left of a quota is set aside; where something is left after
+the border, the blocks behind it are gone through in the same way, until no
+document that was passed over fits. Exact
 counts of taken blocks per source are then split among the output shards by a
 binary tree: each node divides its blocks between its halves by a multivariate
 hypergeometric draw. Shards take disjoint runs of the permuted blocks and are
@@ -29,6 +32,8 @@ REPEAT = 2.0
 # Most blocks of a source on one level, and words below which documents are picked one by one.
 FANOUT = 1_024
 LAST_WORDS = 20_000
+# Documents at a border that are picked one by one, whatever their words.
+LAST_DOCS = 64
 SHARDS = 64
 
 
@@ -72,7 +77,7 @@ def _pick(rows: pd.DataFrame) -> pd.DataFrame:
         fits = words <= left
         left -= words if fits else 0
         extra.append(int(fits))
-    return ordered.assign(extra=extra)[["source", "doc_id", "size", "extra"]]
+    return ordered.assign(extra=extra)[["source", "doc_id", "size", "words", "extra"]]
 
 
 def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
@@ -135,59 +140,95 @@ def plan_mix(
         "source", F.col("source_size").alias("words"),
         (F.col("target") - F.col("whole") * F.col("source_size")).alias("left"),
     ).filter("left > 0 and words > 0")
-    open_, chosen, level = keyed.filter("words > 0"), [], 0
+    quota = border.select("source", "left")
+    candidates, chosen, level = keyed.filter("words > 0"), [], 0
     while True:
-        blocks_of = F.least(F.lit(fanout), F.ceil(F.col("words") / last_words)).cast("bigint")
-        border = border.withColumn("blocks", blocks_of)
-        sizes = border.select("source", "left", "blocks")
-        inside = open_.join(
-            F.broadcast(sizes.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))
-        ).drop("s")
-        inside = inside.withColumn(
-            "block", F.pmod(F.xxhash64("place", F.lit(level), F.lit(seed)), F.col("blocks"))
-        )
-        blocks = inside.groupBy("source", "block", "left").agg(F.sum("words").alias("words"))
-        order = W.partitionBy("source").orderBy(
-            F.xxhash64("block", F.lit(level), F.lit(seed + 1)), "block"
-        )
-        run = blocks.withColumn("end", F.sum("words").over(order)).withColumn(
-            "rank", F.row_number().over(order)
-        )
-        run = reliable(
-            run.filter(F.col("end") - F.col("words") < F.col("left")).withColumn(
-                "full", F.col("end") <= F.col("left")
+        # One way along the blocks: down to the documents at the border, then on with what lies behind it.
+        open_, passed, whole_quota, taken = candidates, [], quota, []
+        while True:
+            inside = open_.join(
+                F.broadcast(quota.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))
+            ).drop("s").filter(F.col("words") <= F.col("left"))
+            sizes = reliable(inside.groupBy("source").agg(F.sum("words").alias("all")))
+            blocks_of = F.least(F.lit(fanout), F.ceil(F.col("all") / last_words)).cast("bigint")
+            inside = inside.join(
+                F.broadcast(sizes.select(F.col("source").alias("s"), blocks_of.alias("blocks"))),
+                F.col("source").eqNullSafe(F.col("s")),
+            ).drop("s")
+            inside = inside.withColumn(
+                "block", F.pmod(F.xxhash64("place", F.lit(level), F.lit(seed)), F.col("blocks"))
             )
-        )
-        joined = inside.drop("left").join(
-            run.select(
+            blocks = inside.groupBy("source", "block", "left").agg(
+                F.sum("words").alias("words"), F.count("*").alias("docs")
+            )
+            order = W.partitionBy("source").orderBy(
+                F.xxhash64("block", F.lit(level), F.lit(seed + 1)), "block"
+            )
+            run = blocks.withColumn("end", F.sum("words").over(order))
+            run = reliable(
+                run.filter(F.col("end") - F.col("words") < F.col("left")).withColumn(
+                    "full", F.col("end") <= F.col("left")
+                )
+            )
+            taken.append(run.filter("full").select("source", "words"))
+            on = F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))
+            met = run.select(
                 F.col("source").alias("s"), F.col("block").alias("b"), "full",
                 (F.col("left") - F.col("end") + F.col("words")).alias("left"),
-            ),
-            F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")),
+            )
+            joined = inside.drop("left").join(met, on)
+            chosen.append(
+                joined.filter("full").select(
+                    "source", "doc_id", "size", F.lit(1).alias("extra"),
+                    F.lit(level).alias("level"), F.col("block").alias("extra_block"),
+                )
+            )
+            passed.append(
+                inside.join(met.select("s", "b"), on, "left_anti").select(*keyed.columns)
+            )
+            open_ = reliable(joined.filter("not full").select(*keyed.columns, "left"))
+            quota = run.filter("not full").select(
+                "source", (F.col("left") - F.col("end") + F.col("words")).alias("left")
+            )
+            level += 1
+            many = run.filter("not full").filter(
+                (F.col("words") > last_words) & (F.col("docs") > LAST_DOCS)
+            )
+            if not many.head(1):
+                break
+            open_ = open_.drop("left")
+        picked = reliable(
+            open_.groupBy("source").applyInPandas(
+                _pick, "source string, doc_id bigint, size bigint, words bigint, extra int"
+            )
         )
         chosen.append(
-            joined.filter("full").select(
-                "source", "doc_id", "size", F.lit(1).alias("extra"),
-                F.lit(level).alias("level"), F.col("block").alias("extra_block"),
+            picked.filter("extra > 0").select(
+                "source", "doc_id", "size", "extra", F.lit(level).alias("level"),
+                F.lit(0).cast("bigint").alias("extra_block"),
             )
         )
-        border = run.filter("not full").select(
-            "source", "words", (F.col("left") - F.col("end") + F.col("words")).alias("left")
+        used = picked.filter("extra > 0").select("source", "words")
+        for more in taken:
+            used = used.unionAll(more)
+        used = used.groupBy(F.col("source").alias("s")).agg(F.sum("words").alias("used"))
+        quota = reliable(
+            whole_quota.join(F.broadcast(used), F.col("source").eqNullSafe(F.col("s")), "left").select(
+                "source", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left")
+            )
+        )
+        behind = passed[0]
+        for more in passed[1:]:
+            behind = behind.unionAll(more)
+        candidates = reliable(
+            behind.join(
+                F.broadcast(quota.withColumnRenamed("source", "s")),
+                F.col("source").eqNullSafe(F.col("s")) & (F.col("words") <= F.col("left")),
+            ).select(*keyed.columns)
         )
-        open_ = reliable(joined.filter("not full").select(*keyed.columns, "left"))
         level += 1
-        if not border.filter(F.col("words") > last_words).head(1) or level > 60:
+        if not candidates.head(1):
             break
-        border = reliable(border)
-        open_ = open_.drop("left")
-    picked = open_.groupBy("source").applyInPandas(
-        _pick, "source string, doc_id bigint, size bigint, extra int"
-    )
-    chosen.append(
-        picked.filter("extra > 0").withColumn("level", F.lit(level)).withColumn(
-            "extra_block", F.lit(0).cast("bigint")
-        )
-    )
     extra = chosen[0]
     for more in chosen[1:]:
         extra = extra.unionAll(more)

@@ -57,3 +57,14 @@ def test_odd_cases(spark):
     assert mixed.columns == [*docs.columns, "mix_shard", "mix_place"]
     assert m.plan_mix(empty(spark)).collect() == []
     assert m.mix(empty(spark)).count() == 0
+
+
+def test_quota_is_filled_behind_a_long_document(spark):
+    """One document of 10,000 words and 500 of 10: whatever the border meets, nothing that fits is left."""
+    rows = [(0, "w " * 10_000, "en", "a", 0)] + [(i, "w " * 10, "en", "a", 0) for i in range(1, 501)]
+    for seed in (3,):
+        plan = m.plan_mix(frame(spark, rows), seed, fanout=4, last_words=300, share=0.66).collect()
+        assert len(plan) == len(rows)
+        taken = sum(r.copies * r.size for r in plan)
+        left = plan[0].target - taken
+        assert 0 <= left and all(r.size > left for r in plan if r.copies == 0)
