@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from cases import empty, frame, odd_rows, prose
+from corpus_cases import empty, frame, odd_rows, prose
 
 from framewright.llm import op2_class_ngrams as m
 

@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from cases import empty, frame, odd_rows, prose
+from corpus_cases import empty, frame, odd_rows, prose
 
 from framewright.llm import op3_decontaminate as m
 

@@ -1,7 +1,7 @@
 import zlib
 
 import numpy as np
-from cases import empty, frame, odd_rows
+from corpus_cases import empty, frame, odd_rows
 
 from framewright.llm import op4_language as m
 

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from cases import empty, frame, odd_rows, prose
+from corpus_cases import empty, frame, odd_rows, prose
 
 from framewright.llm import op6_near_duplicates as m
 from framewright.llm.components import components

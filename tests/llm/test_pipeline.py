@@ -2,7 +2,7 @@ import json
 
 import corpus_pipeline
 import __spark_entry__ as entry
-from cases import frame, odd_rows
+from corpus_cases import frame, odd_rows
 
 from framewright.session import shared_path
 

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
-from cases import empty, frame, odd_rows
+from corpus_cases import empty, frame, odd_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
