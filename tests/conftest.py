@@ -30,9 +30,3 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def sf_dir():
     return SF
-
-
-def rows(df, *order):
-    """All rows as tuples, sorted by the named columns or as they come."""
-    found = df.orderBy(*order).collect() if order else df.collect()
-    return [tuple(r) for r in found]

@@ -1,7 +1,7 @@
 """Results worked out apart on the invented sales sample."""
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from framewright import Intent, load, run_intent, sales_report
 from framewright.operators.charting import category_means, histogram, top_values, trend_line

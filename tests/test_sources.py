@@ -4,7 +4,7 @@ import datetime as dt
 import zipfile
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from framewright import convert_to_csv, load, read_table
 from framewright.operators.inference import infer_types, json_types
