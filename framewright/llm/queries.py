@@ -17,6 +17,7 @@ from framewright.llm import (
     op8_token_files,
     op9_vector_search,
     op10_mixing,
+    op11_line_dedup,
 )
 from framewright.llm.common import table
 from framewright.session import shared_path
@@ -81,6 +82,12 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_line_dedup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_line_dedup.line_digests(
+        op11_line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    )
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -94,6 +101,7 @@ QUERIES = {
         op8_token_id_files,
         op9_exact_top_k,
         op10_source_mixing,
+        op11_line_dedup_counts,
     )
 }
 
@@ -124,4 +132,28 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLES = {"op9_exact_top_k": _OP9_SQL, "op1_warc_capture_index": _OP1_SQL}
+_OP11_SQL = r"""
+WITH l AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+e AS (
+  SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM l),
+k AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM e),
+h AS (
+  SELECT key, min(doc_id) AS first,
+         count(DISTINCT doc_id) + CAST(bool_or(doc_id IS NULL) AS INTEGER) AS documents
+  FROM k WHERE length(key) >= 10 GROUP BY key),
+d AS (
+  SELECT r, doc_id, place, line, coalesce(documents >= 2 AND first IS DISTINCT FROM doc_id, false) AS dropped
+  FROM k LEFT JOIN h USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT dropped), '')) AS kept_sha256
+FROM d GROUP BY r, doc_id
+"""
+
+ORACLES = {
+    "op9_exact_top_k": _OP9_SQL,
+    "op1_warc_capture_index": _OP1_SQL,
+    "op11_line_dedup_counts": _OP11_SQL,
+}
