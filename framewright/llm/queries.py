@@ -18,11 +18,14 @@ from framewright.llm import (
     op9_vector_search,
     op10_mixing,
     op11_line_dedup,
+    op12_hard_negatives,
+    op13_alignment,
 )
 from framewright.llm.common import table
 from framewright.session import shared_path
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +91,20 @@ def op11_line_dedup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return op12_hard_negatives.hard_negatives(vectors.withColumn("label", noisy))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_alignment.alignment_counts(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path(TOKENIZER),
+        public_tokenizers.path(PIECES),
+    )
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -102,6 +119,8 @@ QUERIES = {
         op9_exact_top_k,
         op10_source_mixing,
         op11_line_dedup_counts,
+        op12_hard_negative_mining,
+        op13_tokenizer_alignment,
     )
 }
 
@@ -152,8 +171,34 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
 FROM d GROUP BY r, doc_id
 """
 
+_OP12_SQL = """
+WITH v AS MATERIALIZED (
+  SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS MATERIALIZED (SELECT row_number() OVER () AS a, * FROM v WHERE id % 50 = 0),
+s AS MATERIALIZED (
+  SELECT a.a, a.id AS anchor_id, a.label = c.label AS alike, c.id,
+         CAST(list_sum(list_transform(list_zip(a.vec, c.vec), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM a JOIN v c ON a.id <> c.id AND len(a.vec) = len(c.vec)),
+p AS (
+  SELECT a, anchor_id, id AS positive_id, score AS positive_score,
+         row_number() OVER (PARTITION BY a ORDER BY score DESC, id) AS place
+  FROM s WHERE alike),
+n AS (
+  SELECT p.*, s.id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.a, p.place ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON p.a = s.a AND NOT s.alike AND p.place <= 5
+       AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM n WHERE rank <= 3
+"""
+
 ORACLES = {
     "op9_exact_top_k": _OP9_SQL,
     "op1_warc_capture_index": _OP1_SQL,
     "op11_line_dedup_counts": _OP11_SQL,
+    "op12_hard_negative_mining": _OP12_SQL,
 }
