@@ -6,11 +6,6 @@ shorter list drives an exponential search, finished by bisection, into the
 longer one: offsets found in both cut the tokens into groups, and the ranks
 found for the two ends of a token are the range of tokens it overlaps.
 
-Neither tokenizer makes a token that reaches over a single space between two
-characters that are no blanks; the space starts the next token. So a text is
-aligned unit by unit between such spaces, and units are remembered. What holds
-for the vocabularies in general is checked when they are loaded.
-
 Links are counted by id pair over the corpus. The most frequent pairs, bounded
 in number, are broadcast; all others are joined by shuffle.
 """
@@ -21,7 +16,6 @@ import functools
 import hashlib
 import json
 import os
-import re
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
@@ -36,14 +30,13 @@ from framewright.session import reliable
 
 # Pairs whose counts are broadcast: at most this many, of 17 bytes each.
 KNOWN_PAIRS = 1 << 20
-# Remembered units of a Python worker, and the longest one; beyond it the store starts anew.
-UNITS = 300_000
-UNIT_CHARS = 64
-# Bytes of texts whose new units are encoded together.
-SLICE_CHARS = 4 << 20
+# Letters of the texts that are encoded together.
+SLICE_CHARS = 1 << 20
 
 # Fixed value: the letter that stands for a space in pieces.
 SPACE = "▁"
+# Fixed value: how byte-level vocabularies of this kind cut a text before the merges.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 _LINKED = (
     "row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, "
@@ -56,34 +49,32 @@ _SUMMED = (
 _META = ["doc_id", "n_a", "n_b", "n_groups", "n_links"]
 
 
-def gallop(ends: Sequence[int], target: int, start: int) -> int:
-    """The first place at or after ``start`` whose end is not below ``target``."""
-    low, high, step = start, start, 1
-    while high < len(ends) and ends[high] < target:
-        low = high + 1
-        high += step
-        step *= 2
-    return bisect_left(ends, target, low, min(high, len(ends)))
-
+def intersect(a: Sequence[int], b: Sequence[int]) -> tuple[list[int], list[int], bool]:
+    """(``firsts``, ``lasts``, whether ``b`` drives) for two lists of ends, ascending and ending alike.
 
-def intersect(a: Sequence[int], b: Sequence[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]], bool]:
-    """(places of the ends in both lists, overlap range of each driving token, whether ``b`` drives).
-
-    ``a`` and ``b`` ascend strictly and end alike. Token i of the driving,
-    shorter list overlaps the tokens ``first`` to ``last`` of the other: from
-    the rank behind its start to the rank of its end.
+    Token i of the driving, shorter list overlaps the tokens ``firsts[i]`` to
+    ``lasts[i]`` of the other: from the rank behind its start to the rank of
+    its end. Each rank is sought from the last one on, in steps that double,
+    then by bisection. A token's end is in both lists where the next token's
+    first is behind its last.
     """
     swapped = len(b) < len(a)
     short, long = (b, a) if swapped else (a, b)
-    common, ranges, first = [], [], 0
-    for i, end in enumerate(short):
-        last = gallop(long, end, first)
-        ranges.append((first, last))
-        first = last
-        if long[last] == end:
-            common.append((last, i) if swapped else (i, last))
-            first += 1
-    return common, ranges, swapped
+    firsts, lasts, first, top = [], [], 0, len(long) - 1
+    for end in short:
+        at = first
+        if long[at] < end:
+            low, step = at + 1, 1
+            high = low
+            while long[high] < end:
+                low = high + 1
+                step *= 2
+                high = min(high + step, top)
+            at = bisect_left(long, end, low, high)
+        firsts.append(first)
+        lasts.append(at)
+        first = at + (long[at] == end)
+    return firsts, lasts, swapped
 
 
 def _byte_letters() -> dict[str, int]:
@@ -94,12 +85,42 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def _ends(tokens: list[bytes]) -> list[int]:
-    return np.cumsum([len(t) for t in tokens]).tolist()
+def _texts_of(ids: int, ends: str) -> np.ndarray:
+    """The decimal of every id with each of the marks behind it, a row per mark."""
+    return np.array([[f"{i}{e}".encode() for i in range(ids)] for e in ends], dtype=object)
+
+
+class Aligned:
+    """Tokens, groups and links of one text."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, ends_a: list[int], ends_b: list[int]):
+        self.a, self.b = a, b
+        firsts, lasts, swapped = intersect(ends_a, ends_b)
+        first, last = np.array(firsts), np.array(lasts)
+        own = np.arange(len(first))
+        n = last - first + 1
+        # Links in the order of the driving tokens: each with its range of the other's.
+        drives = np.repeat(own, n)
+        other = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+        i, j = (other, drives) if swapped else (drives, other)
+        self.links = a[i] << 32 | b[j]
+        shared = np.append(first[1:], last[-1] + 1) > last
+        cuts = own[shared] + 1, last[shared] + 1
+        self.cuts_a, self.cuts_b = cuts[::-1] if swapped else cuts
+
+    def groups(self, texts_a: np.ndarray, texts_b: np.ndarray) -> bytes:
+        """``a1,a2|b1;a3|b2,b3``: every token is laid where its group puts it."""
+        ends_a, ends_b = np.zeros(len(self.a), dtype=int), np.zeros(len(self.b), dtype=int)
+        ends_a[self.cuts_a - 1] = ends_b[self.cuts_b - 1] = 1
+        n_a, n_b = np.diff(self.cuts_a, prepend=0), np.diff(self.cuts_b, prepend=0)
+        laid = np.empty(len(self.a) + len(self.b), dtype=object)
+        laid[np.arange(len(self.a)) + np.repeat(self.cuts_b - n_b, n_a)] = texts_a[ends_a, self.a]
+        laid[np.arange(len(self.b)) + np.repeat(self.cuts_a, n_b)] = texts_b[ends_b, self.b]
+        return b"".join(laid.tolist())[:-1]
 
 
 class Aligner:
-    """Aligned units of texts, for the vocabulary files of both tokenizers."""
+    """Aligned texts, for the vocabulary files of both tokenizers."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -110,77 +131,65 @@ class Aligner:
         # Strings of special tokens inside texts are plain text.
         self.a.encode_special_tokens = True
         letters = _byte_letters()
-        self.bytes_a = {
-            i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode()
-            for t, i in self.a.get_vocab(with_added_tokens=True).items()
-        }
-        b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.b = b
+        self.bytes_a = [b""] * self.a.get_vocab_size(with_added_tokens=True)
+        for t, i in self.a.get_vocab(with_added_tokens=True).items():
+            self.bytes_a[i] = bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode()
+        self.fast_a = self._ranked(json.loads(self.a.to_str()))
+        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_b = []
-        for i in range(b.get_piece_size()):
-            piece = b.id_to_piece(i)
+        for i in range(self.b.get_piece_size()):
+            piece = self.b.id_to_piece(i)
             self.bytes_b.append(
-                bytes([int(piece[1:-1], 16)]) if b.is_byte(i) else piece.replace(SPACE, " ").encode()
+                bytes([int(piece[1:-1], 16)]) if self.b.is_byte(i) else piece.replace(SPACE, " ").encode()
             )
-        # Units are independent unless a piece holds a space behind something else.
-        crossing = (
-            b.id_to_piece(i).lstrip(SPACE) for i in range(b.get_piece_size()) if not b.is_control(i)
+        self.lengths = [np.array([len(t) for t in known]) for known in (self.bytes_a, self.bytes_b)]
+        self.texts = _texts_of(len(self.bytes_a), ",|"), _texts_of(len(self.bytes_b), ",;")
+
+    def _ranked(self, told: dict):
+        """The same vocabulary as merge ranks, which encode faster; None where ids don't follow the merges.
+
+        Where the n-th merge makes the n-th id behind the single bytes, merging
+        by lowest id is merging in the order of the merges.
+        """
+        import tiktoken
+
+        model, cut = told["model"], told["pre_tokenizer"] or {}
+        plain = (
+            told["normalizer"] is None
+            and (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex")) == ("ByteLevel", False, True)
+            and model["type"] == "BPE"
+            and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
         )
-        cut = json.loads(self.a.to_str())
-        by_units = (
-            not any(SPACE in p for p in crossing)
-            and cut["normalizer"] is None
-            and cut["pre_tokenizer"].get("type") == "ByteLevel"
-            and cut["pre_tokenizer"].get("use_regex", True)
-        )
-        self.edge = re.compile(r"(?<=\S) (?=\S)" if by_units else r"(?!)")
-        self.plain = by_units
-        self.known: dict[str, tuple | None] = {}
-
-    def split(self, text: str) -> list[str]:
-        """Units: the parts between single spaces that have no blank on either side."""
-        units = text.split(" ") if self.plain else [text]
-        if self.plain and any(not u or u[0].isspace() or u[-1].isspace() for u in units):
-            units = self.edge.split(text)
-        return units
-
-    def align(self, units: list[str]) -> list[tuple | None]:
-        """(n_a, n_b, n_groups, n_links, groups, pairs) of each unit; None where the bytes differ."""
-        coded = self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)
-        pieces = self.b.encode(units, num_threads=1)
-        return [self._aligned(u, e.ids, p) for u, e, p in zip(units, coded, pieces, strict=True)]
-
-    def _aligned(self, unit: str, a: list[int], b: list[int]) -> tuple | None:
-        whole = (" " + unit).encode()
-        tokens_a, tokens_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(tokens_a) != whole or b"".join(tokens_b) != whole:
+        if not plain:
+            return None
+        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        vocab, letters = model["vocab"], _byte_letters()
+        special = {t["content"] for t in told["added_tokens"]}
+        singles = len(vocab) - len(merged) - len(special & vocab.keys())
+        if singles != 256 or any(vocab.get(t) != singles + n for n, t in enumerate(merged)):
             return None
-        common, ranges, swapped = intersect(_ends(tokens_a), _ends(tokens_b))
-        groups, i, j = [], 0, 0
-        for x, y in common:
-            groups.append(f"{','.join(map(str, a[i : x + 1]))}|{','.join(map(str, b[j : y + 1]))}")
-            i, j = x + 1, y + 1
-        if swapped:
-            pairs = [a[x] << 32 | b[y] for y, (low, high) in enumerate(ranges) for x in range(low, high + 1)]
+        ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if t not in special}
+        return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids in A of a space and each text, and in B of each text."""
+        led = [" " + t for t in texts]
+        if self.fast_a:
+            a = [self.fast_a.encode_ordinary(t) for t in led]
         else:
-            pairs = [a[x] << 32 | b[y] for x, (low, high) in enumerate(ranges) for y in range(low, high + 1)]
-        coded = np.array(pairs, dtype="<i8").tobytes()
-        return len(a), len(b), len(groups), len(pairs), ";".join(groups).encode(), coded
-
-    def texts(self, texts: list[str]) -> Iterator[list[tuple | None]]:
-        """The aligned units of each text; new units of all of them are encoded together."""
-        if len(self.known) > UNITS:
-            self.known.clear()
-        split = [self.split(t) for t in texts]
-        new = list({u for units in split for u in units if u not in self.known})
-        fresh = dict(zip(new, self.align(new), strict=True)) if new else {}
-        self.known.update((u, f) for u, f in fresh.items() if len(u) <= UNIT_CHARS)
-        fresh = {u: f for u, f in fresh.items() if len(u) > UNIT_CHARS}
-        for units in split:
-            if fresh:
-                yield [fresh[u] if u in fresh else self.known[u] for u in units]
-            else:
-                yield list(map(self.known.__getitem__, units))
+            a = [e.ids for e in self.a.encode_batch_fast(led, add_special_tokens=False)]
+        return a, self.b.encode(texts, num_threads=1)
+
+    def align(self, texts: list[str]) -> Iterator[Aligned | None]:
+        """None where the bytes of A's or B's tokens aren't a space and the text."""
+        for text, a, b in zip(texts, *self.encode(texts), strict=True):
+            whole = (" " + text).encode()
+            if whole != b"".join([self.bytes_a[i] for i in a]) or whole != b"".join([self.bytes_b[i] for i in b]):
+                yield None
+                continue
+            ids_a, ids_b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+            ends_a, ends_b = (np.cumsum(n[i]).tolist() for n, i in zip(self.lengths, (ids_a, ids_b), strict=True))
+            yield Aligned(ids_a, ids_b, ends_a, ends_b)
 
 
 @functools.lru_cache(maxsize=1)
@@ -208,23 +217,22 @@ def _link(path_a: str, path_b: str, groups: bool):
         for batch in batches:
             ids, at = batch.column(0).to_pylist(), 0
             for some in _slices(batch.column(1).to_pylist()):
-                aligned = aligner.texts([t for t in some if t])
+                aligned = aligner.align([t for t in some if t])
                 counts, digests, texts, pairs, times = [], [], [], [], []
                 for text in some:
-                    units = next(aligned) if text else []
-                    if not units or None in units:
+                    found = next(aligned) if text else None
+                    if found is None:
                         counts.append((0, 0, 0, 0))
                         texts.append("")
                         digests.append("")
                         pairs.append(none)
                         times.append(none)
                         continue
-                    n_a, n_b, n_groups, n_links, shown, linked = zip(*units, strict=True)
-                    counts.append((sum(n_a), sum(n_b), sum(n_groups), sum(n_links)))
-                    whole = b";".join(shown)
+                    counts.append((len(found.a), len(found.b), len(found.cuts_a), len(found.links)))
+                    whole = found.groups(*aligner.texts)
                     texts.append(whole.decode() if groups else "")
                     digests.append(hashlib.sha256(whole).hexdigest())
-                    pair, n = np.unique(np.frombuffer(b"".join(linked), dtype="<i8"), return_counts=True)
+                    pair, n = np.unique(found.links, return_counts=True)
                     pairs.append(pair)
                     times.append(n)
                 ends = np.concatenate([[0], np.cumsum([len(p) for p in pairs])]).astype(np.int32)

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -135,21 +136,35 @@ def test_given_documents(spark, sf_dir, whole):
         assert [int(x) for g in flat for x in g[1].split(",")] == [x[0] for x in b]
 
 
-def test_gallop():
+def test_ranges_and_common_ends():
+    """Against a plain comparison of all token ranges, the shorter list driving."""
     rng = random.Random(1)
     for _ in range(300):
-        ends = sorted(rng.sample(range(200), rng.randrange(1, 60)))
-        start = rng.randrange(len(ends) + 1)
-        target = rng.randrange(210)
-        assert m.gallop(ends, target, start) == next(
-            (i for i in range(start, len(ends)) if ends[i] >= target), len(ends)
+        size = rng.randrange(1, 80)
+        a, b = ([*sorted(rng.sample(range(1, size), rng.randrange(size))), size] for _ in range(2))
+        firsts, lasts, swapped = m.intersect(a, b)
+        short, long = (b, a) if swapped else (a, b)
+        assert len(short) <= len(long)
+        spans = [[*zip([0, *ends], ends, strict=False)] for ends in (short, long)]
+        over = [[j for j, y in enumerate(spans[1]) if x[0] < y[1] and y[0] < x[1]] for x in spans[0]]
+        assert [(o[0], o[-1]) for o in over] == [*zip(firsts, lasts, strict=True)]
+        ids = [np.arange(len(x)) for x in (a, b)]
+        aligned = m.Aligned(*ids, a, b)
+        assert [a[c - 1] for c in aligned.cuts_a] == [b[c - 1] for c in aligned.cuts_b] == sorted({*a} & {*b})
+        assert sorted(aligned.links.tolist()) == sorted(
+            (j << 32 | i) if swapped else (i << 32 | j) for i, o in enumerate(over) for j in o
         )
 
 
-def test_the_shorter_list_drives():
-    assert m.intersect([2, 5, 9], [5, 9]) == ([(1, 0), (2, 1)], [(0, 1), (2, 2)], True)
-    assert m.intersect([4, 9], [1, 4, 7, 9]) == ([(0, 1), (1, 3)], [(0, 1), (2, 3)], False)
-    assert m.intersect([3, 9], [4, 9]) == ([(1, 1)], [(0, 0), (0, 1)], False)
+def test_both_encoders_of_a_agree():
+    aligner = m.Aligner(PATH_A, PATH_B)
+    assert aligner.fast_a is not None
+    rng = random.Random(2)
+    letters = [chr(c) for c in [*range(1, 0x3000), *range(0x1F300, 0x1F700)]] + list(" \n\t'sdlretvm0123.,") * 300
+    texts = ODD_TEXTS + ["".join(rng.choices(letters, k=200)) for _ in range(400)]
+    fast = aligner.encode(texts)[0]
+    aligner.fast_a = None
+    assert aligner.encode(texts)[0] == fast
 
 
 def test_very_long_text(spark, whole):
