@@ -139,25 +139,54 @@ def _(spark, d):
     )
 
 
+@query(
+    "csv_cells_over_lines",
+    "SELECT doc_id, nullif(text, '') AS text, lang FROM documents",
+)
+def _(spark, d):
+    path = shared_path(spark, "documents-csv")
+    write_csv(table(spark, d, "documents").select("doc_id", "text", "lang"), path)
+    return read_csv(spark, path).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
 _PART_TEXT = """SELECT p_partkey, p_name, CAST(p_size AS BIGINT) AS p_size FROM part"""
 
 
 @query("json_array", _PART_TEXT)
 def _(spark, d):
-    # One array per file, as exports write them; the files share the table among them.
+    # One array of at most 10,000 records per file, as exports write them.
     path = shared_path(spark, "part-array")
     record = F.to_json(F.struct("p_partkey", "p_name", "p_size"))
-    arrays = table(spark, d, "part").groupBy((F.col("p_partkey") % 64).alias("file")).agg(
+    arrays = table(spark, d, "part").groupBy(F.floor(F.col("p_partkey") / 10_000).alias("file")).agg(
         F.concat(F.lit("["), F.array_join(F.collect_list(record), ","), F.lit("]")).alias("value")
     )
     arrays.write.partitionBy("file").text(path)
     return inf.json_types(read_json(spark, path, "records").drop("file"))
 
 
+@query(
+    "json_array_cut",
+    """SELECT o_orderkey, o_orderstatus, '{"key":' || o_custkey || ',"tags":["a}","[b\\""]}' AS customer FROM orders""",
+)
+def _(spark, d):
+    # The whole table as one array in one file, with nested values and braces in texts.
+    path = shared_path(spark, "orders-array")
+    customer = F.struct(
+        F.col("o_custkey").alias("key"), F.array(F.lit("a}"), F.lit('[b"')).alias("tags")
+    ).alias("customer")
+    record = F.to_json(F.struct("o_orderkey", "o_orderstatus", customer))
+    lines = table(spark, d, "orders").select(F.col("o_orderkey").alias("at"), record.alias("value"))
+    first = lines.agg(F.min("at")).scalar()
+    lines = lines.withColumn("value", F.concat(F.when(F.col("at") == first, "[").otherwise(","), "value"))
+    end = spark.range(1).select(F.lit(2**63 - 1).alias("at"), F.lit("]").alias("value"))
+    lines.unionAll(end).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    return read_json(spark, path, "records", cut_above=0)
+
+
 @query("json_columns", _PART_TEXT)
 def _(spark, d):
     path = shared_path(spark, "part-columns")
-    part = table(spark, d, "part").groupBy((F.col("p_partkey") % 64).alias("file"))
+    part = table(spark, d, "part").groupBy(F.floor(F.col("p_partkey") / 10_000).alias("file"))
     cells = F.sort_array(F.collect_list(F.struct("p_partkey", "p_name", "p_size")))
     columns = part.agg(cells.alias("r")).select(
         "file",

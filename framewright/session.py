@@ -29,6 +29,12 @@ def build_session(master: str | None = None, app_name: str = "framewright", **co
     return builder.getOrCreate()
 
 
+def split_bytes(spark: SparkSession) -> int:
+    """The most bytes of a file that one task reads, where files are split."""
+    named = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(named)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder for written stages, reachable from driver and executors.
 

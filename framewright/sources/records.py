@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framewright.functions.columns import col
+from framewright.session import shared_path, split_bytes
+from framewright.sources.pieces import FILE, TEXT, count_of, joined_text, read_pieces, running
+
+# Ends a cut record. JSON text holds no such character, so none is inside one.
+_RECORD_END = "\u001e"
+_PACKED = r"\.(gz|gzip|bz2|zst|zstd|lz4|snappy|deflate|xz)$"
 
 
 def _first_text(spark: SparkSession, path) -> tuple[str, bool]:
@@ -18,14 +24,8 @@ def _first_text(spark: SparkSession, path) -> tuple[str, bool]:
     return rows[0][0].strip(), len(rows) > 1 and rows[0][1] == rows[1][1]
 
 
-def _key_order(spark: SparkSession, path, lines: bool) -> list[str]:
+def _key_order(record: DataFrame) -> list[str]:
     """Keys of the first record, in file order (schema inference sorts them)."""
-    if lines:
-        record = spark.read.text(path).filter(F.trim("value") != "").select("value")
-    else:
-        record = spark.read.text(path, wholetext=True).select(
-            F.get_json_object("value", "$[0]").alias("value")
-        )
     rows = record.select(F.json_object_keys("value")).head(1)
     return list(rows[0][0] or []) if rows else []
 
@@ -43,22 +43,142 @@ def _flat_text(df: DataFrame) -> DataFrame:
     )
 
 
-def read_json(spark: SparkSession, path, orient: str | None = None) -> DataFrame:
+def read_json(
+    spark: SparkSession, path, orient: str | None = None, cut_above: int | None = None
+) -> DataFrame:
     """``orient`` is ``lines``, ``records`` or ``columns``; None looks at the text.
 
-    Lines are splittable and the format for big data; an array or an object is
-    one document per file, read by one task per file. Malformed text raises.
+    Lines are splittable and the format for big data. Arrays of objects are cut
+    into records by many tasks if a file is longer than ``cut_above`` bytes (None:
+    than one split of the session) and none is packed; short files are read
+    whole, each by one task. So is a column-oriented object. Malformed text
+    raises, and so does a cut array that holds anything but objects.
     """
     orient = orient or _orientation(spark, path)
     if orient == "columns":
         return _read_columns(spark, path)
     if orient not in ("lines", "records"):
         raise ValueError(f"unknown JSON orientation: {orient}")
-    lines = orient == "lines"
-    df = spark.read.options(multiLine=not lines, mode="FAILFAST").json(path)
-    first = [k for k in _key_order(spark, path, lines) if k in df.columns]
-    rest = [c for c in df.columns if c not in first]
-    return _flat_text(df.select(*[col(n) for n in first + rest]))
+    if orient == "lines":
+        df = spark.read.option("mode", "FAILFAST").json(path)
+        first = spark.read.text(path).filter(F.trim("value") != "").select("value")
+    elif _is_long(spark, path, split_bytes(spark) if cut_above is None else cut_above):
+        df, first = _read_cut(spark, path)
+    else:
+        df = spark.read.options(multiLine=True, mode="FAILFAST").json(path)
+        first = spark.read.text(path, wholetext=True).select(
+            F.get_json_object("value", "$[0]").alias("value")
+        )
+    order = [k for k in _key_order(first) if k in df.columns]
+    rest = [c for c in df.columns if c not in order]
+    return _flat_text(df.select(*[col(n) for n in order + rest]))
+
+
+def _is_long(spark: SparkSession, path, limit: int) -> bool:
+    """Whether a file is longer than the limit and none is packed; only the list of files is read."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    longest, packed = files.agg(
+        F.max("length"), F.bool_or(F.lower("path").rlike(_PACKED))
+    ).first()
+    return longest is not None and longest > limit and not packed
+
+
+def _depth_gained(text: Column) -> Column:
+    """Brackets opened less brackets closed, of text that starts outside strings and holds no escapes."""
+    bare = F.regexp_replace(F.regexp_replace(text, '"[^"]*"', ""), '"[^"]*$', "")
+    return count_of(bare, "{") + count_of(bare, "[") - count_of(bare, "}") - count_of(bare, "]")
+
+
+def cut_records(spark: SparkSession, path) -> DataFrame:
+    """(text, file, record) of every object of the arrays or object sequences in the files.
+
+    Files are cut behind every closing brace. A piece changes the state by its
+    quotes and, given whether it starts inside a string, by its brackets; a
+    record ends where the depth is back at that of the array. Partition columns
+    of the path come first. A file that doesn't begin, go on and end as an array
+    of objects, or as objects alone, raises when its rows are read.
+    """
+    # Escapes stand in strings only; without them every quote begins or ends one.
+    plain = F.regexp_replace(F.col(TEXT), r"(?s)\\.", "")
+    pieces = read_pieces(
+        spark,
+        path,
+        "}",
+        _quotes=count_of(plain, '"'),
+        _outside=_depth_gained(plain),
+        _inside=_depth_gained(F.regexp_replace(plain, '^[^"]*"?', "")),
+    )
+    parts = pieces.columns[: pieces.columns.index(FILE)]
+    # A brace follows every piece but the last, and that one too if the sizes say so
+    # (three bytes more or less: the mark of the byte order, which the scan leaves out).
+    size = F.sum(F.octet_length(TEXT) + 1) - F.max("_file_size")
+    place = F.struct("_block", "_row")
+    files = pieces.groupBy(F.col(FILE).alias("_of")).agg(
+        F.max(place).alias("_last"),
+        size.isin(0, -3).alias("_closed"),
+        F.min_by(F.substring(F.regexp_replace(TEXT, r"^\s+", ""), 1, 1), place).alias("_first"),
+    )
+    # One row per file, of the files that Spark's driver lists anyway.
+    known = pieces.join(F.broadcast(files), F.col(FILE) == F.col("_of")).drop("_of")
+    known = running(known, F.col("_quotes"), "_before").drop("_file_size")
+    starts_inside = F.col("_before") % 2 == 1
+    last = place == F.col("_last")
+    braced = ~last | F.col("_closed")
+    closes = braced & ((F.col("_before") + F.col("_quotes")) % 2 == 0)
+    known = known.withColumns(
+        {
+            "_is_last": last,
+            "_braced": braced,
+            "_closes": closes,
+            "_base": F.when(F.col("_first") == "[", 1).otherwise(0),
+            "_gain": F.when(starts_inside, F.col("_inside")).otherwise(F.col("_outside"))
+            - closes.cast("int"),
+        }
+    )
+    known = running(known, F.col("_gain"), "_depth")
+    ends = F.col("_closes") & (F.col("_depth") + F.col("_gain") == F.col("_base"))
+    known = running(known.withColumn("_ends", ends.cast("int")), F.col("_ends"), "_record")
+    whole = known.withColumn(TEXT, F.concat(TEXT, F.when(F.col("_braced"), "}").otherwise("")))
+    grouped = whole.groupBy(FILE, "_record", *[col(n) for n in parts]).agg(
+        joined_text("").alias(TEXT),
+        F.max("_ends").alias("_ends"),
+        F.max("_base").alias("_base"),
+        F.bool_or("_is_last").alias("_is_last"),
+    )
+    in_array, done, later = F.col("_base") == 1, F.col("_ends") == 1, F.col("_record") > 0
+    text = F.col(TEXT)
+    begins = (
+        F.when(in_array & later, text.rlike(r"^\s*,\s*\{"))
+        .when(in_array, text.rlike(r"^\s*\[\s*\{"))
+        .otherwise(text.rlike(r"^\s*\{"))
+    )
+    rest = (
+        F.when(in_array & later, text.rlike(r"^\s*\]\s*$"))
+        .when(in_array, text.rlike(r"^\s*\[\s*\]\s*$"))
+        .otherwise(text.rlike(r"^\s*$"))
+    )
+    # The closing bracket of an array is a piece of its own, behind its last record.
+    fits = F.when(done, begins & ~(in_array & F.col("_is_last"))).otherwise(rest)
+    message = F.concat(F.lit("malformed JSON, not an array of objects: "), F.col(FILE))
+    checked = F.when(fits, done).otherwise(F.raise_error(message).cast("boolean"))
+    return grouped.filter(checked).select(
+        *[col(n) for n in parts],
+        F.regexp_replace(TEXT, r"^[\s,\[]+", "").alias("value"),
+        F.col(FILE),
+        F.col("_record"),
+    )
+
+
+def _read_cut(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
+    """The cut records, parsed, and the first of them as text."""
+    records = cut_records(spark, path)
+    parts = [n for n in records.columns if n not in ("value", FILE, "_record")]
+    out = shared_path(spark, "records")
+    lines = records.select("value", *[col(n) for n in parts]).write.option("lineSep", _RECORD_END)
+    (lines.partitionBy(*parts) if parts else lines).text(out)
+    df = spark.read.options(lineSep=_RECORD_END, mode="FAILFAST").json(out)
+    first = records.orderBy(FILE, "_record").select("value")
+    return df, first
 
 
 def _orientation(spark: SparkSession, path) -> str:
