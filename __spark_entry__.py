@@ -383,9 +383,7 @@ def _(spark, d):
     df = table(spark, d, "orders").select(
         "o_orderkey", *[F.date_format("o_orderdate", f).alias(n) for n, f in forms.items()]
     )
-    for name in forms:
-        df = inf.parse_dates(df, name)
-    return df
+    return inf.parse_dates(df, list(forms))
 
 
 @query("drop_duplicates", f"{WITH_COPIES} SELECT DISTINCT * FROM u")

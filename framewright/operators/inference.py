@@ -26,42 +26,12 @@ from framewright.functions.text import (
     integer_from_text,
     number_from_text,
 )
+from framewright.operators.date_shapes import free_formats
 
 # How texts of a date format begin. A text begins in one way at most, so it is
 # only held against the formats of its own family.
 DATE_FAMILIES = {"y-": r"^\d{4}-", "y/": r"^\d{4}/", "d/": r"^\d{1,2}/", "d-": r"^\d{1,2}-"}
 
-# Formats of a free-format date column: month first where both orders fit.
-FREE_DATE_FORMATS = [
-    "yyyy-M-d",
-    "yyyy-M-d H:m:s",
-    "yyyy/M/d",
-    "M/d/yyyy",
-    "d/M/yyyy",
-    "M-d-yyyy",
-    "d-M-yyyy",
-    "yyyy-M-d H:m",
-    "yyyy-M-d H:m:s.SSS",
-    "yyyy-M-d H:m:s.SSSSSS",
-    "yyyy-M-d'T'H:m",
-    "yyyy-M-d'T'H:m:s",
-    "yyyy-M-d'T'H:m:s.SSS",
-    "yyyy-M-d'T'H:m:s.SSSSSS",
-    "yyyy-M-d'T'H:m:s'Z'",
-    "yyyy-M-d'T'H:m:s.SSS'Z'",
-    "yyyy-M-d'T'H:m:s.SSSSSS'Z'",
-    "M/d/yyyy H:m",
-    "M/d/yyyy H:m:s",
-    "d/M/yyyy H:m",
-    "d/M/yyyy H:m:s",
-    "MMM d, yyyy",
-    "MMMM d, yyyy",
-    "d MMM yyyy",
-    "d MMMM yyyy",
-    "d-MMM-yyyy",
-]
-
-
 @dataclass(frozen=True)
 class ColumnType:
     """What becomes of one text column."""
@@ -191,23 +161,24 @@ def infer_types(
     return apply_types(df, decisions), decisions
 
 
-def parse_dates(df: DataFrame, name: str) -> DataFrame:
-    """Turn a date column of unknown format into timestamps; bad values raise."""
-    if not isinstance(df.schema[name].dataType, T.StringType):
-        return df.withColumn(name, col(name).cast("timestamp_ntz"))
-    found = _free_format(df, name)
-    if found is None:
-        raise ValueError(f"no date format fits every value of column {name}")
-    return df.withColumn(name, date_from_text(col(name), found))
+def parse_dates(df: DataFrame, names: str | Sequence[str]) -> DataFrame:
+    """Turn date columns of unknown format into timestamps; bad values raise.
 
+    One aggregate looks at the texts of all columns.
+    """
+    names = [names] if isinstance(names, str) else list(names)
+    texts = [n for n in names if isinstance(df.schema[n].dataType, T.StringType)]
+    found = free_formats(df, texts)
+    if None in found.values():
+        lost = ", ".join(n for n, f in found.items() if f is None)
+        raise ValueError(f"no date format fits every value of column {lost}")
 
-def _free_format(df: DataFrame, name: str) -> str | None:
-    """The first free format that every text of the column fits, by one aggregate."""
-    counts = df.agg(
-        F.count(col(name)),
-        *[F.count_if(fits_date(col(name), f)) for f in FREE_DATE_FORMATS],
-    ).first()
-    return next((f for f, n in zip(FREE_DATE_FORMATS, counts[1:], strict=True) if n == counts[0]), None)
+    def dated(name: str) -> Column:
+        if name in found:
+            return date_from_text(col(name), found[name])
+        return col(name).cast("timestamp_ntz") if name in names else col(name)
+
+    return df.select(*[dated(n).alias(n) for n in df.columns])
 
 
 def _is_json_date(name: str) -> bool:
@@ -241,10 +212,8 @@ def json_types(df: DataFrame) -> DataFrame:
             else:
                 loose.append(n)
     df = apply_types(df, decisions)
-    for n in loose:
-        found = _free_format(df, n)
-        if found:
-            df = df.withColumn(n, date_from_text(col(n), found))
+    found = {n: f for n, f in free_formats(df, loose).items() if f}
+    df = df.withColumns({n: date_from_text(col(n), f) for n, f in found.items()}) if found else df
     epochs = [
         f.name
         for f in df.schema.fields

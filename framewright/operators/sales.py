@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,10 +20,27 @@ from framewright.operators.cleaning import impute_means, strip_currency_by_name
 from framewright.operators.inference import parse_dates
 
 
-class SalesReport(NamedTuple):
-    totals: DataFrame
-    top_categories: DataFrame | None
-    monthly: DataFrame | None
+@dataclass
+class SalesReport:
+    """The tables of the report, each built when it is first asked for."""
+
+    cleaned: DataFrame
+    sales: str
+    category: str | None
+    date: str | None
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        return sales_totals(self.cleaned, self.sales)
+
+    @cached_property
+    def top_categories(self) -> DataFrame | None:
+        return top_categories(self.cleaned, self.category, self.sales) if self.category else None
+
+    @cached_property
+    def monthly(self) -> DataFrame | None:
+        """The date column's texts are looked at here, by one job."""
+        return monthly_sales(self.cleaned, self.date, self.sales) if self.date else None
 
 
 def clean_sales(df: DataFrame) -> DataFrame:
@@ -76,14 +94,9 @@ def monthly_sales(df: DataFrame, date: str, sales: str | None = None) -> DataFra
 
 
 def sales_report(df: DataFrame) -> SalesReport:
-    """Clean the frame, find the columns by name, build the tables (lazy)."""
+    """Clean the frame and find the columns by name."""
     cleaned = clean_sales(df)
-    sales, category, date = sales_column(cleaned), category_column(cleaned), date_column(cleaned)
-    return SalesReport(
-        sales_totals(cleaned, sales),
-        top_categories(cleaned, category, sales) if category else None,
-        monthly_sales(cleaned, date, sales) if date else None,
-    )
+    return SalesReport(cleaned, sales_column(cleaned), category_column(cleaned), date_column(cleaned))
 
 
 def totals_text(totals: DataFrame) -> DataFrame:

@@ -222,3 +222,56 @@ def test_free_date_forms(spark):
         assert parse_dates(spark.createDataFrame([(text,)], "d string"), "d").first()[0] == value
     typed = json_types(spark.createDataFrame([("2024-01-15T10:00:00",)], "datetime string"))
     assert typed.first()[0] == dt.datetime(2024, 1, 15, 10)
+
+
+def date_texts(rng, date_format):
+    """A text of the format, sometimes with a part out of range."""
+    import re
+
+    from framewright.operators.date_shapes import MONTHS
+
+    def part(p):
+        top = {"M": 14 if rng.random() < 0.05 else 12, "d": 31, "H": 25 if rng.random() < 0.02 else 23, "m": 59, "s": 59}
+        if p in top:
+            n = rng.randrange(1, top[p] + 1)
+            return rng.choice([str(n), f"{n:02d}"])
+        if p.startswith("S"):
+            return str(rng.randrange(10 ** len(p))).zfill(len(p))
+        fixed = {"yyyy": str(rng.randrange(1900, 2100)), "MMM": rng.choice(MONTHS)[:3], "MMMM": rng.choice(MONTHS)}
+        return fixed.get(p, p.strip("'"))
+
+    return "".join(part(m[0]) for m in re.finditer(r"'[^']*'|([A-Za-z])\\1*|.", date_format))
+
+
+def test_free_formats_like_parsing_every_text(spark):
+    """Shapes decide as if every text had been parsed by every format."""
+    import random
+
+    from framewright.functions.text import fits_date
+    from framewright.operators.date_shapes import FREE_DATE_FORMATS, free_formats
+
+    rng = random.Random(7)
+    columns = {}
+    for i, f in enumerate(FREE_DATE_FORMATS):
+        for n in (1, 3):
+            columns[f"c{i}_{n}"] = [date_texts(rng, f) for _ in range(n)] + [None] * (4 - n)
+    odd = ["", "soon", "2024-01-01x", "2024-02-30", "0000-01-01", "Jan 5 2024", "JAN 5, 2024", "2024-01-01Q10:00", "1/1/24"]
+    columns |= {f"odd{i}": [t, None, None, "2024-01-01"] for i, t in enumerate(odd)} | {"none": [None] * 4}
+    df = spark.createDataFrame([*zip(*columns.values(), strict=True)], ", ".join(f"{n} string" for n in columns))
+    found = free_formats(df, list(columns))
+    counts = df.select(
+        *[F.struct(F.count(c), *[F.count_if(fits_date(F.col(c), f)) for f in FREE_DATE_FORMATS]) for c in columns]
+    ).first()
+    for name, counted in zip(columns, counts, strict=True):
+        want = next((f for f, n in zip(FREE_DATE_FORMATS, counted[1:], strict=True) if n == counted[0]), None)
+        assert found[name] == want, (name, columns[name])
+
+
+def test_dates_of_all_columns_by_one_aggregate(spark):
+    rows = [("2024-01-05", "5 May 2024", "1/2/2024 3:04", 1), ("2024-1-6", "31 Dec 1999", None, 2)]
+    df = spark.createDataFrame(rows, "`a.b` string, b string, c string, d int")
+    got = inf.parse_dates(df, ["a.b", "b", "c"]).collect()
+    assert [tuple(r) for r in got] == [
+        (dt.datetime(2024, 1, 5), dt.datetime(2024, 5, 5), dt.datetime(2024, 1, 2, 3, 4), 1),
+        (dt.datetime(2024, 1, 6), dt.datetime(1999, 12, 31), None, 2),
+    ]
