@@ -21,10 +21,10 @@ from framewright.functions.columns import (
 )
 from framewright.functions.fixed_values import MONEY_WORDS, NULL_TEXT
 from framewright.functions.text import currency_from_text, normalised_name
+from framewright.operators.duplicates import count_duplicates, remove_duplicates
 from framewright.operators.inference import null_fractions
 
 
-
 def sparse_columns(df: DataFrame) -> DataFrame:
     """``(column, missing_pct)`` of the columns that are more than half empty."""
     return (
@@ -47,23 +47,15 @@ def drop_sparse(df: DataFrame) -> DataFrame:
 def drop_duplicates(df: DataFrame, order_key: str | None = None) -> DataFrame:
     """One of each row; missing cells equal each other.
 
-    Equal rows are merged on each task before the shuffle, so copies of one
-    row never meet in numbers. With ``order_key``, a column that is no part of
-    the comparison, the first copy's key is kept.
+    With ``order_key``, a column that is no part of the comparison, the first
+    copy's key is kept. Rows are written once, see ``remove_duplicates``.
     """
-    if order_key is None:
-        return df.distinct()
-    compared = [col(n) for n in df.columns if n != order_key]
-    kept = df.groupBy(*compared).agg(F.min(col(order_key)).alias(order_key))
-    return kept.select(*[col(n) for n in df.columns])
+    return remove_duplicates(df, order_key).data
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows a duplicate removal would take away."""
-    copies = df.groupBy(*[col(n) for n in df.columns]).agg(F.count(F.lit(1)).alias("copies"))
-    return copies.agg(
-        F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows")
-    )
+    return count_duplicates(df)
 
 
 def normalise_names(df: DataFrame) -> DataFrame:

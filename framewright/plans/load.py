@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions.columns import col, local_rows, text_columns
-from framewright.operators.cleaning import drop_duplicates, normalise_names, report_rows
+from framewright.operators.cleaning import normalise_names, report_rows
+from framewright.operators.duplicates import merge_equal, remove_duplicates
 from framewright.operators.encoding import encode, encoding_plan
 from framewright.operators.inference import (
     ColumnType,
@@ -18,7 +19,6 @@ from framewright.operators.inference import (
     null_fractions,
     type_evidence,
 )
-from framewright.session import reliable
 from framewright.sources.delimited import ROW_ORDER
 from framewright.sources.tables import read_table, source_format
 
@@ -38,9 +38,10 @@ def clean_and_encode(
     Two small results reach the driver, one row per column each: the counts
     behind the types, and the classes of categorical columns.
     ``raw_text`` says that every column is untyped text (CSV, workbooks).
-    ``materialise`` writes the deduplicated frame once to the shared folder,
-    because the encoder reads it several times and a shuffle of all columns
-    is the dearest step; without it everything is recomputed per read.
+    ``materialise`` writes the rows once to the shared folder while duplicates
+    are looked for, because the encoder reads them several times; without it
+    everything is recomputed per read, and duplicates are merged by a shuffle
+    of all columns.
     """
     order_key = ROW_ORDER if ROW_ORDER in df.columns else None
     names = [n for n in df.columns if n != order_key]
@@ -57,11 +58,13 @@ def clean_and_encode(
     types = [decide_type(evidence[n], raw_text) for n in texts if n in evidence and n not in sparse]
     kept = df.select(*[col(n) for n in df.columns if n not in sparse])
     clean = apply_types(kept, types)
-    if dedupe:
-        clean = drop_duplicates(clean, order_key)
-        if materialise:
-            clean = reliable(clean)
-    removed = clean.agg((F.lit(rows) - F.count(F.lit(1))).cast("bigint").alias("duplicate_rows"))
+    if dedupe and not materialise:
+        clean = merge_equal(clean, order_key)
+        removed = clean.agg((F.lit(rows) - F.count(F.lit(1))).cast("bigint").alias("duplicate_rows"))
+    else:
+        # Counted while the rows are written, without a pass of its own.
+        clean, gone = remove_duplicates(clean, order_key) if dedupe else (clean, 0)
+        removed = local_rows(df.sparkSession, [(gone,)], duplicate_rows="bigint")
     dropped = local_rows(
         df.sparkSession,
         [(n, f"{100 * counts[n][1] / counts[n][0]:.1f}") for n in sparse],
