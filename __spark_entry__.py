@@ -22,6 +22,7 @@ from framewright.operators import charting as ch
 from framewright.operators import cleaning as cl
 from framewright.operators import encoding as en
 from framewright.operators import inference as inf
+from framewright.operators import profile_store as ps
 from framewright.operators import profiling as pr
 from framewright.operators import querying as qu
 from framewright.operators import recommending as rc
@@ -692,6 +693,21 @@ def _(spark, d):
     return pr.column_information(table(spark, d, "orders"))
 
 
+@query(
+    "profile_of_appended_files",
+    f"SELECT * EXCLUDE (median) FROM ({_profile_sql('orders', _ORDERS_TYPES)})",
+)
+def _(spark, d):
+    path, store = shared_path(spark, "orders-files"), shared_path(spark, "orders-profile")
+    orders = table(spark, d, "orders")
+    for part in ("F", "O", "P"):
+        # Each append profiles the files it adds.
+        orders.filter(F.col("o_orderstatus") == part).write.mode("append").parquet(path)
+        ps.update_profiles(spark, path, store)
+    merged = ps.table_profile(spark, path, store)
+    return merged.drop("median", "distinct_count").withColumn("mean", F.round("mean", 4))
+
+
 @query("row_and_column_count", "SELECT count(*) AS row_count, CAST(11 AS bigint) AS column_count FROM lineitem")
 def _(spark, d):
     return pr.row_and_column_count(table(spark, d, "lineitem"))
