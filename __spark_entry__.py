@@ -932,6 +932,19 @@ def _(spark, d):
     return qu.order_lookup(table(spark, d, "lineitem"), question).data
 
 
+@query(
+    "order_lookup_layout",
+    "SELECT 'SO' || l_orderkey AS sales_order, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey = 42",
+)
+def _(spark, d):
+    path = shared_path(spark, "orders-layout")
+    number = F.concat(F.lit("SO"), F.col("l_orderkey")).alias("sales_order")
+    lines = table(spark, d, "lineitem").select("l_orderkey", number, "l_linenumber", "l_quantity")
+    qu.write_order_layout(lines, path, "l_orderkey")
+    found = qu.order_lookup(spark.read.parquet(path), "Which items belong to sales order 42?")
+    return found.data.drop("l_orderkey")
+
+
 @query(
     "order_lookup_double",
     """SELECT CAST(l_orderkey AS DOUBLE) AS order_key, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey = 42""",
@@ -1103,6 +1116,21 @@ def _(spark, d):
     return ch.time_series(money(table(spark, d, "orders"), "o_totalprice"), "o_orderdate", "o_totalprice", "month")
 
 
+@query(
+    "line_series_pixels",
+    """WITH p AS (SELECT ts, value, epoch_us(ts) AS x FROM events WHERE ts IS NOT NULL AND value IS NOT NULL),
+            e AS (SELECT min(x) AS lo, max(x) AS hi FROM p),
+            c AS (SELECT ts, value, least(floor((x - lo) / ((hi - lo) / 200)), 199) AS c FROM p, e),
+            r AS (SELECT ts, value, row_number() OVER (PARTITION BY c ORDER BY ts, value) AS a,
+                         row_number() OVER (PARTITION BY c ORDER BY ts DESC, value DESC) AS b,
+                         row_number() OVER (PARTITION BY c ORDER BY value, ts) AS lowest,
+                         row_number() OVER (PARTITION BY c ORDER BY value DESC, ts DESC) AS highest FROM c)
+       SELECT DISTINCT ts, value FROM r WHERE 1 IN (a, b, lowest, highest)""",
+)
+def _(spark, d):
+    return ch.time_series(table(spark, d, "events"), "ts", "value", pixels=200)
+
+
 @query("scatter_pairs", "SELECT l_quantity, l_extendedprice FROM lineitem")
 def _(spark, d):
     return ch.scatter_pairs(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice")

@@ -106,14 +106,21 @@ def top_values(df: DataFrame, column: str, top: int = TOP_VALUES) -> DataFrame:
     return value_counts(df, column, top)
 
 
-def time_series(df: DataFrame, time: str, value: str, bucket: str | None = None) -> DataFrame:
+def time_series(
+    df: DataFrame, time: str, value: str, bucket: str | None = None, pixels: int | None = None
+) -> DataFrame:
     """Rows in time order, none merged; rows without time or value are out.
 
     The order ends in a row number, so that rows sharing one time can be split
     over several partitions. ``bucket`` (``hour``, ``day``, ``month`` ...)
-    gives the mean per bucket instead.
+    gives the mean per bucket instead; ``pixels`` keeps the rows that show in
+    a line of so many pixel columns, see ``line_pixels``.
     """
     require_columns(df, [time, value])
+    if pixels is not None:
+        if bucket is not None:
+            raise ValueError("a line has either buckets or pixels")
+        return line_pixels(df, time, value, pixels)
     rows = drop_missing(df.select(col(time), col(value)), [time, value])
     if bucket is not None:
         start = F.date_trunc(bucket, col(time))
@@ -131,6 +138,52 @@ def time_series(df: DataFrame, time: str, value: str, bucket: str | None = None)
     )
 
 
+def line_pixels(df: DataFrame, time: str, value: str, pixels: int) -> DataFrame:
+    """The first, last, lowest and highest row of each pixel column, in time order.
+
+    A line drawn through them covers the same pixels as one through all rows.
+    The range of times is cut into ``pixels`` columns of equal width, the last
+    closed on the right. Rows are aggregated per column, combined on each task,
+    so at most four rows a column are sorted, whatever the number of points.
+    Among rows of one time the lowest value is first and the highest last; of
+    equal lowest values the earliest row stays, of equal highest the latest.
+    Times are dates or numbers; others raise, and so does an infinite time.
+    """
+    require_columns(df, [time, value])
+    require_numbers(df, [value], "line chart")
+    if pixels < 1:
+        raise ValueError("a line needs at least one pixel column")
+    data_type = df.schema[time].dataType
+    if not is_datetime(data_type):
+        require_numbers(df, [time], "line chart of pixels")
+    rows = drop_missing(df.select(col(time).alias("t"), col(value).alias("v")), ["t", "v"])
+    if is_datetime(data_type):
+        epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+        at = F.timestamp_diff("MICROSECOND", epoch, F.col("t").cast("timestamp_ntz"))
+    else:
+        number = F.col("t").cast("double")
+        refused = F.raise_error(F.lit(f"column {time} holds infinite values")).cast("double")
+        at = F.when(F.abs(number) == F.lit(float("inf")), refused).otherwise(number)
+    placed = rows.withColumn("at", at)
+    ends = placed.agg(F.struct(F.min("at").alias("lo"), F.max("at").alias("hi")).alias("ends")).scalar()
+    width = (ends["hi"] - ends["lo"]) / pixels
+    column = F.when(width == 0, F.lit(0)).otherwise(
+        F.least(F.floor((F.col("at") - ends["lo"]) / F.nullif(width, F.lit(0.0))), F.lit(pixels - 1))
+    )
+    by_time, by_value = F.struct("t", "v"), F.struct("v", "t")
+    kept = placed.groupBy(column.alias("column")).agg(
+        F.min(by_time).alias("first"), F.max(by_time).alias("last"),
+        F.min(by_value).alias("low"), F.max(by_value).alias("high"),
+    )
+
+    def turned(name: str) -> Column:
+        return F.struct(F.col(f"{name}.t").alias("t"), F.col(f"{name}.v").alias("v"))
+
+    points = F.array_distinct(F.array(F.col("first"), F.col("last"), turned("low"), turned("high")))
+    shown = kept.select(F.inline(points))
+    return shown.orderBy("t", "v").select(F.col("t").alias(time), F.col("v").alias(value))
+
+
 def scatter_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     require_columns(df, [x, y])
     return drop_missing(df.select(col(x), col(y)), [x, y])
