@@ -28,6 +28,7 @@ from framewright.operators import querying as qu
 from framewright.operators import recommending as rc
 from framewright.operators import sales as sa
 from framewright.operators import sampling as sm
+from framewright.operators import text_index as ti
 from framewright.operators.medians import grouped_median
 from framewright.operators.querying import Intent
 from framewright.plans.explore import answer_with_chart
@@ -862,6 +863,18 @@ def _(spark, d):
     return qu.run_intent(table(spark, d, "orders"), Intent(filters={"o_orderstatus": 5})).data
 
 
+@query(
+    "intent_filter_indexed",
+    "SELECT doc_id, lang FROM documents WHERE regexp_matches(text, 'thrend.*the|[0-9]{3}-[0-9]{4}@?|license', 'i')",
+)
+def _(spark, d):
+    path, store = shared_path(spark, "documents-files"), shared_path(spark, "documents-grams")
+    table(spark, d, "documents").write.partitionBy("lang").parquet(path)
+    ti.update_text_index(spark, path, "text", store)
+    found = ti.search_files(spark, path, "text", "thrend.*the|[0-9]{3}-[0-9]{4}@?|license", store)
+    return found.data.select("doc_id", "lang")
+
+
 def _group_query(function: str, source: str, key: str, value: str, sql: str, digits=None, exact=False, order_by=None):
     @query(
         f"intent_group_{function}",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framewright.functions.columns import COLUMNS_PER_PASS, as_double, col, is_missing, is_number
+from framewright.session import stored_or_empty
 
 # Registers of the distinct sketch, 2 to this power: about 1.6 % off.
 DISTINCT_BITS = 12
@@ -76,7 +77,7 @@ def file_profiles(df: DataFrame) -> DataFrame:
     return parts
 
 
-def _files(spark: SparkSession, path) -> DataFrame:
+def files_of(spark: SparkSession, path) -> DataFrame:
     """Path, size and time of the files; only their list is read."""
     return spark.read.format("binaryFile").load(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -85,22 +86,13 @@ def _files(spark: SparkSession, path) -> DataFrame:
     )
 
 
-def _stored(spark: SparkSession, store: str) -> DataFrame:
-    try:
-        return spark.read.schema(PROFILE_SCHEMA).parquet(store)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], PROFILE_SCHEMA)
-
-
 def update_profiles(spark: SparkSession, path, store: str, format: str = "parquet", **options) -> list[str]:
     """Profile the files that the store doesn't know, or knows with another size or time; returns them.
 
     The driver holds the names of the new files, as it does to plan their scan.
     """
-    known = _stored(spark, store).select(*FILE_KEYS).distinct()
-    new = [r["file"] for r in _files(spark, path).join(known, FILE_KEYS, "left_anti").select("file").collect()]
+    known = stored_or_empty(spark, store, PROFILE_SCHEMA).select(*FILE_KEYS).distinct()
+    new = [r["file"] for r in files_of(spark, path).join(known, FILE_KEYS, "left_anti").select("file").collect()]
     if new:
         frame = spark.read.format(format).options(**options).load(path)
         # The names choose files before any is opened.
@@ -115,7 +107,7 @@ def table_profile(spark: SparkSession, path, store: str) -> DataFrame:
     ``(position, column, dtype, row_count, column_count, missing_count, mean,
     median, min, max, distinct_count)``. Median and distinct count are estimates.
     """
-    current = _stored(spark, store).join(_files(spark, path), FILE_KEYS, "left_semi")
+    current = stored_or_empty(spark, store, PROFILE_SCHEMA).join(files_of(spark, path), FILE_KEYS, "left_semi")
     return merged_profile(current.dropDuplicates([*FILE_KEYS, "column"]))
 
 

@@ -52,6 +52,14 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def stored_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet rows at a path, none where nothing was written yet."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a path on whatever file system holds it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
