@@ -12,13 +12,14 @@ the rest.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
-import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -35,29 +36,22 @@ LAYOUT = {
 FILE_SCHEMA = "doc_id bigint, part int, part_offset bigint, n_tokens bigint, ids array<int>"
 # Cached words of a Python worker; beyond it the cache starts anew.
 CACHED_WORDS = 1_000_000
-# Tokens in one Arrow batch of output.
-BATCH_TOKENS = 2_000_000
 
-
-# The printable letter of each byte in byte-level vocabularies: printable bytes
-# stand for themselves, the others follow from 256 on.
-_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_LETTER = dict(zip((b for b in range(256) if b not in _PRINTABLE), range(256, 512), strict=False))
-
-
-def _printed(text: str) -> str:
-    return text.encode("utf-8", "surrogatepass").decode("latin-1").translate(_LETTER)
+# New words that are encoded as one text, and letters of the texts encoded together.
+_TOGETHER = 1_000
+SLICE_CHARS = 1 << 20
 
 
 class Encoder:
     """Exact ids of whole texts, remembering the words it has met.
 
     The byte-level pre-tokenizer never joins characters on both sides of a
-    single space between two non-blanks: the space starts the next piece. So a
-    text whose spaces all stand alone is the concatenation of its first word
-    and of its other words with a space before each. A new word is cut by the
-    library's pre-tokenizer, and its pieces encoded by the library's model.
-    Texts with other runs of blanks, or with a special token, are encoded whole.
+    single space between two non-blanks: the space starts the next piece, and
+    so a token. So a text whose spaces all stand alone is the concatenation of
+    its first word and of its other words with a space before each. New words
+    are encoded together, a space before each, and told apart by the tokens that
+    start with one. Texts with other runs of blanks, or with a special token,
+    are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -65,51 +59,55 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model, self.cut = self.whole.model, self.whole.pre_tokenizer
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        # A space is printed as this letter in byte-level vocabularies.
+        self.led = np.zeros(self.whole.get_vocab_size(with_added_tokens=True), dtype=bool)
+        for token, i in self.whole.get_vocab(with_added_tokens=True).items():
+            self.led[i] = token.startswith("\u0120")
         self.first: dict[str, bytes | None] = {}
         self.rest: dict[str, bytes | None] = {}
 
-    def piece(self, text: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(text)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def word(self, text: str, lead: str) -> bytes | None:
-        """None where the word is empty or has a blank at an end: its text is encoded whole.
-
-        Letters alone, and letters before one mark, need no pre-tokenizer: the
-        letters with their space are a piece, and so is the mark.
-        """
-        if not text or text[0].isspace() or text[-1].isspace():
-            return None
-        if text.isalpha():
-            return self.piece(_printed(lead + text))
-        if text[-1] in ".,;:!?" and text[:-1].isalpha():
-            return self.piece(_printed(lead + text[:-1])) + self.piece(text[-1])
-        return b"".join([self.piece(p) for p, _ in self.cut.pre_tokenize_str(lead + text)])
-
-    def all_at_once(self, text: str) -> bytes:
-        found = self.whole.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(found)}I", *found)
-
-    def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self.all_at_once(text)
-        words = text.split(" ")
-        head = words[0]
-        del words[0]
-        rest = self.rest
-        for new in [w for w in set(words) if w not in rest]:
-            rest[new] = self.word(new, " ")
-        if head not in self.first:
-            self.first[head] = self.word(head, "")
-        try:
-            coded = b"".join([self.first[head], *map(rest.__getitem__, words)])
-        except TypeError:  # a word is None
-            coded = self.all_at_once(text)
-        if len(rest) + len(self.first) > CACHED_WORDS:
-            rest.clear()
+    def all_at_once(self, texts: list[str]) -> list[bytes]:
+        coded = self.whole.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(c.ids, dtype="<u4").tobytes() for c in coded]
+
+    def learn(self, words: list[str]) -> None:
+        """Ids of words with a space before them; None for a word that is empty or has a blank at an end."""
+        whole = [w for w in words if w and not (w[0].isspace() or w[-1].isspace())]
+        self.rest.update(dict.fromkeys(words))
+        parts = [whole[a : a + _TOGETHER] for a in range(0, len(whole), _TOGETHER)]
+        coded = self.all_at_once([" " + " ".join(p) for p in parts])
+        for part, data in zip(parts, coded, strict=True):
+            starts = np.flatnonzero(self.led[np.frombuffer(data, dtype="<u4")])
+            if len(starts) != len(part):
+                raise ValueError("a token of this vocabulary holds a space behind other letters")
+            edges = [*(4 * starts).tolist(), len(data)]
+            self.rest.update((w, data[edges[i] : edges[i + 1]]) for i, w in enumerate(part))
+
+    def learn_first(self, words: list[str]) -> None:
+        whole = [w for w in words if w and not (w[0].isspace() or w[-1].isspace())]
+        self.first.update(dict.fromkeys(words))
+        self.first.update(zip(whole, self.all_at_once(whole), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit numbers."""
+        if len(self.rest) + len(self.first) > CACHED_WORDS:
+            self.rest.clear()
             self.first.clear()
+        split = [[] if any(s in t for s in self.special) else t.split(" ") for t in texts]
+        heads = [words[0] if words else "" for words in split]
+        for words in split:
+            del words[:1]
+        rest, first = self.rest, self.first
+        self.learn(list(set().union(*split) - rest.keys()))
+        self.learn_first(list(set(heads) - first.keys()))
+        coded: list[bytes | None] = []
+        for head, words in zip(heads, split, strict=True):
+            parts = [first[head], *map(rest.__getitem__, words)]
+            coded.append(None if None in parts else b"".join(parts))
+        odd = [i for i, c in enumerate(coded) if c is None]
+        for i, c in zip(odd, self.all_at_once([texts[i] for i in odd]), strict=True):
+            coded[i] = c
         return coded
 
 
@@ -118,6 +116,18 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _runs(texts: pa.Array) -> Iterator[int]:
+    """Lengths of runs of texts of about SLICE_CHARS bytes; a longer text is a run of its own."""
+    held = n = 0
+    for size in pc.binary_length(texts).to_pylist():
+        held, n = held + size, n + 1
+        if held >= SLICE_CHARS:
+            yield n
+            held = n = 0
+    if n:
+        yield n
+
+
 def _encode(tokenizer: str, end_id: int):
     end = np.array([end_id], dtype="<u4").tobytes()
 
@@ -139,18 +149,13 @@ def _encode(tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, at = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            keys, coded, starts, held = batch.column(0).to_pylist(), [], [], 0
-            for text in batch.column(1):
-                coded.append(encoder.encode(text.as_py()) + end)
-                starts.append(at)
-                at += len(coded[-1]) // 4
-                held += len(coded[-1]) // 4
-                if held >= BATCH_TOKENS:
-                    n = len(coded)
-                    yield rows(keys[:n], part, starts, coded)
-                    keys, coded, starts, held = keys[n:], [], [], 0
-            if coded:
-                yield rows(keys, part, starts, coded)
+            ids, texts, taken = batch.column(0).to_pylist(), batch.column(1), 0
+            for n in _runs(texts):
+                coded = [c + end for c in encoder.encode(texts.slice(taken, n).to_pylist())]
+                lengths = [len(c) // 4 for c in coded]
+                starts = [at + before for before in itertools.accumulate(lengths, initial=0)]
+                yield rows(ids[taken : taken + n], part, starts[:-1], coded)
+                at, taken = starts[-1], taken + n
 
     return run
 
