@@ -10,10 +10,7 @@ and ordinary rank together.
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from framewright.operators.lookups import lookup_join
@@ -27,11 +24,10 @@ RULES = (
     ("allow", "org", "/fr/"),
 )
 DAMPING = 0.85
-# Mass of all three ranks on its way below which spreading ends, and steps after which that is certain.
+# Mass of all three ranks on its way below which spreading ends.
 TOLERANCE = 1e-12
-ITERATIONS = math.ceil(math.log(TOLERANCE / 3) / math.log(DAMPING))
-# Links between hosts up to which the driver spreads the ranks of linked hosts.
-LOCAL_LINKS = 100_000
+# Steps of one written stage, after which the mass on its way is looked at.
+STEPS = 8
 # Share of distrust in all rank of a host from which it is blocked.
 THRESHOLD = 0.5
 
@@ -87,86 +83,66 @@ def _weighted(links: DataFrame, start: str, end: str) -> DataFrame:
     )
 
 
-def _spread_few(seeds: DataFrame, links: DataFrame, tolerance: float) -> DataFrame:
-    """``spread`` of few links: plain iteration over arrays of the linked hosts."""
-    spark, names = seeds.sparkSession, ("trust", "rank", "distrust")
-    found = links.select("src", "dst", "n").collect()
-    linked = sorted({h for r in found for h in r[:2]})
-    known = spark.createDataFrame([(h,) for h in linked], "h string")
-    at = {h: i for i, h in enumerate(linked)}
-    start = np.zeros((3, len(linked)))
-    for r in seeds.join(F.broadcast(known), F.col("host") == F.col("h")).drop("h").collect():
-        start[:, at[r["host"]]] = r["s_trust"], r["s_rank"], r["s_distrust"]
-    a, b = (np.array([at[r[i]] for r in found], dtype=np.int64) for i in (0, 1))
-    n = np.array([r[2] for r in found], dtype=np.float64)
-    ranks = []
-    for s, (x, y) in zip(start, ((a, b), (a, b), (b, a)), strict=True):
-        total = np.bincount(x, n, len(linked))
-        moving = s * (1 - DAMPING)
-        rank = moving.copy()
-        while moving.sum() >= tolerance / 3:
-            moving = DAMPING * np.bincount(y, moving[x] * n / total[x], len(linked))
-            rank += moving
-        ranks.append(np.where(total > 0, rank, rank / (1 - DAMPING)).tolist())
-    solved = spark.createDataFrame(
-        list(zip(linked, *ranks, strict=True)), "host string, trust double, rank double, distrust double"
+def _edges(links: DataFrame) -> DataFrame:
+    """(start, end, onward, back, own): what a step passes along each link, against it, and keeps."""
+    zero, one = F.lit(0.0), F.lit(1.0)
+
+    def parts(df: DataFrame, onward: Column, back: Column, own: Column) -> DataFrame:
+        return df.select("start", "end", onward.alias("onward"), back.alias("back"), own.alias("own"))
+
+    ends = links.select(F.col("src").alias("start")).unionAll(links.select("dst")).distinct()
+    every = (
+        parts(_weighted(links, "src", "dst"), F.col("weight"), zero, zero)
+        .unionAll(parts(_weighted(links, "dst", "src"), zero, F.col("weight"), zero))
+        .unionAll(parts(ends.withColumn("end", F.col("start")), zero, zero, one))
     )
-    alone = seeds.join(F.broadcast(known), F.col("host") == F.col("h"), "left_anti")
-    return alone.select("host", *[F.col(f"s_{c}").alias(c) for c in names]).unionAll(solved)
+    return every.groupBy("start", "end").agg(*[F.sum(c).alias(c) for c in ("onward", "back", "own")])
 
 
 def spread(
-    seeds: DataFrame, links: DataFrame, tolerance: float = TOLERANCE, local_links: int = LOCAL_LINKS
+    seeds: DataFrame, links: DataFrame, tolerance: float = TOLERANCE, steps: int = STEPS
 ) -> DataFrame:
     """Trust, rank and distrust of every host.
 
     ``seeds``: host, and restart masses s_trust, s_rank, s_distrust (each sums to
     1, or to 0 where there are no seeds). Hosts known from links alone have none.
-    Each step passes on what the last one brought, until that is less than
-    ``tolerance`` in all; it falls by DAMPING at least. A host without links on
-    keeps its rank, which is a link to itself: summed at once, not step by step.
+    A step joins what the last one brought with the links, adds it up by host
+    and passes it on, until that is less than ``tolerance`` in all; it falls by
+    DAMPING at least. ``steps`` of them make one written stage. A host without
+    links on keeps its rank, which is a link to itself: summed at once, not step
+    by step. Hosts without any link take no part in the steps.
     """
-    if len(links.limit(local_links + 1).select("n").collect()) <= local_links:
-        return _spread_few(seeds, links, tolerance)
     names = ("trust", "rank", "distrust")
-    edges = reliable(_weighted(links, "src", "dst"))
-    back = reliable(_weighted(links, "dst", "src"))
-    moving = reliable(
-        seeds.select("host", *[(F.col(f"s_{c}") * (1 - DAMPING)).alias(c) for c in names])
+    edges = reliable(_edges(links))
+    linked = edges.groupBy("start").agg(
+        (F.max("onward") > 0).alias("goes_on"), (F.max("back") > 0).alias("goes_back")
+    )
+    starts = linked.join(seeds, F.col("start") == F.col("host"), "left")
+    first = [(F.coalesce(f"s_{c}", F.lit(0.0)) * (1 - DAMPING)).alias(c) for c in names]
+    state = starts.select(F.col("start").alias("at"), *first).select(
+        "at", *names, *[F.col(c).alias(f"new_{c}") for c in names]
     )
-    ranks = moving
+    along = {"trust": "onward", "rank": "onward", "distrust": "back"}
     while True:
-        ahead = moving.join(edges, F.col("host") == F.col("start")).select(
-            F.col("end").alias("host"), (F.col("trust") * F.col("weight")).alias("trust"),
-            (F.col("rank") * F.col("weight")).alias("rank"), F.lit(0.0).alias("distrust"),
-        )
-        behind = moving.join(back, F.col("host") == F.col("start")).select(
-            F.col("end").alias("host"), F.lit(0.0).alias("trust"), F.lit(0.0).alias("rank"),
-            (F.col("distrust") * F.col("weight")).alias("distrust"),
-        )
-        moving = reliable(
-            ahead.unionAll(behind).groupBy("host")
-            .agg(*[(F.sum(c) * DAMPING).alias(c) for c in names])
-            .filter("trust + rank + distrust > 0")
-        )
-        left = moving.agg(F.sum(F.col("trust") + F.col("rank") + F.col("distrust"))).first()[0]
-        if not left:
-            break
-        ranks = ranks.unionAll(moving)
-        if left < tolerance:
+        for _ in range(steps):
+            moved = state.join(edges, F.col("at") == F.col("start")).groupBy(F.col("end").alias("at")).agg(
+                *[F.sum(F.col(c) * F.col("own")).alias(c) for c in names],
+                *[(F.sum(F.col(f"new_{c}") * F.col(along[c])) * DAMPING).alias(f"new_{c}") for c in names],
+            )
+            sums = [(F.col(c) + F.col(f"new_{c}")).alias(c) for c in names]
+            state = moved.select("at", *sums, *[f"new_{c}" for c in names])
+        left = Observation()
+        mass = F.sum(F.col("new_trust") + F.col("new_rank") + F.col("new_distrust"))
+        state = reliable(state.observe(left, mass.alias("mass")))
+        if (left.get["mass"] or 0) < tolerance:
             break
-    ranks = ranks.groupBy("host").agg(*[F.sum(c).alias(c) for c in names])
-    ahead, behind = edges.select("start").distinct(), back.select("start").distinct()
-    ranks = ranks.join(ahead.select(F.col("start").alias("a")), F.col("host") == F.col("a"), "left").join(
-        behind.select(F.col("start").alias("b")), F.col("host") == F.col("b"), "left"
-    )
-    return ranks.select(
-        "host",
-        *[
-            F.when(F.col(goes).isNull(), F.col(c) / (1 - DAMPING)).otherwise(F.col(c)).alias(c)
-            for c, goes in zip(names, ("a", "a", "b"), strict=True)
-        ],
+    kept = {"trust": "goes_on", "rank": "goes_on", "distrust": "goes_back"}
+    solved = state.join(linked, F.col("at") == F.col("start")).select(
+        F.col("at").alias("host"),
+        *[F.when(F.col(kept[c]), F.col(c)).otherwise(F.col(c) / (1 - DAMPING)).alias(c) for c in names],
     )
+    alone = seeds.join(linked.select("start"), F.col("host") == F.col("start"), "left_anti")
+    return alone.select("host", *[F.col(f"s_{c}").alias(c) for c in names]).unionAll(solved)
 
 
 def judge(
