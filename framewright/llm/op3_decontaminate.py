@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.session import reliable
+
 Q = 12
 EDIT_RATE = 0.05
 # Item bytes of one index block.
@@ -199,19 +201,18 @@ def _slices(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         yield low, texts[low:]
 
 
-def indexes(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, rate: float = EDIT_RATE) -> list:
-    """One broadcast index per block of about ``block_bytes`` item bytes, dealt by a hash."""
+def _block_of(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """Items with the number of their block, dealt by a hash, and how many blocks there are."""
     items = benchmark.select(F.col("item_id").cast("bigint"), "text").filter("text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    out = []
-    for b in range(blocks):
-        rows = [tuple(r) for r in items.filter(block == b).collect()]
-        out.append(
-            benchmark.sparkSession.sparkContext.broadcast(build_index(sorted(rows, key=str), rate))
-        )
-    return out
+    return items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), blocks
+
+
+def _index(items: DataFrame, block: int, rate: float):
+    """Broadcast index of one block of about ``block_bytes`` item bytes."""
+    rows = [tuple(r) for r in items.filter(F.col("block") == block).drop("block").collect()]
+    return items.sparkSession.sparkContext.broadcast(build_index(sorted(rows, key=str), rate))
 
 
 _HITS = "doc_id bigint, item_id bigint, start bigint, n_bytes bigint, edits int"
@@ -240,19 +241,25 @@ def _find(held):
     return run
 
 
-def find(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -> DataFrame:
+def find(
+    docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """Every occurrence of an item in a document: doc_id, item_id, start, n_bytes, edits.
 
     Places count bytes of the UTF-8 text. Case of A-Z and kind of blank do
     not count as edits. Null and short texts and items give no row; repeated
     rows of documents or items give repeated rows; other columns are ignored;
-    an empty table on either side gives no rows.
+    an empty table on either side gives no rows. The index of one block of items
+    is broadcast, its hits are written, and it is dropped before the next.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
-    found = [rows.mapInArrow(_find(i), _HITS) for i in indexes(benchmark, rate=rate)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionAll(more)
+    items, blocks = _block_of(benchmark, block_bytes)
+    out = None
+    for block in range(blocks):
+        held = _index(items, block, rate)
+        hits = reliable(rows.mapInArrow(_find(held), _HITS))
+        held.destroy()
+        out = hits if out is None else out.unionAll(hits)
     return out
 
 
@@ -269,9 +276,20 @@ def _clean(held, at: int):
     return run
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -> DataFrame:
-    """Pipeline stage: the documents in which no item occurs; columns unchanged."""
+def remove_leaks(
+    docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """Pipeline stage: the documents in which no item occurs; columns unchanged.
+
+    One index is held at a time: what is left after a block of items is written
+    before the next block, but for the last.
+    """
     at = docs.columns.index("text")
-    for held in indexes(benchmark, rate=rate):
+    items, blocks = _block_of(benchmark, block_bytes)
+    for block in range(blocks):
+        held = _index(items, block, rate)
         docs = docs.mapInArrow(_clean(held, at), docs.schema)
+        if block < blocks - 1:
+            docs = reliable(docs)
+            held.destroy()
     return docs

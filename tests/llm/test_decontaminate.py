@@ -75,6 +75,25 @@ def test_blocks_of_the_benchmark_find_the_same(spark):
     items = [(i, prose(i, 15)) for i in range(30)]
     docs = frame(spark, [(i, prose(900 + i, 30) + " " + prose(i, 15), "en", "a", 0) for i in range(30)])
     one = sorted(map(tuple, m.find(docs, bench(spark, items)).collect()))
-    assert len(m.indexes(bench(spark, items), block_bytes=500)) > 3
-    many = m.remove_leaks(docs, bench(spark, items)).count()
-    assert len(one) == 30 and many == 0
+    assert m._block_of(bench(spark, items), 500)[1] > 3
+    assert sorted(map(tuple, m.find(docs, bench(spark, items), block_bytes=500).collect())) == one
+    kept = [m.remove_leaks(docs, bench(spark, items), block_bytes=n).count() for n in (500, m.BLOCK_BYTES)]
+    assert len(one) == 30 and kept == [0, 0]
+
+
+def test_one_index_is_held_at_a_time(spark, monkeypatch):
+    """Each block's index is dropped before the next is built."""
+    held, most = [], []
+    index = m._index
+
+    def watched(*args):
+        held.append(index(*args))
+        most.append(sum(not getattr(h, "_gone", False) for h in held))
+        drop = held[-1].destroy
+        held[-1].destroy = lambda: (setattr(held[len(most) - 1], "_gone", True), drop())
+        return held[-1]
+
+    monkeypatch.setattr(m, "_index", watched)
+    docs = frame(spark, [(i, prose(i, 20), "en", "a", 0) for i in range(9)])
+    m.find(docs, bench(spark, [(i, prose(i, 15)) for i in range(30)]), block_bytes=700).collect()
+    assert len(most) > 3 and max(most) == 1
