@@ -128,7 +128,8 @@ def train(
     labelled = docs.select(
         F.col(lang_col).cast("string").alias("lang"),
         F.col(text_col).alias("text"),
-        F.xxhash64(F.col(id_col).cast("string")).alias("place"),
+        # The text too, so that rows with null or repeated ids are spread like the others.
+        F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("place"),
     ).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
     languages = sorted(counts)

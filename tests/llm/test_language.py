@@ -55,3 +55,23 @@ def test_no_or_one_language(spark):
     assert {(r.lang_pred, r.score) for r in m.identify(none).collect()} == {("und", 0.0)}
     one = frame(spark, [(i, "some text", "en", "a", 0) for i in range(9)])
     assert {(r.lang_pred, r.score) for r in m.identify(one).collect()} == {("en", 1.0)}
+
+
+def test_rows_without_ids_are_sampled_like_others(spark):
+    """A third of the rows has no id: the bound of the sample holds, and none of them dominates it."""
+    rows = [(None if i % 3 == 0 else i, f"text number {i} of many", "en" if i % 2 else "de", "a", 0) for i in range(6000)]
+    docs = frame(spark, rows)
+    got = []
+    reliable = m.reliable
+
+    def keep(df):
+        got.append(reliable(df))
+        return got[-1]
+
+    m.reliable = keep
+    try:
+        m.train(docs, per_language=300)
+    finally:
+        m.reliable = reliable
+    counts = {r["lang"]: r["count"] for r in got[0].groupBy("lang").count().collect()}
+    assert set(counts) == {"en", "de"} and all(200 < n < 400 for n in counts.values())
