@@ -4,11 +4,11 @@ The words of a source lie in blocks: documents dealt by a hash of their id, so
 that a source of any size has blocks of like size. A source takes each of its
 blocks as often as its target holds the whole source, and of a permutation of
 its blocks as many more as still fit; the block at the border is dealt into
-smaller blocks, and so on, until the documents at the border are few. A document
-larger than what is left of a quota is set aside; where something is left after
-the border, the blocks behind it are gone through in the same way, until no
-document that was passed over fits. Exact
-counts of taken blocks per source are then split among the output shards by a
+smaller blocks, and so on, until the documents at the border are few; of these,
+the choice that fills the quota best is taken. A document larger than what is
+left of a quota is set aside; where something is left after the border, the
+blocks behind it are gone through in the same way, until no document that was
+passed over fits. Exact counts of taken blocks per source are then split among the output shards by a
 binary tree: each node divides its blocks between its halves by a multivariate
 hypergeometric draw. Shards take disjoint runs of the permuted blocks and are
 shuffled locally.
@@ -16,6 +16,7 @@ shuffled locally.
 
 from __future__ import annotations
 
+import math
 
 import numpy as np
 import pandas as pd
@@ -29,12 +30,16 @@ from framewright.session import reliable
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 REPEAT = 2.0
-# Most blocks of a source on one level, and words below which documents are picked one by one.
+# Blocks of a source on one level at most (more for very many words), and words below which documents are picked one by one.
 FANOUT = 1_024
 LAST_WORDS = 20_000
 # Documents at a border that are picked one by one, whatever their words.
 LAST_DOCS = 64
+# Most words up to which the choice at a border is the best one; beyond, documents are taken as they fit.
+BEST_WORDS = 1 << 22
+# Least shards, and words of a shard or a block from which there are more of them.
 SHARDS = 64
+SHARD_WORDS = 4_000_000
 
 
 def targets(
@@ -69,15 +74,37 @@ def targets(
     return [(s, n, t) for (s, n), t in zip(ordered, target, strict=True)]
 
 
+def best_fit(words: list[int], left: int) -> list[bool]:
+    """Which of the documents to take so that their words come nearest to ``left`` from below.
+
+    Sums that can be reached are the bits of a number, one number per document;
+    among equal sums earlier documents are preferred.
+    """
+    below = (1 << left + 1) - 1
+    reach = [1]
+    for n in words:
+        reach.append(reach[-1] if n > left else (reach[-1] | reach[-1] << n) & below)
+    goal, taken = reach[-1].bit_length() - 1, [False] * len(words)
+    for i in range(len(words) - 1, -1, -1):
+        if not reach[i] >> goal & 1:
+            taken[i] = True
+            goal -= words[i]
+    return taken
+
+
 def _pick(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of the documents at the border of one source, in permuted order, each that still fits."""
-    left, extra = float(rows["left"].iloc[0]), []
+    """Of the documents at the border of one source, in permuted order, those that fill it best."""
+    left = float(rows["left"].iloc[0])
     ordered = rows.sort_values(["place", "doc_id", "size"], na_position="first")
-    for words in ordered["words"]:
-        fits = words <= left
-        left -= words if fits else 0
-        extra.append(int(fits))
-    return ordered.assign(extra=extra)[["source", "doc_id", "size", "words", "extra"]]
+    words = ordered["words"].tolist()
+    if left <= BEST_WORDS:
+        taken = best_fit(words, int(left))
+    else:
+        taken = []
+        for n in words:
+            taken.append(n <= left)
+            left -= n if taken[-1] else 0
+    return ordered.assign(extra=np.array(taken, dtype=int))[["source", "doc_id", "size", "words", "extra"]]
 
 
 def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
@@ -101,8 +128,8 @@ def _quotas(counts: np.ndarray, shards: int, rng: np.random.Generator) -> np.nda
 def plan_mix(
     docs: DataFrame,
     seed: int = 1,
-    shards: int = SHARDS,
-    fanout: int = FANOUT,
+    shards: int | None = None,
+    fanout: int | None = None,
     last_words: int = LAST_WORDS,
     weights: tuple[float, ...] = WEIGHTS,
     share: float = SHARE,
@@ -115,7 +142,9 @@ def plan_mix(
     A null or blank text has size 0 and is taken as its block is; null sources
     are a source; null ids are an id. An empty table gives no rows. Every draw
     is a hash of the seed or of a seeded generator, so reruns agree. ``docs``
-    needs doc_id, text and source; other columns are ignored.
+    needs doc_id, text and source; other columns are ignored. Shards, and the
+    blocks of a source, grow with the words (None: at least SHARDS and FANOUT, and
+    one for every SHARD_WORDS), so that neither outgrows a task.
     """
     spark = docs.sparkSession
     keyed = docs.select(
@@ -131,6 +160,10 @@ def plan_mix(
     )
     found = keyed.groupBy("source").agg(F.sum("words")).collect()
     aims = targets([(r[0], r[1]) for r in found], weights, share, repeat)
+    if shards is None:
+        shards = max(SHARDS, math.ceil(sum(t for *_, t in aims) / SHARD_WORDS))
+    if fanout is None:
+        fanout = max(FANOUT, math.ceil(max((n for _, n, _ in aims), default=0) / SHARD_WORDS))
     base = [(s, n, t, min(int(t // n), int(repeat)) if n else 0) for s, n, t in aims]
     aim = spark.createDataFrame(
         base, "source string, source_size bigint, target double, whole int"

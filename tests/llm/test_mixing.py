@@ -68,3 +68,33 @@ def test_quota_is_filled_behind_a_long_document(spark):
         taken = sum(r.copies * r.size for r in plan)
         left = plan[0].target - taken
         assert 0 <= left and all(r.size > left for r in plan if r.copies == 0)
+
+
+def test_best_fit_against_all_choices():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        words = rng.integers(0, 30, rng.integers(0, 9)).tolist()
+        left = int(rng.integers(0, 90))
+        taken = m.best_fit(words, left)
+        sums = [sum(w for i, w in enumerate(words) if c >> i & 1) for c in range(1 << len(words))]
+        assert sum(w for w, t in zip(words, taken, strict=True) if t) == max(s for s in sums if s <= left)
+
+
+def test_small_sources_meet_their_targets(spark):
+    """Few documents of very different sizes: the choice at the border is the best there is."""
+    rows = [(i, "w " * n, "en", "a", 0) for i, n in enumerate([1066, 900, 700, 333, 200, 120, 77, 13])]
+    rows += [(100 + i, "w " * 50, "en", "b", 0) for i in range(60)]
+    for seed in range(3):
+        plan = m.plan_mix(frame(spark, rows), seed).collect()
+        taken = sum(r.copies * r.size for r in plan if r.source == "a")
+        target = next(r.target for r in plan if r.source == "a")
+        sizes = [r.size for r in plan if r.source == "a"]
+        whole = int(target // sum(sizes))
+        sums = {sum(n for i, n in enumerate(sizes) if c >> i & 1) + whole * sum(sizes) for c in range(1 << len(sizes))}
+        assert taken == max(s for s in sums if s <= target)
+
+
+def test_shards_grow_with_the_words(spark, monkeypatch):
+    monkeypatch.setattr(m, "SHARD_WORDS", 100)
+    mixed = m.mix(frame(spark, many(400)), last_words=50).groupBy("mix_shard").agg({"size": "count"}).count()
+    assert mixed > m.SHARDS
