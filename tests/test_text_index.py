@@ -5,7 +5,6 @@ import re
 
 import pytest
 from helpers import rows
-from pyspark.sql import functions as F
 
 from framewright.operators import text_index as ti
 from framewright.operators.querying import contains_text
