@@ -39,6 +39,8 @@ CACHED_WORDS = 1_000_000
 
 # New words that are encoded as one text, and letters of the texts encoded together.
 _TOGETHER = 1_000
+# Stands for the ids of a word whose text is encoded whole.
+_ODD = object()
 SLICE_CHARS = 1 << 20
 
 
@@ -64,17 +66,17 @@ class Encoder:
         self.led = np.zeros(self.whole.get_vocab_size(with_added_tokens=True), dtype=bool)
         for token, i in self.whole.get_vocab(with_added_tokens=True).items():
             self.led[i] = token.startswith("\u0120")
-        self.first: dict[str, bytes | None] = {}
-        self.rest: dict[str, bytes | None] = {}
+        self.first: dict[str, bytes | object] = {}
+        self.rest: dict[str, bytes | object] = {}
 
     def all_at_once(self, texts: list[str]) -> list[bytes]:
         coded = self.whole.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(c.ids, dtype="<u4").tobytes() for c in coded]
 
     def learn(self, words: list[str]) -> None:
-        """Ids of words with a space before them; None for a word that is empty or has a blank at an end."""
+        """Ids of words with a space before them; odd are those that are empty or have a blank at an end."""
         whole = [w for w in words if w and not (w[0].isspace() or w[-1].isspace())]
-        self.rest.update(dict.fromkeys(words))
+        self.rest.update(dict.fromkeys(words, _ODD))
         parts = [whole[a : a + _TOGETHER] for a in range(0, len(whole), _TOGETHER)]
         coded = self.all_at_once([" " + " ".join(p) for p in parts])
         for part, data in zip(parts, coded, strict=True):
@@ -86,7 +88,7 @@ class Encoder:
 
     def learn_first(self, words: list[str]) -> None:
         whole = [w for w in words if w and not (w[0].isspace() or w[-1].isspace())]
-        self.first.update(dict.fromkeys(words))
+        self.first.update(dict.fromkeys(words, _ODD))
         self.first.update(zip(whole, self.all_at_once(whole), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -94,17 +96,27 @@ class Encoder:
         if len(self.rest) + len(self.first) > CACHED_WORDS:
             self.rest.clear()
             self.first.clear()
-        split = [[] if any(s in t for s in self.special) else t.split(" ") for t in texts]
-        heads = [words[0] if words else "" for words in split]
-        for words in split:
-            del words[:1]
-        rest, first = self.rest, self.first
-        self.learn(list(set().union(*split) - rest.keys()))
-        self.learn_first(list(set(heads) - first.keys()))
+        heads, words, ends = [], [], []
+        for text in texts:
+            # A special token makes its text odd, as an empty first word does.
+            split = [""] if any(s in text for s in self.special) else text.split(" ")
+            heads.append(split[0])
+            del split[0]
+            words += split
+            ends.append(len(words))
+        # One look-up per word; only words that were not met before are looked at again.
+        found = list(map(self.rest.get, words))
+        new = [i for i, known in enumerate(found) if known is None]
+        self.learn(list({words[i] for i in new}))
+        for i in new:
+            found[i] = self.rest[words[i]]
+        self.learn_first([w for w in set(heads) if w not in self.first])
         coded: list[bytes | None] = []
-        for head, words in zip(heads, split, strict=True):
-            parts = [first[head], *map(rest.__getitem__, words)]
-            coded.append(None if None in parts else b"".join(parts))
+        for head, a, b in zip(heads, [0, *ends[:-1]], ends, strict=True):
+            try:
+                coded.append(b"".join([self.first[head], *found[a:b]]))
+            except TypeError:  # a word is odd
+                coded.append(None)
         odd = [i for i, c in enumerate(coded) if c is None]
         for i, c in zip(odd, self.all_at_once([texts[i] for i in odd]), strict=True):
             coded[i] = c
