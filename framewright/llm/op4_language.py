@@ -214,38 +214,40 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     gives that one with score 1 otherwise. Repeated rows are predicted alike.
     Columns of the input that bear a name of the result are replaced.
     """
-    keep = [c for c in (docs.columns if keep is None else keep)]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "ambiguous")]
+    # The text travels once: as the kept column, or else behind the others.
+    sent = keep if text_col in keep else [*keep, text_col]
     rows = docs.select(
-        *[F.col(f"`{c}`") for c in keep if c not in ("lang_pred", "score", "ambiguous")],
-        F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("__letters"),
+        *[F.col(f"`{c}`") for c in sent],
+        F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False)).alias("__letters"),
     )
+    at, kept = sent.index(text_col), len(keep)
     held = _share(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
             langs, scores = [], []
-            for text in batch.column(batch.num_columns - 1):
-                body = text.as_py()
-                if body is None or not m.languages:
+            for text, lettered in zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True):
+                if not lettered.as_py() or not m.languages:
                     langs.append(UNKNOWN)
                     scores.append(0.0)
                     continue
-                p = decode(m, margins(m, body.encode("utf-8", "surrogatepass")))
+                p = decode(m, margins(m, text.as_py().encode("utf-8", "surrogatepass")))
                 langs.append(m.languages[int(p.argmax())])
                 scores.append(float(p.max()))
             yield pa.RecordBatch.from_arrays(
                 [
-                    *batch.columns[:-1],
+                    *batch.columns[:kept],
                     pa.array(langs, pa.string()),
                     pa.array(scores, pa.float64()),
                     pa.array([s < AMBIGUOUS for s in scores], pa.bool_()),
                 ],
-                names=[*batch.schema.names[:-1], "lang_pred", "score", "ambiguous"],
+                names=[*batch.schema.names[:kept], "lang_pred", "score", "ambiguous"],
             )
 
     schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+        [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:kept]]
         + ["lang_pred string", "score double", "ambiguous boolean"]
     )
     return rows.mapInArrow(run, schema)
