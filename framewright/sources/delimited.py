@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from framewright.functions.columns import col
 from framewright.functions.fixed_values import NULL_TOKENS
-from framewright.sources.pieces import BLOCK, FILE, KEYS, NAME, ROW, TEXT, count_of, joined_text, read_pieces, running
+from framewright.sources.pieces import BLOCK, FILE, KEYS, NAME, ROW, TEXT, count_of, joined_text, read_pieces, running, tasks_for
 
 ROW_ORDER = "_row_order"
 
@@ -57,28 +57,30 @@ def _files_with_open_quotes(spark: SparkSession, path) -> list[str]:
 
 
 def cut_records(spark: SparkSession, path, chosen: Column | None = None) -> DataFrame:
-    """Every record of the files as ``KEYS`` and its number, the header among them.
+    """Every record of the files as ``KEYS`` without the run, and its number, the header among them.
 
     Files are cut at line feeds. A line starts inside a quoted cell if the
     quotes before it in its file are odd, which is a running sum over lines and
-    splits; lines inside belong to the record of the line before. Only records of
+    runs of lines; lines inside belong to the record of the line before. Only records of
     several lines are brought together, at the place of their first line. Blank
     lines between records are left out; a record's number counts those before it
     in its file. Carriage returns that end records without a line feed raise.
     """
     lines = read_pieces(spark, path, "\n", chosen, _quotes=count_of(F.col(TEXT), '"'))
-    lines = running(lines.select(*KEYS, "_quotes"), F.col("_quotes"), "_before")
+    tasks = tasks_for(lines)
+    lines = running(lines.select(*KEYS, "_quotes"), F.col("_quotes"), "_before", tasks)
     inside, odd = F.col("_before") % 2 == 1, F.col("_quotes") % 2 == 1
     starts = ~inside & ~(F.col(TEXT).rlike(r"^\s*$"))
     lines = lines.withColumns({"_starts": starts.cast("int"), "_alone": ~inside & ~odd})
     lines = running(lines, F.col("_starts"), "_number")
-    alone = lines.filter(F.col("_alone") & (F.col("_starts") == 1)).select(*KEYS, "_number")
+    alone = lines.filter(F.col("_alone") & (F.col("_starts") == 1)).select(FILE, NAME, BLOCK, ROW, TEXT, "_number")
     # Behind its first line, a record's lines count that line too.
     own = F.when(F.col("_starts") == 1, F.col("_number")).otherwise(F.col("_number") - 1)
     place = F.struct(BLOCK, ROW)
     several = (
         lines.filter(~F.col("_alone"))
         .withColumn("_number", own)
+        .repartition(tasks, FILE, NAME, "_number")
         .groupBy(FILE, NAME, "_number")
         .agg(F.min(place).alias("_place"), joined_text("\n").alias(TEXT))
         .select(FILE, NAME, f"_place.{BLOCK}", f"_place.{ROW}", TEXT, "_number")

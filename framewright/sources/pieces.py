@@ -4,8 +4,8 @@ A task that reads a split can't know whether it starts inside a quoted cell or
 a nested value: that depends on all the text before. So pieces are cut at every
 separator, whatever it means there. What a piece does to the state (quotes
 opened, depth gained) is a number, and the state before a piece is the sum of
-those numbers over the pieces before it in its file: a running sum inside the
-split, plus the sums of the splits before.
+those numbers over the pieces before it in its file: a running sum inside a run of
+neighbouring pieces, plus the sums of the runs before.
 """
 
 from __future__ import annotations
@@ -17,9 +17,14 @@ from pyspark.sql import functions as F
 from framewright.functions.columns import col
 from framewright.session import reliable
 
-# A piece's file, the file's name, the split it was read in, its place there, and its text.
-FILE, NAME, BLOCK, ROW, TEXT = "_file", "_name", "_block", "_row", "_text"
-KEYS = [FILE, NAME, BLOCK, ROW, TEXT]
+# A piece's file, the file's name, the split it was read in, its run and place there, and its text.
+FILE, NAME, BLOCK, RUN, ROW, TEXT = "_file", "_name", "_block", "_run", "_row", "_text"
+KEYS = [FILE, NAME, BLOCK, RUN, ROW, TEXT]
+
+# Pieces of a run are 2**RUN_BITS at most, so that no sum needs a whole split in one task.
+RUN_BITS = 14
+# Bytes of pieces that a task sorts, and bytes a piece takes besides its text (mostly the file's path).
+TASK_BYTES, PIECE_BYTES = 64 << 20, 300
 
 
 def read_pieces(
@@ -42,24 +47,36 @@ def read_pieces(
         F.col("value").alias(TEXT),
         F.col("_metadata.file_size").alias("_file_size"),
     )
+    pieces = pieces.withColumn(RUN, F.shiftright(ROW, RUN_BITS))
     return reliable(pieces.withColumns(facts) if facts else pieces)
 
 
-def running(pieces: DataFrame, value: Column, name: str) -> DataFrame:
+def tasks_for(pieces: DataFrame) -> int:
+    """How many tasks the pieces are dealt to; packed shuffle files say little about the rows in memory."""
+    held = pieces.select(F.sum(F.octet_length(TEXT) + PIECE_BYTES)).first()[0] or 0
+    return held // TASK_BYTES + 1
+
+
+def running(pieces: DataFrame, value: Column, name: str, tasks: int | None = None) -> DataFrame:
     """``pieces`` with the sum of ``value`` over the pieces before each in its file, as ``name``.
 
-    Inside a split the sum runs over the split's own pieces. One row per split
-    is broadcast; the driver has planned the scan from the same list.
+    The sum runs over the pieces of a run. One row per run is broadcast, which
+    is one per 2**RUN_BITS pieces and split. ``tasks`` deals the runs to so many
+    tasks first; sums after the first find them dealt.
     """
-    within = W.partitionBy(FILE, BLOCK).orderBy(ROW).rowsBetween(W.unboundedPreceding, -1)
-    before = W.partitionBy("_f").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    totals = pieces.groupBy(F.col(FILE).alias("_f"), F.col(BLOCK).alias("_b")).agg(F.sum(value).alias("_sum"))
-    starts = totals.select("_f", "_b", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
-    joined = pieces.join(
-        F.broadcast(starts), (F.col(FILE) == F.col("_f")) & (F.col(BLOCK) == F.col("_b"))
+    run = [FILE, BLOCK, RUN]
+    within = W.partitionBy(*run).orderBy(ROW).rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("_f").orderBy("_b", "_r").rowsBetween(W.unboundedPreceding, -1)
+    totals = pieces.groupBy(F.col(FILE).alias("_f"), F.col(BLOCK).alias("_b"), F.col(RUN).alias("_r"))
+    totals = totals.agg(F.sum(value).alias("_sum"))
+    starts = totals.select("_f", "_b", "_r", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    dealt = pieces.repartition(tasks, *run) if tasks else pieces
+    joined = dealt.join(
+        F.broadcast(starts),
+        (F.col(FILE) == F.col("_f")) & (F.col(BLOCK) == F.col("_b")) & (F.col(RUN) == F.col("_r")),
     )
     here = F.col("_start") + F.coalesce(F.sum(value).over(within), F.lit(0))
-    return joined.withColumn(name, here).drop("_f", "_b", "_start")
+    return joined.withColumn(name, here).drop("_f", "_b", "_r", "_start")
 
 
 def joined_text(separator: str) -> Column:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framewright.functions.columns import col
-from framewright.session import shared_path, split_bytes
-from framewright.sources.pieces import FILE, TEXT, count_of, joined_text, read_pieces, running
+from framewright.session import reliable, shared_path, split_bytes
+from framewright.sources.pieces import BLOCK, FILE, ROW, TEXT, count_of, joined_text, read_pieces, running, tasks_for
 
 # Ends a cut record. JSON text holds no such character, so none is inside one.
 _RECORD_END = "\u001e"
@@ -109,18 +109,27 @@ def cut_records(spark: SparkSession, path) -> DataFrame:
         _inside=_depth_gained(F.regexp_replace(plain, '^[^"]*"?', "")),
     )
     parts = pieces.columns[: pieces.columns.index(FILE)]
+    tasks = tasks_for(pieces)
     # A brace follows every piece but the last, and that one too if the sizes say so
     # (three bytes more or less: the mark of the byte order, which the scan leaves out).
-    size = F.sum(F.octet_length(TEXT) + 1) - F.max("_file_size")
-    place = F.struct("_block", "_row")
-    files = pieces.groupBy(F.col(FILE).alias("_of")).agg(
-        F.max(place).alias("_last"),
-        size.isin(0, -3).alias("_closed"),
-        F.min_by(F.substring(F.regexp_replace(TEXT, r"^\s+", ""), 1, 1), place).alias("_first"),
+    place = F.struct(BLOCK, ROW)
+    splits = pieces.groupBy(FILE, BLOCK).agg(
+        F.min(ROW).alias("_from"),
+        F.max(ROW).alias("_to"),
+        F.sum(F.octet_length(TEXT) + 1).alias("_size"),
+        F.max("_file_size").alias("_file_size"),
+    )
+    files = splits.groupBy(F.col(FILE).alias("_of")).agg(
+        F.min(F.struct(BLOCK, F.col("_from").alias(ROW))).alias("_head"),
+        F.max(F.struct(BLOCK, F.col("_to").alias(ROW))).alias("_last"),
+        (F.sum("_size") - F.max("_file_size")).isin(0, -3).alias("_closed"),
     )
     # One row per file, of the files that Spark's driver lists anyway.
-    known = pieces.join(F.broadcast(files), F.col(FILE) == F.col("_of")).drop("_of")
-    known = running(known, F.col("_quotes"), "_before").drop("_file_size")
+    heads = pieces.join(F.broadcast(files), (F.col(FILE) == F.col("_of")) & (place == F.col("_head")))
+    letter = F.substring(F.regexp_replace(TEXT, r"^\s+", ""), 1, 1)
+    files = heads.select("_of", "_last", "_closed", letter.alias("_first"))
+    known = pieces.join(F.broadcast(files), F.col(FILE) == F.col("_of")).drop("_of", "_file_size")
+    known = running(known, F.col("_quotes"), "_before", tasks)
     starts_inside = F.col("_before") % 2 == 1
     last = place == F.col("_last")
     braced = ~last | F.col("_closed")
@@ -139,7 +148,8 @@ def cut_records(spark: SparkSession, path) -> DataFrame:
     ends = F.col("_closes") & (F.col("_depth") + F.col("_gain") == F.col("_base"))
     known = running(known.withColumn("_ends", ends.cast("int")), F.col("_ends"), "_record")
     whole = known.withColumn(TEXT, F.concat(TEXT, F.when(F.col("_braced"), "}").otherwise("")))
-    grouped = whole.groupBy(FILE, "_record", *[col(n) for n in parts]).agg(
+    record = [FILE, "_record", *[col(n) for n in parts]]
+    grouped = whole.repartition(tasks, *record).groupBy(*record).agg(
         joined_text("").alias(TEXT),
         F.max("_ends").alias("_ends"),
         F.max("_base").alias("_base"),
@@ -171,7 +181,7 @@ def cut_records(spark: SparkSession, path) -> DataFrame:
 
 def _read_cut(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
     """The cut records, parsed, and the first of them as text."""
-    records = cut_records(spark, path)
+    records = reliable(cut_records(spark, path))
     parts = [n for n in records.columns if n not in ("value", FILE, "_record")]
     out = shared_path(spark, "records")
     lines = records.select("value", *[col(n) for n in parts]).write.option("lineSep", _RECORD_END)

@@ -80,6 +80,29 @@ def test_one_array_is_read_by_many_tasks(spark, tmp_path):
         assert read_json(spark, path).agg({"id": "sum"}).first()[0] == 3999 * 2000
 
 
+def test_no_sum_needs_a_whole_split(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from framewright.sources import pieces as cut
+
+    monkeypatch.setattr(cut, "RUN_BITS", 3)
+    monkeypatch.setattr(cut, "TASK_BYTES", 10_000)
+    want = objects(60, 9)
+    path = put(tmp_path, "a.json", json.dumps(want))
+    pieces = read_pieces(spark, path, "}")
+    assert pieces.select("_block").distinct().count() == 1
+    assert pieces.groupBy("_block", "_run").count().agg(F.max("count")).first()[0] == 8
+    tasks = cut.tasks_for(pieces)
+    summed = cut.running(pieces, F.octet_length("_text"), "_before", tasks)
+    assert summed.rdd.getNumPartitions() == tasks > 3
+    before = 0
+    for row in summed.orderBy("_row").collect():
+        assert row["_before"] == before
+        before += len(row["_text"].encode())
+    got = cut_records(spark, path).orderBy("_record").collect()
+    assert [json.loads(r["value"]) for r in got] == want
+
+
 def test_folder_columns_stay(spark, tmp_path):
     for day in ("1", "2"):
         (tmp_path / f"day={day}").mkdir()
