@@ -41,6 +41,19 @@ def _bit(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(FILTER_BITS)) + 1
 
 
+def _in_word(position: Column) -> Column:
+    """The bit at a position of a bitmap's eight bytes, as a number whose first byte is the highest."""
+    shift = (F.lit(7) - (position / 8).cast("int")) * 8 + position % 8
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), shift.cast("int"))
+
+
+def _bitmap(words: Column) -> Column:
+    """A bucket's bytes from its words by number; words without a bit are missing."""
+    every = F.sequence(F.lit(0), F.lit(_BITMAP_BITS // 64 - 1))
+    texts = F.transform(every, lambda i: F.lpad(F.hex(F.coalesce(F.try_element_at(words, i), F.lit(0))), 16, "0"))
+    return F.unhex(F.array_join(texts, ""))
+
+
 def file_filters(df: DataFrame, column: str) -> DataFrame:
     """(file, size, time, column, bucket, bitmap) of a frame that was read from files.
 
@@ -61,11 +74,20 @@ def file_filters(df: DataFrame, column: str) -> DataFrame:
         return F.concat(*[F.get("letters", i + k) for k in range(GRAM)])
 
     grams = letters.select(*FILE_KEYS, F.explode_outer(F.array_distinct(F.transform(at, gram))).alias("gram"))
-    bits = grams.select(*FILE_KEYS, F.coalesce(_bit(F.col("gram")), F.lit(1)).alias("bit"))
+    # Bits are combined as words of 64: hash aggregates hold long numbers, but sort their input for bitmaps.
+    bit = F.coalesce(_bit(F.col("gram")), F.lit(1))
+    at, position = F.bitmap_bucket_number("bit").alias("bucket"), F.bitmap_bit_position("bit")
+    words = (
+        grams.select(*FILE_KEYS, bit.alias("bit"))
+        .select(*FILE_KEYS, at, position.alias("position"))
+        .groupBy(*FILE_KEYS, "bucket", (F.col("position") / 64).cast("int").alias("word"))
+        .agg(F.bit_or(_in_word(F.col("position") % 64)).alias("bits"))
+    )
+    held = F.map_from_entries(F.collect_list(F.struct("word", "bits")))
     return (
-        bits.groupBy(*FILE_KEYS, F.bitmap_bucket_number("bit").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap"))
-        .select(*FILE_KEYS, F.lit(column).alias("column"), "bucket", "bitmap")
+        words.groupBy(*FILE_KEYS, "bucket")
+        .agg(held.alias("held"))
+        .select(*FILE_KEYS, F.lit(column).alias("column"), "bucket", _bitmap(F.col("held")).alias("bitmap"))
     )
 
 

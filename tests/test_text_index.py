@@ -5,6 +5,7 @@ import re
 
 import pytest
 from helpers import rows
+from pyspark.sql import functions as F
 
 from framewright.operators import text_index as ti
 from framewright.operators.querying import contains_text
@@ -61,6 +62,24 @@ def test_files_are_skipped(spark, indexed):
     assert ti.search_files(spark, path, "t x", "zzzqqq", store).data.collect() == []
 
 
+def test_bits_are_combined_without_sorting_grams(spark, indexed):
+    """Hash aggregates hold a file's few words; a sort would hold a row per gram of every text."""
+    path, store = indexed
+    filters = ti.file_filters(spark.read.parquet(path), "t x")
+    assert "SortAggregate" not in filters._jdf.queryExecution().executedPlan().toString()
+    bits = filters.select("file", F.explode(F.sequence(F.lit(0), F.length("bitmap") - 1)).alias("i"), "bucket", "bitmap")
+    byte = F.conv(F.hex(F.substring("bitmap", F.col("i") + 1, F.lit(1))), 16, 10).cast("int")
+    got = bits.select("file", "bucket", "i", byte.alias("byte")).filter("byte > 0")
+    assert filters.filter(F.length("bitmap") != 4096).count() == 0
+    text = ti._folded(F.coalesce(F.col("`t x`"), F.lit("nan")))
+    grams = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file"), text.alias("t"))
+    grams = grams.select("file", F.explode(F.expr("transform(sequence(1, greatest(length(t) - 2, 1)), i -> substr(t, i, 3))")).alias("g"))
+    bit = F.when(F.length("g") == 3, ti._bit(F.col("g"))).otherwise(ti._bit(F.lit(None).cast("string")))
+    want = grams.select("file", F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("p")).distinct()
+    want = want.groupBy("file", "bucket", F.expr("int(p / 8)").alias("i")).agg(F.sum(F.expr("shiftleft(1, int(p % 8))")).alias("byte"))
+    assert rows(got, "file", "bucket", "i") == rows(want, "file", "bucket", "i")
+
+
 def test_new_files_are_opened_until_indexed(spark, tmp_path):
     path, store = str(tmp_path / "d"), str(tmp_path / "s")
     spark.createDataFrame([("first text",)], "t string").coalesce(1).write.parquet(path)
