@@ -34,25 +34,24 @@ LAYOUT = {
     "parquet.page.row.count.limit": "1000",
 }
 FILE_SCHEMA = "doc_id bigint, part int, part_offset bigint, n_tokens bigint, ids array<int>"
-# Cached words of a Python worker; beyond it the cache starts anew.
-CACHED_WORDS = 1_000_000
-
-# New words that are encoded as one text, and letters of the texts encoded together.
-_TOGETHER = 1_000
-# Stands for the ids of a word whose text is encoded whole.
-_ODD = object()
-SLICE_CHARS = 1 << 20
+# Bytes of the texts whose words are looked up together.
+SLICE_BYTES = 4 << 20
+# Words that are encoded as one text, and such texts that are encoded at once.
+_TOGETHER, _AT_ONCE = 1_000, 16
+# Empty words, and words with a blank at an end; texts that hold one are encoded whole.
+_BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+_ODD_WORD = rf"^$|^[{_BLANKS}]|[{_BLANKS}]\z"
 
 
 class Encoder:
-    """Exact ids of whole texts, remembering the words it has met.
+    """Exact ids of whole texts, encoding each distinct word of a slice once.
 
     The byte-level pre-tokenizer never joins characters on both sides of a
     single space between two non-blanks: the space starts the next piece, and
     so a token. So a text whose spaces all stand alone is the concatenation of
-    its first word and of its other words with a space before each. New words
-    are encoded together, a space before each, and told apart by the tokens that
-    start with one. Texts with other runs of blanks, or with a special token,
+    its first word and of its other words with a space before each. Distinct
+    words are encoded together, a space before each, and told apart by the tokens
+    that start with one. Texts with other runs of blanks, or with a special token,
     are encoded whole.
     """
 
@@ -66,61 +65,67 @@ class Encoder:
         self.led = np.zeros(self.whole.get_vocab_size(with_added_tokens=True), dtype=bool)
         for token, i in self.whole.get_vocab(with_added_tokens=True).items():
             self.led[i] = token.startswith("\u0120")
-        self.first: dict[str, bytes | object] = {}
-        self.rest: dict[str, bytes | object] = {}
 
-    def all_at_once(self, texts: list[str]) -> list[bytes]:
+    def all_at_once(self, texts: list[str]) -> list[np.ndarray]:
         coded = self.whole.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(c.ids, dtype="<u4").tobytes() for c in coded]
-
-    def learn(self, words: list[str]) -> None:
-        """Ids of words with a space before them; odd are those that are empty or have a blank at an end."""
-        whole = [w for w in words if w and not (w[0].isspace() or w[-1].isspace())]
-        self.rest.update(dict.fromkeys(words, _ODD))
-        parts = [whole[a : a + _TOGETHER] for a in range(0, len(whole), _TOGETHER)]
-        coded = self.all_at_once([" " + " ".join(p) for p in parts])
-        for part, data in zip(parts, coded, strict=True):
-            starts = np.flatnonzero(self.led[np.frombuffer(data, dtype="<u4")])
-            if len(starts) != len(part):
-                raise ValueError("a token of this vocabulary holds a space behind other letters")
-            edges = [*(4 * starts).tolist(), len(data)]
-            self.rest.update((w, data[edges[i] : edges[i + 1]]) for i, w in enumerate(part))
-
-    def learn_first(self, words: list[str]) -> None:
-        whole = [w for w in words if w and not (w[0].isspace() or w[-1].isspace())]
-        self.first.update(dict.fromkeys(words, _ODD))
-        self.first.update(zip(whole, self.all_at_once(whole), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(c.ids, dtype="<u4") for c in coded]
+
+    def led_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words with a space before each, none of them odd, and where each word's begin."""
+        edges = pa.array([*range(0, len(words), _TOGETHER), len(words)], pa.int32())
+        joined = pc.binary_join(pa.ListArray.from_arrays(edges, words), " ") if len(words) else []
+        coded = [np.zeros(0, dtype="<u4")]
+        for at in range(0, len(joined), _AT_ONCE):
+            coded += self.all_at_once([f" {text}" for text in joined[at : at + _AT_ONCE].to_pylist()])
+        flat = np.concatenate(coded)
+        starts = np.flatnonzero(self.led[flat])
+        counts = [int(self.led[c].sum()) for c in coded[1:]]
+        if counts != np.diff(edges.to_numpy()).tolist()[: len(counts)]:
+            raise ValueError("a token of this vocabulary holds a space behind other letters")
+        return flat, starts
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
-        if len(self.rest) + len(self.first) > CACHED_WORDS:
-            self.rest.clear()
-            self.first.clear()
-        heads, words, ends = [], [], []
-        for text in texts:
-            # A special token makes its text odd, as an empty first word does.
-            split = [""] if any(s in text for s in self.special) else text.split(" ")
-            heads.append(split[0])
-            del split[0]
-            words += split
-            ends.append(len(words))
-        # One look-up per word; only words that were not met before are looked at again.
-        found = list(map(self.rest.get, words))
-        new = [i for i, known in enumerate(found) if known is None]
-        self.learn(list({words[i] for i in new}))
-        for i in new:
-            found[i] = self.rest[words[i]]
-        self.learn_first([w for w in set(heads) if w not in self.first])
-        coded: list[bytes | None] = []
-        for head, a, b in zip(heads, [0, *ends[:-1]], ends, strict=True):
-            try:
-                coded.append(b"".join([self.first[head], *found[a:b]]))
-            except TypeError:  # a word is odd
-                coded.append(None)
-        odd = [i for i, c in enumerate(coded) if c is None]
-        for i, c in zip(odd, self.all_at_once([texts[i] for i in odd]), strict=True):
-            coded[i] = c
-        return coded
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(texts):
+            return []
+        # A special token makes its text odd, as an empty first word does.
+        plain = texts
+        for special in self.special:
+            plain = pc.if_else(pc.match_substring(plain, special), "", plain)
+        split = pc.split_pattern(plain, " ")
+        edges = split.offsets.to_numpy()
+        words = split.values.dictionary_encode()
+        at, heads = words.indices.to_numpy().copy(), edges[:-1]
+        first, nth = np.unique(at[heads], return_inverse=True)
+        follows = np.ones(len(at), dtype=bool)
+        follows[heads] = False
+        used = np.zeros(len(words.dictionary), dtype=bool)
+        used[at[follows]] = True
+        odd_word = pc.match_substring_regex(words.dictionary, _ODD_WORD).to_numpy(zero_copy_only=False)
+        # Entries: words behind others, then distinct first words; the last stands for all odd ones.
+        plain_rest = used & ~odd_word
+        rest = np.flatnonzero(plain_rest)
+        odd = len(rest) + len(first)
+        place = np.full(len(used), odd, dtype=np.int32)
+        place[rest] = np.arange(len(rest))
+        at = place[at]
+        at[heads] = np.where(odd_word[first], odd, len(rest) + np.arange(len(first)))[nth]
+        flat, starts = self.led_words(words.dictionary.take(pa.array(rest)))
+        begun = words.dictionary.take(pa.array(first[~odd_word[first]])).to_pylist()
+        lengths = np.zeros(len(first), dtype=np.int64)
+        coded = self.all_at_once(begun)
+        lengths[~odd_word[first]] = list(map(len, coded))
+        ends = np.concatenate([starts, len(flat) + np.cumsum([0, *lengths])])
+        ends = np.append(ends, ends[-1]).astype(np.int32)
+        entries = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([flat, *coded])))
+        ids = entries.take(pa.array(at))
+        flat, cuts = ids.values.to_numpy(), ids.offsets.to_numpy()[edges]
+        found = [flat[a:b].tobytes() for a, b in itertools.pairwise(cuts.tolist())]
+        whole = np.flatnonzero(np.logical_or.reduceat(at == odd, heads))
+        for i in whole.tolist():
+            found[i] = self.all_at_once([texts[i].as_py()])[0].tobytes()
+        return found
 
 
 @functools.lru_cache(maxsize=1)
@@ -129,11 +134,11 @@ def _encoder(path: str) -> Encoder:
 
 
 def _runs(texts: pa.Array) -> Iterator[int]:
-    """Lengths of runs of texts of about SLICE_CHARS bytes; a longer text is a run of its own."""
+    """Lengths of runs of texts of about SLICE_BYTES bytes; a longer text is a run of its own."""
     held = n = 0
     for size in pc.binary_length(texts).to_pylist():
         held, n = held + size, n + 1
-        if held >= SLICE_CHARS:
+        if held >= SLICE_BYTES:
             yield n
             held = n = 0
     if n:
@@ -163,7 +168,7 @@ def _encode(tokenizer: str, end_id: int):
         for batch in batches:
             ids, texts, taken = batch.column(0).to_pylist(), batch.column(1), 0
             for n in _runs(texts):
-                coded = [c + end for c in encoder.encode(texts.slice(taken, n).to_pylist())]
+                coded = [c + end for c in encoder.encode(texts.slice(taken, n))]
                 lengths = [len(c) // 4 for c in coded]
                 starts = [at + before for before in itertools.accumulate(lengths, initial=0)]
                 yield rows(ids[taken : taken + n], part, starts[:-1], coded)

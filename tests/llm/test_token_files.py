@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 from corpus_cases import empty, frame, odd_rows
 from hypothesis import given, settings
@@ -65,3 +66,13 @@ def test_empty_table(spark):
     path = shared_path(spark, "tokens")
     m.write_tokens(empty(spark), path, PATH)
     assert m.token_digests(m.read_tokens(spark, path)).collect() == []
+
+
+def test_slices_of_words_are_encoded_in_parts(monkeypatch):
+    monkeypatch.setattr(m, "_TOGETHER", 3)
+    monkeypatch.setattr(m, "_AT_ONCE", 2)
+    words = [f"w{i}é" for i in range(40)]
+    texts = ["", " ", "a  b", " ".join(words), "a <|endoftext|> b", "one", "a　 b", "x \x1c", *words, "w3é w3é\n w7é"]
+    for some in (texts, ["one"], [""], []):
+        got = ENCODER.encode(pa.array(some, pa.string()))
+        assert [np.frombuffer(c, dtype="<u4").tolist() for c in got] == [ids(t)[:-1] for t in some]
