@@ -38,11 +38,17 @@ FILE_SCHEMA = "doc_id bigint, part int, part_offset bigint, n_tokens bigint, ids
 SLICE_BYTES = 4 << 20
 # Words that are encoded as one text, and such texts that are encoded at once.
 _TOGETHER, _AT_ONCE = 1_000, 16
+# Words whose ids are kept from slice to slice, and the longest such word in bytes.
+KEPT_WORDS, KEPT_BYTES = 250_000, 64
 # Empty words, and words with a blank at an end; texts that hold one are encoded whole.
 _BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _ODD_WORD = rf"^$|^[{_BLANKS}]|[{_BLANKS}]\z"
 
 
+def _lists(flat: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+
+
 class Encoder:
     """Exact ids of whole texts, encoding each distinct word of a slice once.
 
@@ -52,7 +58,8 @@ class Encoder:
     its first word and of its other words with a space before each. Distinct
     words are encoded together, a space before each, and told apart by the tokens
     that start with one. Texts with other runs of blanks, or with a special token,
-    are encoded whole.
+    are encoded whole. The ids of words that two slices in a row had to encode
+    are kept for later slices, for a bounded number of words.
     """
 
     def __init__(self, path: str):
@@ -65,6 +72,9 @@ class Encoder:
         self.led = np.zeros(self.whole.get_vocab_size(with_added_tokens=True), dtype=bool)
         for token, i in self.whole.get_vocab(with_added_tokens=True).items():
             self.led[i] = token.startswith("\u0120")
+        # Words whose ids are kept, those ids, and the words that the last slice encoded.
+        self.kept, self.kept_ids = pa.array([], pa.string()), pa.array([], pa.list_(pa.uint32()))
+        self.last = self.kept
 
     def all_at_once(self, texts: list[str]) -> list[np.ndarray]:
         coded = self.whole.encode_batch_fast(texts, add_special_tokens=False)
@@ -84,6 +94,16 @@ class Encoder:
             raise ValueError("a token of this vocabulary holds a space behind other letters")
         return flat, starts
 
+    def keep(self, new: pa.Array, ids: pa.Array) -> None:
+        """Keep the ids of words that this slice and the one before had to encode, as far as there is room."""
+        if len(self.kept) >= KEPT_WORDS:
+            return
+        again = pc.and_(pc.index_in(new, value_set=self.last).is_valid(), pc.less_equal(pc.binary_length(new), KEPT_BYTES))
+        which = pc.indices_nonzero(again)[: KEPT_WORDS - len(self.kept)]
+        self.kept = pa.concat_arrays([self.kept, new.take(which)])
+        self.kept_ids = pa.concat_arrays([self.kept_ids, ids.take(which)])
+        self.last = new
+
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
@@ -102,23 +122,31 @@ class Encoder:
         follows[heads] = False
         used = np.zeros(len(words.dictionary), dtype=bool)
         used[at[follows]] = True
-        odd_word = pc.match_substring_regex(words.dictionary, _ODD_WORD).to_numpy(zero_copy_only=False)
-        # Entries: words behind others, then distinct first words; the last stands for all odd ones.
-        plain_rest = used & ~odd_word
+        held = pc.index_in(words.dictionary, value_set=self.kept)
+        is_held = held.is_valid().to_numpy(zero_copy_only=False)
+        odd_word = np.zeros(len(used), dtype=bool)
+        odd_word[~is_held] = pc.match_substring_regex(
+            words.dictionary.filter(pa.array(~is_held)), _ODD_WORD
+        ).to_numpy(zero_copy_only=False)
+        # Entries: kept words, other words behind others, then distinct first words; the last stands for all odd ones.
+        plain_rest = used & ~odd_word & ~is_held
         rest = np.flatnonzero(plain_rest)
-        odd = len(rest) + len(first)
+        odd = len(self.kept) + len(rest) + len(first)
         place = np.full(len(used), odd, dtype=np.int32)
-        place[rest] = np.arange(len(rest))
+        place[is_held] = held.drop_null().to_numpy()
+        place[rest] = len(self.kept) + np.arange(len(rest))
         at = place[at]
-        at[heads] = np.where(odd_word[first], odd, len(rest) + np.arange(len(first)))[nth]
-        flat, starts = self.led_words(words.dictionary.take(pa.array(rest)))
+        at[heads] = np.where(odd_word[first], odd, odd - len(first) + np.arange(len(first)))[nth]
+        new = words.dictionary.take(pa.array(rest))
+        flat, starts = self.led_words(new)
+        new_ids = _lists(flat, np.append(starts, len(flat)))
         begun = words.dictionary.take(pa.array(first[~odd_word[first]])).to_pylist()
-        lengths = np.zeros(len(first), dtype=np.int64)
-        coded = self.all_at_once(begun)
-        lengths[~odd_word[first]] = list(map(len, coded))
-        ends = np.concatenate([starts, len(flat) + np.cumsum([0, *lengths])])
-        ends = np.append(ends, ends[-1]).astype(np.int32)
-        entries = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([flat, *coded])))
+        lengths = np.zeros(len(first) + 1, dtype=np.int64)
+        coded = [np.zeros(0, dtype="<u4"), *self.all_at_once(begun)]
+        lengths[:-1][~odd_word[first]] = list(map(len, coded[1:]))
+        first_ids = _lists(np.concatenate(coded), np.append(0, np.cumsum(lengths)))
+        entries = pa.concat_arrays([self.kept_ids, new_ids, first_ids])
+        self.keep(new, new_ids)
         ids = entries.take(pa.array(at))
         flat, cuts = ids.values.to_numpy(), ids.offsets.to_numpy()[edges]
         found = [flat[a:b].tobytes() for a, b in itertools.pairwise(cuts.tolist())]

@@ -76,3 +76,26 @@ def test_slices_of_words_are_encoded_in_parts(monkeypatch):
     for some in (texts, ["one"], [""], []):
         got = ENCODER.encode(pa.array(some, pa.string()))
         assert [np.frombuffer(c, dtype="<u4").tolist() for c in got] == [ids(t)[:-1] for t in some]
+
+
+def test_words_met_in_slice_after_slice_are_encoded_twice_at_most(monkeypatch):
+    encoder, given_ = m.Encoder(PATH), []
+    whole = encoder.all_at_once
+    monkeypatch.setattr(encoder, "all_at_once", lambda texts: given_.extend(texts) or whole(texts))
+    monkeypatch.setattr(m, "KEPT_WORDS", 4)
+    slices = [["x aa bb", "x cc  d", "x ee ff"], ["x bb aa", "y ee ff gg"], ["x ff bb", "x aa ee", "ff gg hh"], ["hh bb  gg"]]
+    asked = []
+    for some in slices:
+        got = encoder.encode(some)
+        assert [np.frombuffer(c, dtype="<u4").tolist() for c in got] == [ids(t)[:-1] for t in some]
+        asked.append({w for t in given_ if t.startswith(" ") for w in t.split()})
+        given_.clear()
+    assert asked == [{"aa", "bb", "cc", "d", "ee", "ff"}, {"aa", "bb", "ee", "ff", "gg"}, {"gg", "hh"}, {"gg"}]
+    assert sorted(encoder.kept.to_pylist()) == ["aa", "bb", "ee", "ff"]
+
+
+def test_long_words_are_not_kept():
+    encoder, long = m.Encoder(PATH), "é" * m.KEPT_BYTES
+    for _ in range(3):
+        assert np.frombuffer(encoder.encode([f"a {long}"])[0], dtype="<u4").tolist() == ids(f"a {long}")[:-1]
+    assert len(encoder.kept) == 0
