@@ -19,19 +19,19 @@ are broadcast; those of all other words are joined by shuffle.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import fold_of, words
+from framewright.llm.common import fold_of
 from framewright.session import reliable
 
 # Words of the core, classes, and words whose counts are broadcast; longest such word in bytes.
@@ -41,55 +41,97 @@ KNOWN = 200_000
 KNOWN_BYTES = 48
 ROUNDS = 10
 SMOOTHING = 20.0
-# Words of a task counted before they are sent on, and tokens of which bigrams are merged.
-HELD_WORDS, HELD_TOKENS = 400_000, 2_000_000
+# Bytes of texts whose words are counted together, and whose rows are made together.
+HELD_BYTES, CODED_BYTES = 8 << 20, 4 << 20
 BLOCK = 1_024
-# Words that are placed together.
-PLACED = 512
+# Words that are placed together, and counts whose gains are looked up.
+PLACED, SMALL = 512, 4
+
+
+def held_rows(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows in runs of about ``most`` bytes of texts (a row counts 16 bytes more); a longer text ends its run."""
+    held: list[pa.RecordBatch] = []
+    left = most
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy().astype(np.int64) + 16)
+        at = before = 0
+        while at < batch.num_rows:
+            n = min(int(np.searchsorted(ends, before + left)) + 1, batch.num_rows) - at
+            held.append(batch.slice(at, n))
+            at += n
+            left, before = left - int(ends[at - 1]) + before, int(ends[at - 1])
+            if left <= 0:
+                yield pa.concat_batches(held)
+                held, left = [], most
+    if held:
+        yield pa.concat_batches(held)
+
+
+@dataclass
+class Tokens:
+    """Words of some texts as numbers of their distinct words, which may hold one that is empty and not used.
+
+    In a line of all tokens with an edge before and behind each text, ``spot`` is where each
+    token stands; text i reaches from ``edges[i] + 2 * i`` up to the next.
+    """
+
+    distinct: pa.Array
+    word: np.ndarray
+    edges: np.ndarray  # of the texts, in tokens
+    text: np.ndarray  # of each token
+    spot: np.ndarray
+
+    @property
+    def line(self) -> int:
+        return len(self.word) + 2 * (len(self.edges) - 1)
+
+
+def tokens_of(texts: pa.Array) -> Tokens:
+    """Arrow lowers exactly A-Z and splits on exactly the six blanks that end a word."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    edges = split.offsets.to_numpy().astype(np.int64)
+    coded = split.values.dictionary_encode()
+    word = coded.indices.to_numpy()
+    empty = pc.index(coded.dictionary, "").as_py()  # before and behind blanks at the ends of a text
+    if empty >= 0:
+        full = word != empty
+        word, edges = word[full], np.append(0, np.cumsum(full))[edges]
+    text = np.repeat(np.arange(len(edges) - 1, dtype=np.int32), np.diff(edges))
+    spot = np.arange(1, len(word) + 1, dtype=np.int32) + 2 * text
+    return Tokens(coded.dictionary.cast(pa.binary()), word, edges, text, spot)
+
+
+def _numbers(t: Tokens, of: pa.Array) -> np.ndarray:
+    """Place of each token's word in ``of``; its length for others."""
+    found = pc.index_in(t.distinct, value_set=of)
+    return found.fill_null(len(of)).to_numpy()[t.word]
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())],
-            names=["word", "n"],
+    for some in held_rows(batches, 0, HELD_BYTES):
+        t = tokens_of(some.column(0))
+        n = np.bincount(t.word, minlength=len(t.distinct))
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays(
+            [t.distinct.take(pa.array(used)), pa.array(n[used], pa.int64())], names=["word", "n"]
         )
 
-    counts: Counter = Counter()
-    for batch in batches:
-        for text in batch.column(0):
-            counts.update(words(text.as_py()))
-            if len(counts) >= HELD_WORDS:
-                yield rows(counts)
-                counts = Counter()
-    if counts:
-        yield rows(counts)
-
 
 def _count_pairs(held):
     """Bigrams of word numbers as first * (size + 2) + second; see ``Numbers``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = held.value
-        size = len(number)
-        get, other, edge = number.get, size, size + 1
-
-        def merged(parts: list[np.ndarray]) -> pa.RecordBatch:
-            pairs, n = np.unique(np.concatenate(parts), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], names=["pair", "n"])
-
-        parts, tokens = [], 0
-        for batch in batches:
-            for text in batch.column(0):
-                found = [edge, *map(get, words(text.as_py()), repeat(other)), edge]
-                a = np.array(found, dtype=np.int64)
-                parts.append(a[:-1] * (size + 2) + a[1:])
-                tokens += len(a)
-                if tokens >= HELD_TOKENS:
-                    yield merged(parts)
-                    parts, tokens = [], 0
-        if parts:
-            yield merged(parts)
+        core = pa.array(list(held.value), pa.binary())
+        size = len(core)
+        edge = size + 1
+        for some in held_rows(batches, 0, HELD_BYTES):
+            t = tokens_of(some.column(0))
+            line = np.full(t.line, edge, dtype=np.int64)
+            line[t.spot] = _numbers(t, core)
+            # The last edge of a text makes no pair with the first of the next.
+            last = t.edges[1:-1] + 2 * np.arange(1, len(t.edges) - 1) - 1
+            pairs, n = np.unique(np.delete(line[:-1] * (size + 2) + line[1:], last), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], names=["pair", "n"])
 
     return run
 
@@ -235,46 +277,43 @@ def _contexts(held, classes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, of = held.value
-        get, width = number.get, classes + 2
-        cells, other = 2 * width + 1, len(number)
-
-        def merged() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate(parts), return_counts=True)
+        core, width = pa.array(list(number), pa.binary()), classes + 2
+        cells, other = 2 * width + 1, len(core)
+        for some in held_rows(batches, 0, HELD_BYTES):
+            t = tokens_of(some.column(0))
+            found = _numbers(t, core)
+            cls = np.full(t.line, of[other + 1], dtype=np.int32)
+            cls[t.spot] = of[found]
+            word = np.full(t.line, -1, dtype=np.int32)
+            at, here = t.spot[found == other], t.word[found == other].astype(np.int64)
+            word[at] = here
+            after = here * cells + np.where(word[at + 1] == here, 2 * width, cls[at + 1])
+            before = (here * cells + width + cls[at - 1])[word[at - 1] != here]
+            found, n = np.unique(np.concatenate([after, before]), return_counts=True)
             word = found // cells
-            starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            starts = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, dtype=np.int64)
             offsets = np.append(starts, len(found)).astype(np.int32)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(own), pa.binary()), pa.ListArray.from_arrays(offsets, n * cells + found % cells)],
+            yield pa.RecordBatch.from_arrays(
+                [t.distinct.take(pa.array(word[starts])), pa.ListArray.from_arrays(offsets, n * cells + found % cells)],
                 names=["word", "cells"],
             )
 
-        own: dict[bytes, int] = {}
-        parts, tokens = [], 0
-        for batch in batches:
-            for text in batch.column(0):
-                some = words(text.as_py())
-                core = np.fromiter(map(get, some, repeat(other)), dtype=np.int64, count=len(some))
-                at = np.flatnonzero(core == other)
-                if not len(at):
-                    continue
-                word = np.full(len(some) + 2, -1)
-                word[at + 1] = [own.setdefault(some[i], len(own)) for i in at.tolist()]
-                cls = of[np.concatenate([[other + 1], core, [other + 1]])]
-                here = word[at + 1]
-                parts.append(here * cells + np.where(word[at + 2] == here, 2 * width, cls[at + 2]))
-                before = word[at] != here
-                parts.append((here * cells + width + cls[at])[before])
-                tokens += len(at)
-                if tokens >= HELD_TOKENS or len(own) >= HELD_WORDS:
-                    yield merged()
-                    parts, tokens = [], 0
-                    own.clear()
-        if parts:
-            yield merged()
-
     return run
 
 
+def _delta(by_class: np.ndarray, open_: int) -> np.ndarray:
+    """xlogx(t + n) - xlogx(t) for n up to SMALL, for each context and class."""
+    t = by_class[None, :, :open_]
+    return _xlogx(t + np.arange(SMALL + 1)[:, None, None]) - _xlogx(t)
+
+
+def _add_rows(gain: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """np.add.at for ascending places."""
+    if len(at):
+        starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        gain[at[starts]] += np.add.reduceat(rows, starts, axis=0)
+
+
 def place(table: np.ndarray, word: np.ndarray, cell: np.ndarray, n: np.ndarray, size: int, open_: int) -> np.ndarray:
     """Class among the first ``open_`` into which each of ``size`` words of class ``open_`` fits best.
 
@@ -290,11 +329,16 @@ def place(table: np.ndarray, word: np.ndarray, cell: np.ndarray, n: np.ndarray,
     gain = np.zeros((size, open_))
     for counts, other, by_class in ((after, before, table.T), (before, after, table)):
         at, context = np.nonzero(counts)
-        t = by_class[context, :open_]
-        t[context == home] -= other[at[context == home], :open_]
-        np.add.at(gain, at, _xlogx(t + counts[at, context][:, None]) - _xlogx(t))
-        total, all_ = by_class.sum(axis=0)[:open_], counts.sum(axis=1, keepdims=True) + own
-        gain -= _xlogx(total + all_) - _xlogx(total)
+        times = counts[at, context]
+        rows = _delta(by_class, open_)[np.minimum(times, SMALL).astype(np.int64), context]
+        rest = np.flatnonzero((context == home) | (times > SMALL))
+        t = by_class[context[rest], :open_]
+        t[context[rest] == home] -= other[at[rest][context[rest] == home], :open_]
+        rows[rest] = _xlogx(t + times[rest][:, None]) - _xlogx(t)
+        _add_rows(gain, at, rows)
+        total, all_ = by_class.sum(axis=0)[:open_], counts.sum(axis=1) + own[:, 0]
+        all_, of = np.unique(all_, return_inverse=True)
+        gain -= (_xlogx(total + all_[:, None]) - _xlogx(total))[of]
     at, to = np.nonzero(((after > 0) & (before > 0) | (own > 0))[:, :open_])
     corner, a, b, o = np.diag(table)[to], after[at, to], before[at, to], own[at, 0]
     gain[at, to] += _xlogx(corner + a + b + o) - _xlogx(corner + a) - _xlogx(corner + b) + _xlogx(corner)
@@ -359,48 +403,50 @@ def _coded(held):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Words = held.value
-        get, part, at = m.number.get, TaskContext.get().partitionId(), 0
-        rest_type = pa.list_(pa.struct([("k", pa.int32()), ("word", pa.binary())]))
-        for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                some = batch.slice(low, 1000)
-                rows = []
-                for text in some.column(2):
-                    tokens = words(text.as_py())
-                    found = np.fromiter(map(get, tokens, repeat(-1)), dtype=np.int64, count=len(tokens))
-                    known = found[found >= 0]
-                    codes = np.full(len(found) + 2, m.tail, dtype=_code(m.tail))
-                    codes[0] = codes[-1] = m.edge
-                    codes[1:-1][found >= 0] = m.of[known]
-                    rest: dict[bytes, int] = {}
-                    which = [rest.setdefault(tokens[i], len(rest)) for i in np.flatnonzero(found < 0).tolist()]
-                    rows.append(
-                        (
-                            (part << 33) + at,
-                            len(tokens) + 1,
-                            len(known) + (1 if m.ends else 0),
-                            m.base[known].sum() + m.end,
-                            m.log[known].sum(),
-                            codes.tobytes(),
-                            np.array(which, dtype="<i4").tobytes(),
-                            [{"k": k, "word": w} for w, k in rest.items()],
-                        )
-                    )
-                    at += 1
-                row, n, n_known, base, log, codes, which, rest = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row, pa.int64()), *some.columns[:2], pa.array(n, pa.int64()),
-                        pa.array(n_known, pa.int64()), pa.array(base, pa.float64()),
-                        pa.array(log, pa.float64()), pa.array(codes, pa.binary()),
-                        pa.array(which, pa.binary()), pa.array(rest, rest_type),
-                    ],
-                    names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "log", "codes", "which", "rest"],
-                )
+        known, part, first_row = pa.array(list(m.number), pa.binary()), TaskContext.get().partitionId(), 0
+        for some in held_rows(batches, 2, CODED_BYTES):
+            t = tokens_of(some.column(2))
+            size, found = some.num_rows, _numbers(t, known)
+            is_known = found < len(known)
+            own = found[is_known]
+            ends = np.append(0, np.cumsum(is_known))[t.edges]
+            codes = np.full(t.line, m.edge, dtype=_code(m.tail))
+            codes[t.spot] = m.tail
+            codes[t.spot[is_known]] = m.of[own]
+            # Each text's other words, numbered inside the text.
+            rest, which = np.unique(
+                t.text[~is_known].astype(np.int64) * len(t.distinct) + t.word[~is_known], return_inverse=True
+            )
+            rest_ends = np.searchsorted(rest, np.arange(size + 1) * len(t.distinct))
+            k = np.arange(len(rest)) - np.repeat(rest_ends[:-1], np.diff(rest_ends))
+            words = t.distinct.take(pa.array(rest % max(len(t.distinct), 1)))
+            pairs = pa.StructArray.from_arrays([pa.array(k, pa.int32()), words], ["k", "word"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array((part << 33) + first_row + np.arange(size)), *some.columns[:2],
+                    pa.array(np.diff(t.edges) + 1), pa.array(np.diff(ends) + (1 if m.ends else 0)),
+                    pa.array(_sums(m.base[own], ends) + m.end), pa.array(_sums(m.log[own], ends)),
+                    _binary(codes, t.edges + 2 * np.arange(size + 1)),
+                    _binary(k[which].astype("<i4"), t.edges - ends),
+                    pa.ListArray.from_arrays(pa.array(rest_ends, pa.int32()), pairs),
+                ],
+                names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "log", "codes", "which", "rest"],
+            )
+            first_row += size
 
     return run
 
 
+def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return np.array([values[a:b].sum() for a, b in pairwise(ends.tolist())])
+
+
+def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of the values between two ends, for each."""
+    offsets = (ends * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
 def _completed(tail: int, whole: float):
     """Fill in the counts and classes that were joined."""
 

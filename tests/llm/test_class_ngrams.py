@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from corpus_cases import empty, frame, odd_rows, prose
 
@@ -147,3 +148,35 @@ def test_without_training_rows_scores_are_finite(spark):
     rows = [(i, "x y z", "en", "a", 0) for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 1]
     found = m.score(frame(spark, rows)).collect()
     assert found and all(math.isfinite(r.score) and r.score <= 0 and r.n_known == 0 for r in found)
+
+
+def test_words_are_those_of_python():
+    texts = [None, "", " ", "Ab  \tc\n", "\x0bÄB é\x85x\x1cY\x0c", "a\u2003b a", " lead", "İ ﬀ A\x00B", "a a a"]
+    t = m.tokens_of(pa.array(texts, pa.string()))
+    flat = [t.distinct[i].as_py() for i in t.word.tolist()]
+    cut = [flat[a:b] for a, b in zip(t.edges[:-1], t.edges[1:], strict=True)]
+    assert cut == [(x or "").encode().lower().split() for x in texts]
+    line = np.full(t.line, -1)
+    line[t.spot] = t.text
+    assert line.tolist() == [j for i, c in enumerate(cut) for j in (-1, *[i] * len(c), -1)]
+
+
+def test_rows_are_held_by_their_bytes():
+    sizes = [5, 900, 0, 70, 2_000, 1, 1, 300, 400, 0]
+    batch = pa.record_batch([pa.array(["x" * n for n in sizes]), pa.array(range(len(sizes)))], ["text", "i"])
+    for most in (1, 500, 10**6):
+        runs = list(m.held_rows(iter([batch[:3], batch[:0], batch[3:]]), 0, most))
+        assert [i for r in runs for i in r.column(1).to_pylist()] == list(range(len(sizes)))
+        held = [[len(x) + 16 for x in r.column(0).to_pylist()] for r in runs]
+        assert all(sum(h) >= most for h in held[:-1]) and all(sum(h[:-1]) < most for h in held)
+    assert list(m.held_rows(iter([batch[:0]]), 0, 500)) == []
+
+
+def test_words_of_a_slice_are_counted_together(monkeypatch):
+    """Counts of a run of texts are one batch with each word once, whatever the batches that come in."""
+    texts = pa.record_batch([pa.array(["a b A", "b c", None, "a"])], ["text"])
+    batches = [texts[:1], texts[1:2], texts[2:]]
+    (found,) = m._count_words(iter(batches))
+    assert dict(zip(found["word"].to_pylist(), found["n"].to_pylist(), strict=True)) == {b"a": 3, b"b": 2, b"c": 1}
+    monkeypatch.setattr(m, "HELD_BYTES", 1)
+    assert [r["n"].to_pylist() for r in m._count_words(iter(batches))] == [[2, 1], [1, 1], [], [1]]
