@@ -201,6 +201,8 @@ def _encode(tokenizer: str, end_id: int):
                 starts = [at + before for before in itertools.accumulate(lengths, initial=0)]
                 yield rows(ids[taken : taken + n], part, starts[:-1], coded)
                 at, taken = starts[-1], taken + n
+                # Workers live on: what Arrow holds for reuse would add up beside other stages.
+                pa.default_memory_pool().release_unused()
 
     return run
 
