@@ -57,7 +57,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix; per row what is read back from them."""
     path = shared_path(spark, "tokens")
-    op8_token_files.write_tokens(docs, path, public_tokenizers.path(TOKENIZER))
+    op8_token_files.write_tokens(docs, path, public_tokenizers.path(TOKENIZER), kept_words=0)
     return op8_token_files.token_digests(op8_token_files.read_tokens(spark, path))
 
 

@@ -62,7 +62,7 @@ class Encoder:
     are kept for later slices, for a bounded number of words.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, room: int = KEPT_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -73,6 +73,7 @@ class Encoder:
         for token, i in self.whole.get_vocab(with_added_tokens=True).items():
             self.led[i] = token.startswith("\u0120")
         # Words whose ids are kept, those ids, and the words that the last slice encoded.
+        self.room = room
         self.kept, self.kept_ids = pa.array([], pa.string()), pa.array([], pa.list_(pa.uint32()))
         self.last = self.kept
 
@@ -96,10 +97,10 @@ class Encoder:
 
     def keep(self, new: pa.Array, ids: pa.Array) -> None:
         """Keep the ids of words that this slice and the one before had to encode, as far as there is room."""
-        if len(self.kept) >= KEPT_WORDS:
+        if len(self.kept) >= self.room:
             return
         again = pc.and_(pc.index_in(new, value_set=self.last).is_valid(), pc.less_equal(pc.binary_length(new), KEPT_BYTES))
-        which = pc.indices_nonzero(again)[: KEPT_WORDS - len(self.kept)]
+        which = pc.indices_nonzero(again)[: self.room - len(self.kept)]
         self.kept = pa.concat_arrays([self.kept, new.take(which)])
         self.kept_ids = pa.concat_arrays([self.kept_ids, ids.take(which)])
         self.last = new
@@ -157,8 +158,8 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=1)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+def _encoder(path: str, room: int) -> Encoder:
+    return Encoder(path, room)
 
 
 def _runs(texts: pa.Array) -> Iterator[int]:
@@ -173,7 +174,7 @@ def _runs(texts: pa.Array) -> Iterator[int]:
         yield n
 
 
-def _encode(tokenizer: str, end_id: int):
+def _encode(tokenizer: str, end_id: int, room: int):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def rows(ids: list, part: int, starts: list[int], coded: list[bytes]) -> pa.RecordBatch:
@@ -192,7 +193,7 @@ def _encode(tokenizer: str, end_id: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at = _encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, at = _encoder(tokenizer, room), TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, texts, taken = batch.column(0).to_pylist(), batch.column(1), 0
             for n in _runs(texts):
@@ -214,13 +215,15 @@ def write_tokens(
     end_id: int = 0,
     id_col: str = "doc_id",
     text_col: str = "text",
+    kept_words: int = KEPT_WORDS,
 ) -> None:
     """Encode every text and write the files, ascending in id, null ids first.
 
     A null text has no ids but the end id; rows of equal id are ordered by
     text, repeated rows are kept; an empty table gives files without rows.
     Other columns are ignored. One task holds one range of ids and writes one
-    part; inside it ``part_offset`` counts the ids of the rows before.
+    part; inside it ``part_offset`` counts the ids of the rows before. ``kept_words``:
+    words whose ids a process keeps; fewer take less memory beside other stages.
     """
     picked = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"),
@@ -231,7 +234,7 @@ def write_tokens(
         .sortWithinPartitions("doc_id", "tie", "text")
         .select("doc_id", "text")
     )
-    coded = ordered.mapInArrow(_encode(tokenizer, end_id), FILE_SCHEMA)
+    coded = ordered.mapInArrow(_encode(tokenizer, end_id, kept_words), FILE_SCHEMA)
     coded.write.options(**LAYOUT).parquet(path)
 
 

@@ -79,10 +79,9 @@ def test_slices_of_words_are_encoded_in_parts(monkeypatch):
 
 
 def test_words_met_in_slice_after_slice_are_encoded_twice_at_most(monkeypatch):
-    encoder, given_ = m.Encoder(PATH), []
+    encoder, given_ = m.Encoder(PATH, 4), []
     whole = encoder.all_at_once
     monkeypatch.setattr(encoder, "all_at_once", lambda texts: given_.extend(texts) or whole(texts))
-    monkeypatch.setattr(m, "KEPT_WORDS", 4)
     slices = [["x aa bb", "x cc  d", "x ee ff"], ["x bb aa", "y ee ff gg"], ["x ff bb", "x aa ee", "ff gg hh"], ["hh bb  gg"]]
     asked = []
     for some in slices:
