@@ -22,6 +22,8 @@ from framewright.session import shared_path, stage_scope
 SHINGLE_WORDS = 5
 SIMILARITY = 80
 TOKENIZER = "byte_bpe_50k.json"
+# Texts encoded together: the executors' memory is shared with what the stages before left.
+TOKEN_SLICE_BYTES = 1 << 20
 
 # The classifier, the mix and the token ids can't be expressed in SQL.
 ORACLE_SQL = None
@@ -57,7 +59,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix; per row what is read back from them."""
     path = shared_path(spark, "tokens")
-    op8_token_files.write_tokens(docs, path, public_tokenizers.path(TOKENIZER), kept_words=0)
+    tokenizer = public_tokenizers.path(TOKENIZER)
+    op8_token_files.write_tokens(docs, path, tokenizer, kept_words=0, slice_bytes=TOKEN_SLICE_BYTES)
     return op8_token_files.token_digests(op8_token_files.read_tokens(spark, path))
 
 

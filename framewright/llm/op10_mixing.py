@@ -20,11 +20,12 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framewright.llm.common import WORD
+from framewright.llm.common import WORD, driver_table
 from framewright.session import reliable
 
 WEIGHTS = (3, 1, 2)
@@ -165,8 +166,12 @@ def plan_mix(
     if fanout is None:
         fanout = max(FANOUT, math.ceil(max((n for _, n, _ in aims), default=0) / SHARD_WORDS))
     base = [(s, n, t, min(int(t // n), int(repeat)) if n else 0) for s, n, t in aims]
-    aim = spark.createDataFrame(
-        base, "source string, source_size bigint, target double, whole int"
+    aim = driver_table(
+        spark,
+        base,
+        pa.schema(
+            [("source", pa.string()), ("source_size", pa.int64()), ("target", pa.float64()), ("whole", pa.int32())]
+        ),
     )
 
     border = aim.select(
@@ -328,9 +333,10 @@ def _deal(plan: DataFrame, seed: int, shards: int) -> DataFrame:
         )
     rng = np.random.default_rng(seed)
     quotas = _quotas(np.array([r[1] for r in counts], dtype=np.int64), shards, rng)
-    ends = spark.createDataFrame(
+    ends = driver_table(
+        spark,
         [(r[0], q) for r, q in zip(counts, np.cumsum(quotas, axis=1).tolist(), strict=True)],
-        "s string, ends array<bigint>",
+        pa.schema([("s", pa.string()), ("ends", pa.list_(pa.int64()))]),
     )
     placed = (
         units.join(F.broadcast(ends), F.col("source").eqNullSafe(F.col("s")))

@@ -14,7 +14,7 @@ that every task scans its documents against. Documents are never shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +29,7 @@ EDIT_RATE = 0.05
 # Item bytes of one index block.
 BLOCK_BYTES = 4 << 20
 # Document bytes scanned at once.
-SCAN_BYTES = 1 << 20
+SCAN_BYTES = 1 << 18
 _FILTER_BITS = 22
 
 # A-Z to lower case, blanks and zero bytes to a space: lengths and positions stay.
@@ -189,16 +189,17 @@ def _distinct(hits: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int
     return out
 
 
-def _slices(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+def _slices(texts: Iterable[bytes]) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of whole texts of about SCAN_BYTES, with the number of the first."""
-    low, held = 0, 0
-    for i, t in enumerate(texts):
+    low, held, some = 0, 0, []
+    for t in texts:
+        some.append(t)
         held += len(t)
         if held >= SCAN_BYTES:
-            yield low, texts[low : i + 1]
-            low, held = i + 1, 0
-    if low < len(texts):
-        yield low, texts[low:]
+            yield low, some
+            low, held, some = low + len(some), 0, []
+    if some:
+        yield low, some
 
 
 def _block_of(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
@@ -221,9 +222,8 @@ _HITS = "doc_id bigint, item_id bigint, start bigint, n_bytes bigint, edits int"
 def _find(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [fold(t.as_py()) for t in batch.column(1)]
             rows = []
-            for low, some in _slices(texts):
+            for low, some in _slices(fold(t.as_py()) for t in batch.column(1)):
                 for text, item, start, end, edits in scan(held.value, some):
                     rows.append((low + text, held.value.ids[item], start, end - start, edits))
             number, item, start, n, edits = zip(*rows, strict=True) if rows else ([],) * 5
@@ -266,12 +266,11 @@ def find(
 def _clean(held, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.ones(batch.num_rows, dtype=bool)
-            texts = [fold(t.as_py()) for t in batch.column(at)]
-            for low, some in _slices(texts):
+            for low, some in _slices(fold(t.as_py()) for t in batch.column(at)):
+                keep = np.ones(len(some), dtype=bool)
                 for hit in scan(held.value, some):
-                    keep[low + hit[0]] = False
-            yield batch.filter(pa.array(keep))
+                    keep[hit[0]] = False
+                yield batch.slice(low, len(some)).filter(pa.array(keep))
 
     return run
 

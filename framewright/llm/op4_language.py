@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import fold_of
+from framewright.llm.common import driver_table, fold_of
 from framewright.session import reliable
 
 UNKNOWN = "und"
@@ -39,6 +39,8 @@ _LETTERS = bytes(
     b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 _SLICE = 1 << 16
+# Rows sent back at once.
+_ROWS = 1_000
 
 
 @dataclass
@@ -138,8 +140,10 @@ def train(
     flat = Model(languages, code, np.zeros((FEATURES, bits), np.float32), np.ones(bits), np.ones(bits))
     if bits == 0:
         return flat
-    shares = spark.createDataFrame(
-        [(x, min(1.0, per_language / counts[x])) for x in languages], "l string, share double"
+    shares = driver_table(
+        spark,
+        [(x, min(1.0, per_language / counts[x])) for x in languages],
+        pa.schema([("l", pa.string()), ("share", pa.float64())]),
     )
     sample = reliable(
         labelled.join(F.broadcast(shares), F.col("lang") == F.col("l"))
@@ -226,7 +230,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for batch in batches:
+        for batch in (whole.slice(low, _ROWS) for whole in batches for low in range(0, whole.num_rows, _ROWS)):
             langs, scores = [], []
             for text, lettered in zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True):
                 if not lettered.as_py() or not m.languages:

@@ -80,7 +80,7 @@ def _sketch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for some in slices(batch.column(1).to_pylist()):
+            for some in slices(t.as_py() for t in batch.column(1)):
                 sets = [shingle_set(w, k) for w in word_hashes(some)]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -138,7 +138,7 @@ def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for some in slices(batch.column(1).to_pylist()):
+            for some in slices(t.as_py() for t in batch.column(1)):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(some)),

@@ -162,19 +162,19 @@ def _encoder(path: str, room: int) -> Encoder:
     return Encoder(path, room)
 
 
-def _runs(texts: pa.Array) -> Iterator[int]:
-    """Lengths of runs of texts of about SLICE_BYTES bytes; a longer text is a run of its own."""
+def _runs(texts: pa.Array, slice_bytes: int) -> Iterator[int]:
+    """Lengths of runs of texts of about ``slice_bytes`` bytes; a longer text is a run of its own."""
     held = n = 0
     for size in pc.binary_length(texts).to_pylist():
         held, n = held + size, n + 1
-        if held >= SLICE_BYTES:
+        if held >= slice_bytes:
             yield n
             held = n = 0
     if n:
         yield n
 
 
-def _encode(tokenizer: str, end_id: int, room: int):
+def _encode(tokenizer: str, end_id: int, room: int, slice_bytes: int = SLICE_BYTES):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def rows(ids: list, part: int, starts: list[int], coded: list[bytes]) -> pa.RecordBatch:
@@ -196,7 +196,7 @@ def _encode(tokenizer: str, end_id: int, room: int):
         encoder, part, at = _encoder(tokenizer, room), TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, texts, taken = batch.column(0).to_pylist(), batch.column(1), 0
-            for n in _runs(texts):
+            for n in _runs(texts, slice_bytes):
                 coded = [c + end for c in encoder.encode(texts.slice(taken, n))]
                 lengths = [len(c) // 4 for c in coded]
                 starts = [at + before for before in itertools.accumulate(lengths, initial=0)]
@@ -216,6 +216,7 @@ def write_tokens(
     id_col: str = "doc_id",
     text_col: str = "text",
     kept_words: int = KEPT_WORDS,
+    slice_bytes: int = SLICE_BYTES,
 ) -> None:
     """Encode every text and write the files, ascending in id, null ids first.
 
@@ -223,7 +224,8 @@ def write_tokens(
     text, repeated rows are kept; an empty table gives files without rows.
     Other columns are ignored. One task holds one range of ids and writes one
     part; inside it ``part_offset`` counts the ids of the rows before. ``kept_words``:
-    words whose ids a process keeps; fewer take less memory beside other stages.
+    words whose ids a process keeps; fewer, like fewer ``slice_bytes`` of texts that
+    are encoded together, take less memory beside other stages and more time.
     """
     picked = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"),
@@ -234,7 +236,7 @@ def write_tokens(
         .sortWithinPartitions("doc_id", "tie", "text")
         .select("doc_id", "text")
     )
-    coded = ordered.mapInArrow(_encode(tokenizer, end_id, kept_words), FILE_SCHEMA)
+    coded = ordered.mapInArrow(_encode(tokenizer, end_id, kept_words, slice_bytes), FILE_SCHEMA)
     coded.write.options(**LAYOUT).parquet(path)
 
 
