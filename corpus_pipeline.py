@@ -22,8 +22,8 @@ from framewright.session import shared_path, stage_scope
 SHINGLE_WORDS = 5
 SIMILARITY = 80
 TOKENIZER = "byte_bpe_50k.json"
-# Texts encoded together: the executors' memory is shared with what the stages before left.
-TOKEN_SLICE_BYTES = 1 << 20
+# Texts encoded and rows sent together: the executors' memory is shared with what the stages before left.
+TOKEN_SLICE_BYTES, TOKEN_BATCH_ROWS = 1 << 20, 1_000
 
 # The classifier, the mix and the token ids can't be expressed in SQL.
 ORACLE_SQL = None
@@ -60,7 +60,9 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix; per row what is read back from them."""
     path = shared_path(spark, "tokens")
     tokenizer = public_tokenizers.path(TOKENIZER)
-    op8_token_files.write_tokens(docs, path, tokenizer, kept_words=0, slice_bytes=TOKEN_SLICE_BYTES)
+    op8_token_files.write_tokens(
+        docs, path, tokenizer, kept_words=0, slice_bytes=TOKEN_SLICE_BYTES, batch_rows=TOKEN_BATCH_ROWS
+    )
     return op8_token_files.token_digests(op8_token_files.read_tokens(spark, path))
 
 

@@ -11,6 +11,7 @@ the rest.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import itertools
 import os
@@ -25,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from framewright.session import setting
+
 LAYOUT = {
     "compression": "zstd",
     "parquet.enable.dictionary": "true",
@@ -217,6 +220,7 @@ def write_tokens(
     text_col: str = "text",
     kept_words: int = KEPT_WORDS,
     slice_bytes: int = SLICE_BYTES,
+    batch_rows: int | None = None,
 ) -> None:
     """Encode every text and write the files, ascending in id, null ids first.
 
@@ -225,7 +229,8 @@ def write_tokens(
     Other columns are ignored. One task holds one range of ids and writes one
     part; inside it ``part_offset`` counts the ids of the rows before. ``kept_words``:
     words whose ids a process keeps; fewer, like fewer ``slice_bytes`` of texts that
-    are encoded together, take less memory beside other stages and more time.
+    are encoded together, take less memory beside other stages and more time; so do
+    fewer ``batch_rows``, the rows that travel to Python at once (None: as the session says).
     """
     picked = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"),
@@ -237,7 +242,9 @@ def write_tokens(
         .select("doc_id", "text")
     )
     coded = ordered.mapInArrow(_encode(tokenizer, end_id, kept_words, slice_bytes), FILE_SCHEMA)
-    coded.write.options(**LAYOUT).parquet(path)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    with setting(docs.sparkSession, rows, str(batch_rows)) if batch_rows else contextlib.nullcontext():
+        coded.write.options(**LAYOUT).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -74,11 +74,36 @@ def test_rows_of_the_driver_start_no_python(spark):
 
 def test_slices_of_any_size_give_the_same_files(spark):
     docs = frame(spark, [(i, prose(i, 40) + "  x" * (i % 3), "en", "a", 1) for i in range(30)])
-    found = []
-    for size in (1, 500, 4 << 20):
+    found, key = [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    for size, rows in ((1, None), (500, 3), (4 << 20, None)):
         path = shared_path(spark, "tokens")
         op8_token_files.write_tokens(
-            docs, path, public_tokenizers.path("byte_bpe_50k.json"), kept_words=0, slice_bytes=size
+            docs, path, public_tokenizers.path("byte_bpe_50k.json"), kept_words=0, slice_bytes=size, batch_rows=rows
         )
         found.append(sorted(map(tuple, op8_token_files.token_digests(op8_token_files.read_tokens(spark, path)).collect())))
     assert found[0] == found[1] == found[2]
+    assert spark.conf.get(key) == before
+
+
+def test_token_files_are_made_of_batches_of_so_many_rows(spark, monkeypatch, tmp_path):
+    seen = tmp_path / "rows"
+
+    def encode(*_):
+        def run(batches):
+            for batch in batches:
+                with seen.open("a") as f:
+                    f.write(f"{batch.num_rows}\n")
+                yield pa.RecordBatch.from_pylist([], schema)
+
+        return run
+
+    schema = pa.schema(
+        [("doc_id", pa.int64()), ("part", pa.int32()), ("part_offset", pa.int64()), ("n_tokens", pa.int64()),
+         ("ids", pa.list_(pa.int32()))]
+    )
+    monkeypatch.setattr(op8_token_files, "_encode", encode)
+    docs = frame(spark, [(i, prose(i, 4), "en", "a", 1) for i in range(200)])
+    op8_token_files.write_tokens(docs, shared_path(spark, "tokens"), "", batch_rows=3)
+    counts = list(map(int, seen.read_text().split()))
+    assert sum(counts) == 200 and max(counts) == 3
